@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, pseudonyms, url_cascade
+from . import bpe_trie, fingerprint, packing, pseudonyms, url_cascade
 from .common import table
 
+#: The vocabulary of the production queries, from the installed package of public tokenizers.
+WORD_BPE = "word_bpe_49k.json"
+
+
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(WORD_BPE)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -21,11 +32,21 @@ def op3_canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_trie.encode_texts(table(spark, sf_dir, "documents"), word_bpe_path())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), word_bpe_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_feistel_pseudonyms, op3_canonical_fingerprint, op10_bloom_cascade)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_feistel_pseudonyms, op3_canonical_fingerprint, op4_bpe_trie, op8_hilbert_packing, op10_bloom_cascade)}
 
 ORACLES: dict[str, str] = {
     "op10_bloom_cascade": r"""

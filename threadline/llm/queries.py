@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, fingerprint, packing, pseudonyms, url_cascade
+from . import bpe_trie, fingerprint, line_crf, packing, pseudonyms, url_cascade
 from .common import table
 
 #: The vocabulary of the production queries, from the installed package of public tokenizers.
@@ -28,6 +28,11 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize(docs, count_col="n_replaced")
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.judge_documents(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_feistel_pseudonyms, op3_canonical_fingerprint, op4_bpe_trie, op8_hilbert_packing, op10_bloom_cascade)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_line_crf, op3_canonical_fingerprint, op4_bpe_trie, op8_hilbert_packing, op10_bloom_cascade)}
 
 ORACLES: dict[str, str] = {
     "op10_bloom_cascade": r"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, fingerprint, line_crf, packing, pseudonyms, url_cascade
-from .common import table
+from . import bpe_trie, fingerprint, line_crf, packing, pseudonyms, toxicity, url_cascade, wrappers
+from .common import one_of_five, table
 
 #: The vocabulary of the production queries, from the installed package of public tokenizers.
 WORD_BPE = "word_bpe_49k.json"
@@ -42,6 +42,17 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learnable=one_of_five() != 0)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (one_of_five() == 0).alias("held_out"), "score", "predicted", "abuse", "quoted")
+
+
+def op7_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), word_bpe_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -51,7 +62,7 @@ def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_line_crf, op3_canonical_fingerprint, op4_bpe_trie, op8_hilbert_packing, op10_bloom_cascade)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_line_crf, op3_canonical_fingerprint, op4_bpe_trie, op5_toxicity_automata, op7_page_wrappers, op8_hilbert_packing, op10_bloom_cascade)}
 
 ORACLES: dict[str, str] = {
     "op10_bloom_cascade": r"""

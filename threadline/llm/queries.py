@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, fingerprint, line_crf, packing, pseudonyms, toxicity, url_cascade, wrappers
+from . import bpe_trie, fingerprint, line_crf, near_dups, packing, pseudonyms, toxicity, url_cascade, wrappers
 from .common import one_of_five, table
 
 #: The vocabulary of the production queries, from the installed package of public tokenizers.
@@ -58,11 +58,15 @@ def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_line_crf, op3_canonical_fingerprint, op4_bpe_trie, op5_toxicity_automata, op7_page_wrappers, op8_hilbert_packing, op10_bloom_cascade)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_line_crf, op3_canonical_fingerprint, op4_bpe_trie, op5_toxicity_automata, op7_page_wrappers, op8_hilbert_packing, op9_probminhash, op10_bloom_cascade)}
 
 ORACLES: dict[str, str] = {
     "op10_bloom_cascade": r"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, fingerprint, line_crf, near_dups, packing, pseudonyms, toxicity, url_cascade, wrappers
+from . import bpe_trie, fingerprint, line_crf, near_dups, ngram_trie, packing, pseudonyms, toxicity, url_cascade, wrappers
 from .common import one_of_five, table
 
 #: The vocabulary of the production queries, from the installed package of public tokenizers.
@@ -49,6 +49,12 @@ def op5_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (one_of_five() == 0).alias("held_out"), "score", "predicted", "abuse", "quoted")
 
 
+def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = ngram_trie.train_and_score(docs, one_of_five() != 1)
+    return scored.select("doc_id", (one_of_five() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -66,7 +72,7 @@ def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_line_crf, op3_canonical_fingerprint, op4_bpe_trie, op5_toxicity_automata, op7_page_wrappers, op8_hilbert_packing, op9_probminhash, op10_bloom_cascade)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_line_crf, op3_canonical_fingerprint, op4_bpe_trie, op5_toxicity_automata, op6_elias_fano_lm, op7_page_wrappers, op8_hilbert_packing, op9_probminhash, op10_bloom_cascade)}
 
 ORACLES: dict[str, str] = {
     "op10_bloom_cascade": r"""

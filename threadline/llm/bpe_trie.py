@@ -31,8 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-#: Pieces of text whose ids a worker keeps, about 80 MB; the table is emptied when it is full.
+#: Pieces of text whose ids a worker keeps in each of two generations, about 60 MB each.
 MAX_KEPT = 400_000
+#: Places between an ASCII letter and ASCII punctuation but the apostrophe, which begins contractions: always a border of words.
+LETTER_MARK = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
+MARK_LETTER = re.compile(rb"([!-&(-/:-@\[-`{-~])([a-z])")
 #: Texts are taken in blocks of about this many bytes.
 BLOCK_BYTES = 2 << 20
 
@@ -41,6 +44,8 @@ BLOCK_BYTES = 2 << 20
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 PRINTABLE = re.compile(rb"[!-~]+")
 TOKEN = ""
+#: Pieces that are one word to the splitter, whatever stands beside them.
+SINGLE = re.compile(rb"[a-z]+|[!-&(-/:-@\[-`{-~]+")
 
 
 def backwards(tokens: dict[str, int]) -> dict:
@@ -60,19 +65,30 @@ class PieceTable:
     def __init__(self, vocabulary: int):
         self.dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, pieces: Iterable[bytes]) -> None:
         raise NotImplementedError
 
+    def pieces(self, text: bytes) -> list[bytes]:
+        """Parts of a text that no token crosses. ASCII case is folded, as the normalizer does, and marks are cut off words; not in texts that may hold a special token."""
+        if b"<|" in text:
+            return text.split()
+        text = LETTER_MARK.sub(rb"\1 \2", text.lower())
+        return MARK_LETTER.sub(rb"\1 \2", text).split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, in ``dtype``; call with blocks of bounded size."""
-        pieces = [t.split() for t in texts]
-        new = set().union(*pieces) - self.known.keys()
+        pieces = [self.pieces(t) for t in texts]
+        new = set().union(*pieces).difference(self.known)
         if new:
             if len(self.known) + len(new) > MAX_KEPT:
-                self.known.clear()
+                # What the older generation knows and is met again moves to the younger one.
+                self.older, self.known = self.known, {}
                 new = set().union(*pieces)
-            self.learn(new)
+            again = {p for p in new if p in self.older}
+            self.known.update((p, self.older[p]) for p in again)
+            self.learn(new - again)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
@@ -208,12 +224,30 @@ class LibraryEncoder(PieceTable):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        super().__init__(self.library.get_vocab_size(with_added_tokens=True))
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        super().__init__(size)
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
 
     def learn(self, pieces: Iterable[bytes]) -> None:
-        pieces = list(pieces)
-        for i in range(0, len(pieces), 2000):
-            part = pieces[i : i + 2000]
+        """Single words are encoded side by side in one call and told apart by their end tokens; other pieces one by one."""
+        words, rest = [], []
+        for p in pieces:
+            (words if SINGLE.fullmatch(p) or p.decode("utf-8", "replace").isalpha() else rest).append(p)
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.library.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                rest += part
+                continue
+            raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
+            for p, stop in zip(part, stops.tolist(), strict=True):
+                self.known[p] = raw[start * width : stop * width]
+                start = stop
+        for i in range(0, len(rest), 2000):
+            part = rest[i : i + 2000]
             found = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
             self.known.update((p, array(self.dtype.char, e.ids).tobytes()) for p, e in zip(part, found, strict=True))
 

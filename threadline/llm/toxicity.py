@@ -150,7 +150,7 @@ class Finder:
     def features(self, text: str) -> list[float]:
         tokens = text.lower().split()
         distinct = set(tokens)
-        new = distinct - self.clean - self.hits.keys()
+        new = (distinct - self.clean).difference(self.hits)
         if len(self.clean) + len(new) > MAX_KEPT:
             self.clean.clear()
             self.hits.clear()

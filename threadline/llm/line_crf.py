@@ -201,3 +201,14 @@ def judge_documents(docs: DataFrame, field: Field, *, id_col: str = "doc_id", te
 
     shown = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, line_labels string"
     return base.mapInArrow(run, f"`{id_col}` {kind}, {shown}")
+
+
+def keep_good(docs: DataFrame, field: Field, *, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that are not kept; all columns stay, and nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([judge(t.as_py(), field)[6] for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

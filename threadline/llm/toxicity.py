@@ -323,3 +323,16 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
         z = z + F.col("features")[i] * F.lit(w)
     score = 1.0 / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     return found.select(id_col, score.alias("score"), F.col("features")[0].alias("abuse"), F.col("features")[2].alias("quoted")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_civil(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents whose score is 0.5 or more; all columns stay, and nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder(model.terms)
+        for b in batches:
+            features = np.array([find.features(t.as_py() or "") for t in b.column(at)]).reshape(b.num_rows, N_FEATURES)
+            yield b.filter(pa.array(model.score(features) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -41,7 +41,7 @@ def overlap_ratio(query: Column, document: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed sentences, each up to its mark or line end."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def polarity(text: Column) -> Column:

@@ -65,4 +65,4 @@ def labels(text: Column, rules: Mapping[str, str]) -> Column:
 
 def option_letters(text: Column) -> Column:
     """Distinct letters A to F that stand alone or before a mark, in order."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-F])\b"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}_])([A-F])(?:[^\p{L}\p{N}_]|$)"), F.lit(1))))

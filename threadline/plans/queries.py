@@ -391,3 +391,97 @@ def shared_folder(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
+
+
+@register("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events),
+    n AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM n GROUP BY user_id, nth""")
+def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions without a gap of half an hour, by the window that the stream of sessions uses too."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    out = events.groupBy("user_id", F.session_window("at", "30 minutes").alias("w")).agg(F.count("*").alias("n_events"))
+    return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
+
+
+@register(f"""WITH {FACTS}, c AS (SELECT subject_id, max(event_ts) FILTER (family = 'purchase') AS cutoff FROM facts GROUP BY subject_id)
+    SELECT subject_id, count(*) FILTER (event_ts <= cutoff) AS n_visible, count(*) FILTER (event_ts > cutoff OR cutoff IS NULL) AS n_hidden FROM facts JOIN c USING (subject_id) GROUP BY subject_id""")
+def point_in_time_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts up to each subject's last purchase are visible; without one nothing is."""
+    known = facts(spark, sf_dir)
+    cutoffs = known.groupBy("subject_id").agg(F.max(F.when(F.col("family") == "purchase", F.col("event_ts"))).alias("cutoff"))
+    seen = F.coalesce(F.col("event_ts") <= F.col("cutoff"), F.lit(False))
+    return known.join(cutoffs, "subject_id").groupBy("subject_id").agg(F.count_if(seen).alias("n_visible"), F.count_if(~seen).alias("n_hidden"))
+
+
+@register("""WITH s AS (SELECT o_orderkey, unnest(parts) AS p_partkey FROM (SELECT l_orderkey AS o_orderkey, list(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1)), k AS (SELECT p_partkey FROM part WHERE p_size <= 25)
+    SELECT o_orderkey, count(k.p_partkey) AS n_resolved, count(*) - count(k.p_partkey) AS n_missing FROM s LEFT JOIN k USING (p_partkey) GROUP BY o_orderkey""")
+def evidence_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part references of each order, resolved against the small parts."""
+    refs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("parts"))
+    known = table(spark, sf_dir, "part").filter("p_size <= 25").select("p_partkey", F.lit(1).alias("known"))
+    found = refs.select("o_orderkey", F.explode("parts").alias("p_partkey")).join(known, "p_partkey", "left")
+    return found.groupBy("o_orderkey").agg(F.count("known").alias("n_resolved"), F.count_if(F.col("known").isNull()).alias("n_missing"))
+
+
+@register(r"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([A-F])(?:[^\p{L}\p{N}_]|$)', 1))), ',') AS letters, list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([A-F])(?:[^\p{L}\p{N}_]|$)', 1))) = ['A'] AS is_correct FROM conversations""")
+def option_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = tx.option_letters(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(letters, ",").alias("letters"), (letters == F.array(F.lit("A"))).alias("is_correct"))
+
+
+ABSTENTIONS = ("the", "of", "not mentioned", "unknown")
+
+
+@register("SELECT conv_id, turn, trim(regexp_replace(lower(split_part(text, '.', 1)), '[^a-z0-9]+', ' ', 'g')) IN ('the', 'of', 'not mentioned', 'unknown') AS abstains FROM conversations")
+def abstention_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a turn's first sentence is one of the accepted phrases."""
+    first = scoring.normal_answer(F.split_part("text", F.lit("."), F.lit(1)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", first.isin(*ABSTENTIONS).alias("abstains"))
+
+
+@register("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN 'k is missing' WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) > 90 THEN 'k is out of range' ELSE '' END AS error FROM events""")
+def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON payloads as scores, with what is wrong with them."""
+    k = F.from_json("props", "k BIGINT")["k"]
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.when(k.isNull(), "k is missing").when(k > 90, "k is out of range").otherwise("").alias("error"))
+
+
+@register("SELECT lang, source, count(*) AS n_cases, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END)::BIGINT AS n_wrong, min(CASE WHEN quality = 0 THEN doc_id END) AS first_wrong FROM documents JOIN labels USING (doc_id) GROUP BY lang, source")
+def error_case_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rows.groupBy("lang", "source").agg(F.count("*").alias("n_cases"), F.count_if(F.col("quality") == 0).alias("n_wrong"), F.min(F.when(F.col("quality") == 0, F.col("doc_id"))).alias("first_wrong"))
+
+
+@register("SELECT n_regionkey, sha256(string_agg(n_name, '|' ORDER BY n_name)) AS scope_key, count(*) AS n FROM nation GROUP BY n_regionkey")
+def scope_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("n_name")), "|"), 256).alias("scope_key"), F.count("*").alias("n"))
+
+
+@register("""WITH h AS (SELECT doc_id % 2 AS half, avg(quality) AS quality, avg(toxic) AS toxic FROM labels GROUP BY 1)
+    SELECT round(b.quality - a.quality, 6) AS quality_gain, round(b.toxic - a.toxic, 6) AS toxic_gain, b.quality >= a.quality AND b.toxic <= a.toxic AS accepted FROM h a, h b WHERE a.half = 0 AND b.half = 1""")
+def patch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the odd half against those of the even half, and whether none is worse."""
+    side = lambda n, c: F.avg(F.when(F.col("doc_id") % 2 == n, F.col(c)))
+    m = table(spark, sf_dir, "labels").agg(side(0, "quality").alias("q0"), side(1, "quality").alias("q1"), side(0, "toxic").alias("t0"), side(1, "toxic").alias("t1"))
+    return m.select(F.round(F.col("q1") - F.col("q0"), 6).alias("quality_gain"), F.round(F.col("t1") - F.col("t0"), 6).alias("toxic_gain"), ((F.col("q1") >= F.col("q0")) & (F.col("t1") <= F.col("t0"))).alias("accepted"))
+
+
+@register("""WITH f AS (SELECT event_id, user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS session_no, event_type FROM events), n AS (SELECT user_id, event_type, min(session_no) FILTER (session_no > 2) AS next_session FROM f GROUP BY ALL)
+    SELECT user_id, event_type, count(*) FILTER (session_no BETWEEN 1 AND 2) AS n_in_window, next_session FROM f JOIN n USING (user_id, event_type) GROUP BY user_id, event_type, next_session""")
+def query_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of each type in the first two days, and the next later day that has the type."""
+    day = (F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1).cast("long")
+    rows = table(spark, sf_dir, "events").withColumn("session_no", day)
+    return rows.groupBy("user_id", "event_type").agg(F.count_if(F.col("session_no").between(1, 2)).alias("n_in_window"), F.min(F.when(F.col("session_no") > 2, F.col("session_no"))).alias("next_session"))
+
+
+@register("""WITH p AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}'))) AS term FROM documents), q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}'))) AS term FROM benchmark),
+    n AS (SELECT item_id, count(*) AS n_terms FROM q GROUP BY 1), h AS (SELECT item_id, doc_id, count(*) AS hits FROM q JOIN p USING (term) GROUP BY 1, 2)
+    SELECT item_id, doc_id, hits, round(hits::DOUBLE / n_terms, 6) AS similarity FROM h JOIN n USING (item_id)""")
+def lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each benchmark item's long terms that a document has, for the pairs that share one."""
+    terms = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0)))).alias("term"))
+    q = terms("benchmark", "item_id")
+    sizes = q.groupBy("item_id").agg(F.count("*").alias("n_terms"))
+    hits = q.join(terms("documents", "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    return hits.join(sizes, "item_id").select("item_id", "doc_id", "hits", F.round(F.col("hits") / F.col("n_terms"), 6).alias("similarity"))

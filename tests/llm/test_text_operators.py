@@ -194,6 +194,39 @@ def test_near_duplicates(docs, none):
     assert near_dups.near_duplicate_classes(none).count() == 0
 
 
+def test_near_duplicates_of_taken_and_left_members(spark):
+    # Hubs with members around the threshold: a member that the pivot took has partners that it did not take.
+    rng = random.Random(11)
+    texts = []
+    for hub in range(12):
+        base = [f"h{hub}w{i}" for i in range(300)]
+        for n in [0] + [rng.randrange(5, 11) for _ in range(25)]:
+            words = list(base)
+            for at in rng.sample(range(300), n):
+                words[at] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(words))
+            for _ in range(2):
+                again = texts[-1].split()
+                for at in rng.sample(range(300), 3):
+                    again[at] = f"y{rng.randrange(10**9)}"
+                texts.append(" ".join(again))
+    sets = [near_dups.shingles([t.encode()])[1:] for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i - i % 78, i):
+            if near_dups.similarity(sets[i], sets[j]) >= near_dups.SIMILARITY:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicate_classes(df).collect()} == {i: root(i) for i in range(len(texts))}
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(5)
     for _ in range(30):

@@ -7,10 +7,11 @@ texts agree in a register with their probability Jaccard similarity. Texts that
 in a bucket.
 
 In a bucket all are compared with a pivot: the member that meets most others over all its buckets, the centre of a
-group of copies. Buckets in which that leaves members are banded anew with all their members, on longer signatures
-whose FINE bands tell a similarity of 0.8 from lower ones; there, members that no pivot took meet twice as many pivots
-in each further round, until none is left. So a large group of similar texts costs a few comparisons each and not one
-for each of its pairs. Pairs are
+group of copies. So a large group of copies costs one comparison each and not one for each of its pairs. Buckets whose
+members these links leave in several components are settled by all pairs of members of different components, but for
+pairs whose sketches of SKETCH registers show them to be far below the threshold and pairs that links found on the way
+have joined; a pair is looked at in the first bucket only that both share. Members of large buckets are dealt to blocks,
+and each task compares two blocks, so no pair is a row unless it is a link. Pairs are
 verified by the exact probability Jaccard similarity of whole texts; the pivot of a large group is dealt out to many
 tasks by a salt. Links are closed to classes by minimum labels. Exact copies are one node from the start.
 
@@ -36,14 +37,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 6 registers miss a pair of similarity 0.8 with a chance of 6e-5.
 BANDS, ROWS = 32, 6
-#: 128 bands of 12 registers miss such a pair with a chance of 1e-4, and a pair of 0.55 meets with one of 0.1.
-FINE_BANDS, FINE_ROWS = 128, 12
-#: Pairs whose long signatures agree in less than this are no links: five standard errors below 0.8.
+#: Registers of a sketch.
+SKETCH = 1536
+#: Pairs whose sketches agree in less than this are no links: five standard errors below 0.8.
 SURELY_BELOW = 0.05
 #: Registers that a block of texts may have in memory.
 MAX_REGISTERS = 1 << 22
-#: Pivots of a bucket in one round, at most; a round that leaves members is followed by another.
-MAX_PIVOTS = 64
+#: Members and characters of a block of a large bucket; pairs whose sketches are compared at once.
+BLOCK, BLOCK_CHARS, AT_ONCE = 256, 4_000_000, 2048
 #: Members that one copy of a pivot serves.
 SALT = 256
 #: Nodes (16 bytes each) sent to all tasks to pick texts; beyond, texts are shuffled by node.
@@ -179,19 +180,6 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node binary, keys array<bigint>, sketch binary")
 
 
-def hopeful(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose sketches leave it open that their similarity reaches the threshold."""
-    both = pairs.join(sketches.withColumnRenamed("sketch", "a"), "node").join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("b")), "pivot")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # A byte agrees by chance once in 256 times, which only lets more pairs pass.
-            agree = [(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["node", "pivot"]).filter(pa.array(np.array(agree) >= threshold - SURELY_BELOW, pa.bool_()))
-
-    return both.select("node", "pivot", "a", "b").mapInArrow(run, "node binary, pivot binary")
-
-
 def verified(pairs: DataFrame) -> DataFrame:
     """(node, pivot, similarity) of (node, pivot, text, pivot_text)."""
 
@@ -216,64 +204,106 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def with_degrees(keyed: DataFrame) -> DataFrame:
-    """(key, node, degree) of the buckets of two or more; degree counts whom a node meets in all its buckets."""
-    rows = keyed.select(F.explode("keys").alias("key"), "node")
+    """(key, band, node, degree) of the buckets of two or more; degree counts whom a node meets in all its buckets."""
+    rows = keyed.select(F.posexplode("keys").alias("band", "key"), "node")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = materialize(rows.join(sizes, "key"), "shared")
-    return shared.select("key", "node").join(shared.groupBy("node").agg(F.sum("size").alias("degree")), "node")
-
-
-def one_round(docs: DataFrame, members: DataFrame, threshold: float, n_pivots: int, sketches: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """Verified (node, pivot), and the members (key, node, degree) that no pivot of their bucket took; None if nobody meets."""
-    # Each bucket's members are dealt to n_pivots parts, and the member of most degree in each part is a pivot.
-    part = F.pmod(F.xxhash64("node", F.lit(n_pivots)), F.lit(n_pivots))
-    sizes = members.groupBy("key", part.alias("part")).agg(F.min_by("node", F.struct(-F.col("degree"), "node")).alias("pivot"), F.count("*").alias("size"))
-    buckets = sizes.groupBy("key").agg(F.collect_list("pivot").alias("pivots"), F.sum("size").alias("size")).filter("size > 1").select("key", "pivots")
-    met = members.join(buckets, "key").select("key", "node", "degree", F.array_contains("pivots", F.col("node")).alias("is_pivot"), F.explode("pivots").alias("pivot"))
-    met = materialize(met.filter("pivot < node or (not is_pivot and pivot <> node)"), "met")
-    pairs = materialize(met.groupBy("node", "pivot").agg(F.count("*").alias("bands")).select("node", "pivot"), "pairs")
+    return shared.select("key", "band", "node").join(shared.groupBy("node").agg(F.sum("size").alias("degree")), "node")
+
+
+def pivot_links(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame | None:
+    """Verified (node, pivot) of each member with its bucket's member of most degree; None if nobody meets."""
+    buckets = members.groupBy("key").agg(F.min_by("node", F.struct(-F.col("degree"), "node")).alias("pivot"))
+    met = members.join(buckets, "key").filter("pivot <> node")
+    pairs = materialize(met.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("other"), "pivot").groupBy("node", "other").agg(F.min("pivot").alias("pivot")).select(F.when(F.col("node") == F.col("pivot"), F.col("other")).otherwise(F.col("node")).alias("node"), "pivot"), "pairs")
     if pairs.isEmpty():
         return None
-    agreed = pairs.limit(0)
-    if known is not None:  # links of the first level are not checked again
-        agreed = pairs.join(known, ["node", "pivot"], "left_semi")
-        pairs = pairs.join(known, ["node", "pivot"], "left_anti")
-    if sketches is not None:
-        pairs = materialize(hopeful(pairs, sketches, threshold), "hopeful")
     wanted = pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct()
     texts = texts_of(docs, wanted)
     copies = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SALT).cast("int").alias("copies"))
     dealt = copies.join(texts.withColumnRenamed("node", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("text").alias("pivot_text"))
     salted = pairs.join(copies, "pivot").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int"))
     both = salted.join(texts, "node").join(dealt, ["pivot", "salt"])
-    checked = materialize(verified(both).withColumn("linked", F.col("similarity") >= threshold), "checked")
-    tried = met.filter("not is_pivot").join(checked.select("node", "pivot", "linked").union(agreed.withColumn("linked", F.lit(True))), ["node", "pivot"], "left")
-    left = materialize(tried.groupBy("key", "node", "degree").agg(F.bool_or(F.coalesce("linked", F.lit(False))).alias("linked")).filter("not linked").drop("linked"), "left")
-    return checked.filter("linked").select("node", "pivot"), left
+    return materialize(verified(both), "checked").filter(F.col("similarity") >= threshold).select("node", "pivot")
+
+
+def settled(t: pa.Table, threshold: float) -> pa.Table:
+    """Verified (node, pivot) between components of one bucket: within a block, or between two."""
+    n, key, one_block = t.num_rows, t["key"][0].as_py(), t["low"][0].as_py() == t["high"][0].as_py()
+    nodes, texts = t["node"].to_pylist(), t["text"].to_pylist()
+    keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(n, -1)
+    block = t["block"].to_numpy()
+    label = np.unique(np.array([x.hex() for x in t["label"].to_pylist()]), return_inverse=True)[1]
+    left, right = np.triu_indices(n, 1)
+    open_pairs = label[left] != label[right]
+    if not one_block:
+        open_pairs &= block[left] != block[right]
+    left, right = left[open_pairs], right[open_pairs]
+    hopeful = []
+    for at in range(0, len(left), AT_ONCE):
+        i, j = left[at : at + AT_ONCE], right[at : at + AT_ONCE]
+        # The first band that both share is this bucket's, or another bucket has the pair.
+        mine = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == key
+        i, j = i[mine], j[mine]
+        # A byte agrees by chance once in 256 times, which only lets more pairs pass.
+        agree = (sketch[i] == sketch[j]).mean(axis=1)
+        hopeful += [(-a, x, y) for a, x, y in zip(agree.tolist(), i.tolist(), j.tolist(), strict=True) if a >= threshold - SURELY_BELOW]
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    found = []
+    for _, i, j in sorted(hopeful):
+        a, b = root(int(label[i])), root(int(label[j]))
+        if a == b:
+            continue
+        for x in (i, j):
+            if x not in known:
+                known[x] = shingles([as_words(texts[x])])[1:]
+        if similarity(known[i], known[j]) >= threshold:
+            parent[a] = b
+            found.append((nodes[i], nodes[j]))
+    return pa.table({"node": pa.array([a for a, _ in found], pa.binary()), "pivot": pa.array([b for _, b in found], pa.binary())})
+
+
+def cross_links(docs: DataFrame, keyed: DataFrame, members: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Verified (node, pivot) that join components of ``found`` which share a bucket, as many as it takes."""
+    labelled = materialize(members.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    # Buckets of the same members are one, that of the first band. The pivot's component is mostly the largest.
+    buckets = labelled.groupBy("key").agg(F.min("band").alias("band"), F.min("label").alias("a"), F.max("label").alias("b"), F.min_by("label", F.struct(-F.col("degree"), "node")).alias("main"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    unsettled = buckets.filter("a <> b").groupBy("x", "y", "size").agg(F.min_by(F.struct("key", "main"), "band").alias("first")).select("first.*")
+    rows = materialize(labelled.join(unsettled, "key").select("key", "node", "label", (F.col("label") != F.col("main")).alias("outside")), "unsettled")
+    open_nodes = materialize(rows.select("node").distinct(), "open")
+    texts = texts_of(docs, open_nodes)
+    # Long signatures cost much for few bytes, so the texts are spread over all tasks.
+    spread = texts.repartition(shuffle_partitions(docs.sparkSession), "node")
+    profiles = materialize(signed(spread, 1, SKETCH).select("node", "sketch").join(texts, "node").join(keyed, "node"), "profiles")
+    rows = rows.join(profiles.select("node", (1 / BLOCK + F.length("text") / BLOCK_CHARS).alias("weight")), "node")
+    blocks_of = lambda of: F.ceil(F.coalesce(F.sum(F.when(of, F.col("weight"))), F.lit(0.0))).cast("int")
+    sizes = rows.groupBy("key").agg(blocks_of(F.lit(True)).alias("n"), blocks_of(F.col("outside")).alias("n_outside"), blocks_of(~F.col("outside")).alias("n_inside"))
+    # Blocks of the main component follow the others; they are compared with those, not with each other.
+    sizes = sizes.select("key", F.when(F.col("n") == 1, 1).otherwise(F.col("n_outside")).alias("n_outside"), F.when(F.col("n") == 1, 0).otherwise(F.col("n_inside")).alias("n_inside"))
+    rows = rows.join(sizes, "key").withColumn("first", F.col("outside") | (F.col("n_inside") == 0))
+    place = F.xxhash64("node", "key")
+    rows = rows.withColumn("block", F.when(F.col("first"), F.pmod(place, F.greatest("n_outside", F.lit(1)))).otherwise(F.col("n_outside") + F.pmod(place, F.greatest("n_inside", F.lit(1)))).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("first"), F.col("n_outside") + F.col("n_inside")).otherwise(F.col("n_outside")) - 1)))
+    dealt = rows.select("key", F.least("block", "with").cast("int").alias("low"), F.greatest("block", "with").cast("int").alias("high"), "block", "node", "label").join(profiles, "node")
+    return materialize(dealt.groupBy("key", "low", "high").applyInArrow(lambda t: settled(t, threshold), "node binary, pivot binary"), "cross")
 
 
 def links(docs: DataFrame, threshold: float) -> DataFrame:
-    """Verified (node, pivot) over all rounds; ``docs`` has (node, text), copies included."""
+    """Verified (node, pivot) that join all texts of a class; ``docs`` has (node, text), copies included."""
     keyed = materialize(signed(docs, BANDS, ROWS).select("node", "keys").dropDuplicates(["node"]), "bands")
     members = materialize(with_degrees(keyed), "members")
-    first = one_round(docs, members, threshold, 1)
-    if first is None:
+    found = pivot_links(docs, members, threshold)
+    if found is None:
         return keyed.select("node", F.col("node").alias("pivot")).limit(0)
-    out, left = first
-    if left.isEmpty():
-        return out
-    # Whoever shares a bucket with a member that is left may be its partner: all of them are banded anew.
-    open_nodes = materialize(members.join(left.select("key").distinct(), "key", "left_semi").select("node").distinct(), "open")
-    # Long signatures cost much for few bytes, so the texts are spread over all tasks.
-    texts = texts_of(docs, open_nodes)
-    spread = texts.repartition(shuffle_partitions(docs.sparkSession), "node")
-    fine = materialize(signed(spread, FINE_BANDS, FINE_ROWS), "fine")
-    members, sketches = materialize(with_degrees(fine), "members"), fine.select("node", "sketch")
-    n_pivots = 1
-    while (found := one_round(texts, members, threshold, n_pivots, sketches, first[0])) is not None:
-        out, members = out.union(found[0]), found[1]
-        n_pivots = min(MAX_PIVOTS, 2 * n_pivots)
-    return out
+    return found.union(cross_links(docs, keyed, members, found, threshold))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -219,24 +219,36 @@ def term_column(text: Column) -> Column:
 
 
 def choose_terms(rows: list, positives: int, negatives: int) -> list[Term]:
-    """Terms by lift and support; a term that a chosen stem covers, or that covers a chosen term, is left out."""
+    """Terms by lift and support; a term that a chosen stem covers, or that covers a chosen term, is left out.
+
+    Whole words that can be found with errors stay beside the stem that covers them, as a stem is found exactly only.
+    """
     rated = []
     for r in rows:
         lift = ((r["pos"] + 0.5) / (positives + 1)) / ((r["neg"] + 0.5) / (negatives + 1))
         if lift >= MIN_LIFT:
             rated.append((math.log(lift) * math.sqrt(r["pos"]), r["term"], math.log(lift)))
     chosen: dict[str, Term] = {}
+    beside: list[Term] = []
     beginnings: set[str] = set()
     # Of equals the whole word is taken, as it can be found with errors, then the longer stem.
     for _, term, weight in sorted(rated, key=lambda x: (-round(x[0], 6), not x[1].endswith(" "), -len(x[1]), x[1])):
         text, stem = term.strip(), not term.endswith(" ")
-        if any(text[:n] in chosen and (chosen[text[:n]].stem or n == len(text)) for n in range(3, len(text) + 1)) or stem and text in beginnings:
+        if any(text[:n] in chosen and (chosen[text[:n]].stem or n == len(text)) for n in range(3, len(text) + 1)):
+            if not stem and len(text) >= FUZZY_FROM:
+                beside.append(Term(text, False, min(weight, 6.0)))
+            continue
+        if stem and text in beginnings or len(chosen) >= MAX_TERMS:
             continue
         chosen[text] = Term(text, stem, min(weight, 6.0))
         beginnings.update(text[:n] for n in range(3, len(text) + 1))
-        if len(chosen) >= MAX_TERMS:
-            break
-    return list(chosen.values())
+    return [*chosen.values(), *beside]
+
+
+def with_start_terms(learned: list[Term]) -> tuple[Term, ...]:
+    """Learned terms, and the general insults that are not among them as whole words."""
+    known = {t.text for t in learned if not t.stem}
+    return tuple(learned + [t for t in start_terms() if t.text not in known])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -280,8 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         ratio = 2 * (part("pos", share) + part("neg", 1 - share))
         best = counts.filter((ratio >= MIN_RATIO) & (lift >= MIN_LIFT)).orderBy(F.desc(F.log(lift) * F.sqrt("pos")), "term").limit(5 * MAX_TERMS).collect()
         learned = choose_terms(best, sizes[0, 1], sizes[0, 0])
-        known = {t.text for t in learned}
-        terms_all = tuple(learned + [t for t in start_terms() if t.text not in known and not any(t.text.startswith(k.text) for k in learned if k.stem)])
+        terms_all = with_start_terms(learned)
         rows = features_of(texts.filter("half = 1"), terms_all, ["fit_label"]).collect()
     finally:
         texts.unpersist()

@@ -45,6 +45,21 @@ def test_components_match_union_find(spark):
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 9: 9}
 
 
+def test_lineage_of_all_lines(spark, sf_dir, db):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for order, part in db.execute("select distinct l_orderkey * 2, l_partkey * 2 + 1 from lineitem").fetchall():
+        a, b = sorted((root(order), root(part)))
+        parent[b] = a
+    got = {r["node"]: r["component"] for r in QUERIES["lineage_components"](spark, sf_dir).collect()}
+    assert got == {x: root(x) for x in parent}
+
+
 def test_backfill_inserts_between(spark):
     from threadline.operators.versioning import backfill_versions
 

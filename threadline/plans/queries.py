@@ -210,7 +210,7 @@ def current_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def lineage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of orders and suppliers' parts; order keys are even and part keys odd nodes."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select((F.col("l_orderkey") * 2).alias("order_node"), (F.col("l_partkey") * 2 + 1).alias("part_node"))
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("order_node"), (F.col("l_partkey") * 2 + 1).alias("part_node"))
     return graph.components(lines, "order_node", "part_node")
 
 

@@ -207,16 +207,15 @@ def test_near_duplicates(docs, none):
 
 
 def test_near_duplicates_of_taken_and_left_members(spark):
-    # Of a group of copies only the second is linked to the last text, and all buckets of these two have a pivot of the group.
-    rng = random.Random(11)
+    # Only the first text of a group is linked to its last, and nearly all their buckets hold a hub of more members.
     texts = []
-    for group in range(4):
-        base = [f"g{group}w{i}" for i in range(300)]
-        texts += [" ".join(base), " ".join(base[:100] + base[108:])]
-        for i in range(37):
-            at = rng.choice([*range(20, 90), *range(170, 280)])
-            texts.append(" ".join([*base[:at], f"g{group}x{i}", *base[at + 1 :]]))
-        texts.append(" ".join(base[:100] + base[156:]))
+    for group in range(24):
+        first = [f"g{group}w{i}" for i in range(300)]
+        texts.append(" ".join(first))
+        for hub, at in enumerate((40, 240)):
+            words = [*first[:at], f"g{group}q{hub}", *first[at + 1 :]]
+            texts += [" ".join(words), *(" ".join([*words[:-1], f"g{group}q{hub}s{i}"]) for i in range(10))]
+        texts.append(" ".join(first[:100] + first[151:]))
     sets = [near_dups.shingles([t.encode()])[1:] for t in texts]
     parent = list(range(len(texts)))
 
@@ -226,7 +225,7 @@ def test_near_duplicates_of_taken_and_left_members(spark):
         return x
 
     for i in range(len(texts)):
-        for j in range(i - i % 40, i):
+        for j in range(i - i % 24, i):
             if near_dups.similarity(sets[i], sets[j]) >= near_dups.SIMILARITY:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
@@ -234,6 +233,12 @@ def test_near_duplicates_of_taken_and_left_members(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicate_classes(df).collect()} == {i: root(i) for i in range(len(texts))}
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    rows = [(None, "first text of no id", 1), (None, "second text of no id", 2), (7, "a text", 3), (7, "another text", 4), (8, "another text", 5), (7, "a text", 3)]
+    kept = near_dups.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert sorted(r["n"] for r in kept.collect()) == [1, 2, 3, 4]
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(5)
     for _ in range(30):

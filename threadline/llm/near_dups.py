@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_trie import blocks
@@ -89,7 +89,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in range(SHINGLE):
         # A text shorter than a shingle hashes what it has, from its first word.
         here = np.zeros(n, np.uint64)
-        here[: n - i] = words[i:] if i else words
+        here[: max(0, n - i)] = words[i:]
         h = np.where(left > i, mix(h * GOLDEN + here + np.uint64(i + 1)), h)
     valid = (left >= SHINGLE) | short[owner] & (np.arange(n) == starts[owner]) if n else np.zeros(0, bool)
     owner, h = owner[valid], h[valid]
@@ -322,21 +322,35 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def node_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def labelled(base: DataFrame, threshold: float) -> DataFrame:
+    """The columns of ``base`` but the text, with the label of the node's class; ``base`` has text (no nulls) and node."""
+    labels = components(links(base.select("node", "text"), threshold))
+    return materialize(base.drop("text").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+
+
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(id, class_id, class_size) of every row: class_id is the least id of the class, class_size its rows."""
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    labels = components(links(base.select("node", "text"), threshold))
-    rows = base.select(id_col, "node").join(labels, "node", "left").select(id_col, F.coalesce("label", "node").alias("label"))
-    rows = materialize(rows, "members")
+    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), node_of(F.col(text_col)).alias("node"))
+    rows = labelled(base, threshold).select(id_col, "label")
     classes = rows.groupBy("label").agg(F.min(id_col).alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(classes, "label").select(id_col, "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class, that of the least id (nulls first); all columns stay."""
-    classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, threshold=threshold)
-    kept = materialize(classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("kept_id")).distinct(), "kept")
-    few = kept.count() <= 2 * MAX_BROADCAST_NODES
-    out = docs.join(F.broadcast(kept) if few else kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
-    repeated = docs.groupBy(id_col).count().filter("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col])
+    """``docs`` with one document of each class, that of the least id (nulls first), then text and row by their hashes; all columns stay."""
+    others = F.struct(F.col(text_col).isNull().alias("no_text"), *[F.col(c) for c in docs.columns if c not in (id_col, text_col)])
+    marked = docs.withColumn("__node", node_of(F.col(text_col))).withColumn("__row", F.unhex(F.md5(F.to_json(others).cast("binary"))))
+    base = marked.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__node").alias("node"), F.col("__row").alias("row"))
+    rows = labelled(base, threshold)
+    # Two rows alike in all columns are one row here.
+    kept = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNotNull().alias("has_id"), "id", "node", "row")).alias("least"))
+    kept = materialize(kept.select(F.col("least.id").alias("kept_id"), F.col("least.node").alias("kept_node"), F.col("least.row").alias("kept_row")), "kept")
+    few = kept.count() <= MAX_BROADCAST_NODES
+    same = marked[id_col].eqNullSafe(kept["kept_id"]) & (marked["__node"] == kept["kept_node"]) & (marked["__row"] == kept["kept_row"])
+    out = marked.join(F.broadcast(kept) if few else kept, same, "left_semi")
+    repeated = rows.groupBy("id", "node", "row").count().filter("count > 1")
+    return (out if repeated.isEmpty() else out.dropDuplicates([id_col, "__node", "__row"])).drop("__node", "__row")

@@ -9,7 +9,8 @@ fits behind a state if the pair is stable, which the merge table tells without e
 Words end in symbols of their own (``x</w>``), so a word's last symbol is a separate leaf below its path.
 
 Texts are taken apart at ASCII white space, where no token can cross, and each distinct piece is brought to words by
-the tokenizer's own normalizer and splitter. What was encoded stays in a table of bounded size for later blocks.
+the tokenizer's own normalizer and splitter. What was encoded stays in a table of bounded size for later blocks. A file
+with another model, normalizer or splitter is not taken apart here: its texts go to the library whole.
 
 Defined results: a null text counts as empty and has no tokens and an empty decoded text; the strings of special
 tokens in a text become those tokens, as the library has it; repeated rows are encoded each by itself; an empty table
@@ -23,13 +24,19 @@ import math
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 END = "</w>"
 #: Pieces of text whose ids a worker keeps in each of two generations, about 60 MB each.
 MAX_KEPT = 400_000
@@ -48,6 +55,26 @@ TOKEN = ""
 SINGLE = re.compile(rb"[a-z]+|[!-&(-/:-@\[-`{-~]+")
 
 
+#: The byte alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+#: Fixed values of a tokenizer file: the normalizer and splitter whose borders of words are known here.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def has_known_rules(path: str) -> bool:
+    """Whether the file's words are those that the borders here assume; texts go to the library whole if not."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix") == END and not spec["model"].get("continuing_subword_prefix") and not spec["model"].get("ignore_merges")
+        and (spec["normalizer"] or {}).get("normalizers") == NORMALIZER and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"] == {"Regex": SPLITTER} and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        and all(t["content"].startswith("<|") and not any(t[k] for k in ("lstrip", "rstrip", "single_word", "normalized")) for t in spec["added_tokens"])
+    )
+
+
 def backwards(tokens: dict[str, int]) -> dict:
     """A trie of tokens read from their ends; the id stands under TOKEN."""
     root: dict = {}
@@ -62,7 +89,8 @@ def backwards(tokens: dict[str, int]) -> dict:
 class PieceTable:
     """Ids of distinct pieces of text, kept in a table of bounded size and joined to the ids of texts."""
 
-    def __init__(self, vocabulary: int):
+    def __init__(self, vocabulary: int, path: str):
+        self.known_rules = has_known_rules(path)
         self.dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -93,11 +121,22 @@ class PieceTable:
         return [b"".join(map(get, p)) for p in pieces]
 
 
+def by_library(library: Tokenizer, texts: list[bytes], dtype: np.dtype) -> list[bytes]:
+    """Whole texts by the library, for a file whose borders of words are not known here."""
+    found = library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+    return [array(dtype.char, e.ids).tobytes() for e in found]
+
+
 class TrieEncoder(PieceTable):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        self.library = library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        if not has_known_rules(path):
+            super().__init__(library.get_vocab_size(with_added_tokens=True), path)
+            return
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -105,7 +144,7 @@ class TrieEncoder(PieceTable):
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = 1 + max([*vocab.values(), *self.special.values()])
-        super().__init__(size)
+        super().__init__(size, path)
         self.strings = np.empty(size, dtype=object)
         for token, i in [*vocab.items(), *self.special.items()]:
             self.strings[i] = token
@@ -209,11 +248,31 @@ class TrieEncoder(PieceTable):
         for p, ws in split.items():
             self.known[p] = array(self.dtype.char, [i for w in ws for i in (words[w] if isinstance(w, str) else (w,))]).tobytes()
 
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        return super().encode(texts) if self.known_rules else by_library(self.library, texts, self.dtype)
+
     def decode(self, ids: bytes) -> str:
         """Tokens' strings joined by spaces, as the library does for a tokenizer without decoder."""
+        if not self.known_rules:
+            return self.library.decode(np.frombuffer(ids, self.dtype).tolist(), skip_special_tokens=False)
         return " ".join(self.strings[np.frombuffer(ids, self.dtype)].tolist())
 
 
+class Kept(dict):
+    """Ids of pieces; what is missing is taken from the older generation or made when first asked for."""
+
+    def __init__(self, make: Callable[[bytes], bytes], older: dict[bytes, bytes]):
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, piece: bytes) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.make(piece)
+        self[piece] = found
+        return found
+
+
 class LibraryEncoder(PieceTable):
     """Encodes new pieces by the tokenizers library itself, for operators that only need ids."""
 
@@ -224,41 +283,33 @@ class LibraryEncoder(PieceTable):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        super().__init__(size)
-        vocab = self.library.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(size, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
+        super().__init__(self.library.get_vocab_size(with_added_tokens=True), path)
+        self.normalize, self.merge = self.library.normalizer.normalize_str if self.known_rules else None, self.library.model.tokenize
+        self.known = Kept(self.make, {})
+
+    def make(self, piece: bytes) -> bytes:
+        """Ids of one piece; a single word needs no splitter, only the model."""
+        if SINGLE.fullmatch(piece):
+            return array(self.dtype.char, [t.id for t in self.merge(piece.decode())]).tobytes()
+        text = piece.decode("utf-8", "replace")
+        if text.isalpha() and self.known_rules and (folded := self.normalize(text)).isalpha():
+            return array(self.dtype.char, [t.id for t in self.merge(folded.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        return array(self.dtype.char, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, pieces: Iterable[bytes]) -> None:
-        """Single words are encoded side by side in one call and told apart by their end tokens; other pieces one by one."""
-        words, rest = [], []
-        for p in pieces:
-            (words if SINGLE.fullmatch(p) or p.decode("utf-8", "replace").isalpha() else rest).append(p)
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.array(self.library.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                rest += part
-                continue
-            raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
-            for p, stop in zip(part, stops.tolist(), strict=True):
-                self.known[p] = raw[start * width : stop * width]
-                start = stop
-        for i in range(0, len(rest), 2000):
-            part = rest[i : i + 2000]
-            found = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            self.known.update((p, array(self.dtype.char, e.ids).tobytes()) for p, e in zip(part, found, strict=True))
-
-
-_encoders: dict[str, TrieEncoder] = {}
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.known_rules:
+            return by_library(self.library, texts, self.dtype)
+        if len(self.known) > MAX_KEPT:
+            self.known = Kept(self.make, dict(self.known))
+        get = self.known.__getitem__
+        return [b"".join(map(get, self.pieces(t))) for t in texts]
 
 
 def encoder(path: str) -> TrieEncoder:
-    if path not in _encoders:
-        _encoders[path] = TrieEncoder(path)
-    return _encoders[path]
+    kept = worker_cache("bpe_trie")
+    if path not in kept:
+        kept[path] = TrieEncoder(path)
+    return kept[path]
 
 
 def blocks(texts: list[bytes]) -> Iterator[slice]:

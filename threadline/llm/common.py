@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a fresh one where that is unset (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a fresh one where that is unset, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_owner, _kept = "", {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps between tasks for one operator; another operator's is let go first."""
+    global _owner
+    if owner != _owner:
+        _owner = owner
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _kept
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -26,6 +44,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small side that are sent to all tasks (about 40 bytes each).
+MAX_BROADCAST_ROWS = 500_000
+SALTS = 16
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, spread_by: Column, how: str = "inner") -> DataFrame:
+    """Join on ``key``, unique in ``small``, where a few keys may hold most of ``rows``.
+
+    A small side of at most MAX_BROADCAST_ROWS is sent to all tasks; a larger one is copied SALTS times, and the rows
+    of a key are dealt over the copies by the hash ``spread_by``.
+    """
+    if small.count() <= MAX_BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key, how)
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(spread_by, F.lit(SALTS)).cast("int")).join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_trie import LibraryEncoder, blocks
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, worker_cache
 
 SEQUENCE = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 10
 HASHED = 256
+#: Bytes of ids in a range: what one task sorts and packs.
+RANGE_BYTES = 32 << 20
 #: Steepness of the map from projections to the grid.
 SCALE = 6.0
 SEED = 20240
@@ -79,14 +81,12 @@ def curve_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     return hilbert(np.clip(cells.astype(np.int64), 0, (1 << BITS) - 1))
 
 
-_made: dict[str, tuple[LibraryEncoder, np.ndarray]] = {}
-
-
 def _encoder(path: str) -> tuple[LibraryEncoder, np.ndarray]:
-    if path not in _made:
+    kept = worker_cache("packing")
+    if path not in kept:
         enc = LibraryEncoder(path)
-        _made[path] = enc, projection(enc.library.get_vocab_size(with_added_tokens=True))
-    return _made[path]
+        kept[path] = enc, projection(enc.library.get_vocab_size(with_added_tokens=True))
+    return kept[path]
 
 
 def sequence_lengths(left: int) -> list[int]:
@@ -97,7 +97,8 @@ def sequence_lengths(left: int) -> list[int]:
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", n_ranges: int | None = None) -> DataFrame:
     """Pieces: (id, start, length, ids, doc_tokens, sequence_id, offset); ids as little-endian unsigned 32-bit integers.
 
-    ``n_ranges``: ranges of the curve, each packed by one task; as many as shuffle partitions if not given.
+    ``n_ranges``: ranges of the curve, each packed by one task; if not given as many as shuffle partitions, and more
+    where a range would pass RANGE_BYTES.
     """
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     kind = base.schema[id_col].dataType.simpleString()
@@ -113,8 +114,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(keys, pa.int64()), pa.array([wide] * len(found)), pa.array(found, pa.binary())], names=[id_col, "key", "wide", "ids"])
 
     coded = base.mapInArrow(tokens, f"`{id_col}` {kind}, key long, wide boolean, ids binary")
-    coded = materialize(coded.withColumn("tie", F.xxhash64(id_col, "ids")), "curve")
-    n = n_ranges or shuffle_partitions(docs.sparkSession)
+    coded = materialize(coded.withColumn("tie", F.xxhash64(id_col, "ids")).withColumn("size", F.octet_length("ids").cast("long")), "curve")
+    n = n_ranges or max(shuffle_partitions(docs.sparkSession), (coded.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES + 1)
     ordered = coded.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie", id_col)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

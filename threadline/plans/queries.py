@@ -2,45 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadline.functions import text as tx
 from threadline.operators import graph, metrics, quality, retrieval, scoring, sessions, versioning
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+from threadline.plans.base import FACTORS, facts, register, table
 
 FAMILIES = ("click", "error", "purchase", "signup", "view")
-FACTORS = 10
 #: Facts of the events table in SQL, for the oracles.
 FACTS = f"""facts AS (SELECT event_id AS fact_id, user_id AS subject_id, event_type AS family, CAST(json_extract_string(props, '$.k') AS BIGINT) % {FACTORS} AS factor_key,
     ts AS event_ts, value, event_id AS ingest_seq FROM events)"""
 
 
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as facts: the user is the subject, the event type the family, a bucket of props.k the factor."""
-    factor = F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(FACTORS))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("fact_id"), F.col("user_id").alias("subject_id"), F.col("event_type").alias("family"), factor.alias("factor_key"), F.col("ts").alias("event_ts"), "value", F.col("event_id").alias("ingest_seq"))
-
-
 # ---- sessions ------------------------------------------------------------------------------------------------------
 
 

@@ -6,10 +6,14 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadline.functions import fixed as fx
+from threadline.functions import rules
+
 KEY = ["subject_id", "family", "factor_key"]
 
 
@@ -75,3 +79,74 @@ def timeline(facts: DataFrame, subject: str) -> DataFrame:
     w = W.partitionBy(subject).orderBy(F.col("event_ts").asc_nulls_first(), "family", "fact_id")
     return facts.withColumn("place", F.row_number().over(w).cast("long"))
 
+
+
+def _fold_operations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Insert states, sorted by key and ingest order, into their key's list in event order, and classify each by its prior."""
+    key, seen, kept = None, [], {}
+    for batch in batches:
+        out = {n: [] for n in ("version", "predecessor_id", "successor_id", "operation", "status", "conflicts_with")}
+        rows = zip(*(batch.column(c).to_pylist() for c in FOLD_COLUMNS), strict=True)
+        for now, state, order, ingest, source, polarity, same, correction, reconciled, opposite, resolved in rows:
+            if now != key:
+                key, seen, kept = now, [], {}
+            at = bisect_right(seen, (order, ingest, state))
+            prior = seen[at - 1][2] if at else None
+            operation, conflict = "ADD", None
+            if prior is not None:
+                p_status, p_source, p_polarity, p_same, p_opposite, p_conflict = kept[prior]
+                if p_status == "conflict":
+                    operation = "RESOLVE" if correction or reconciled else "CONFLICT"
+                elif correction and p_source == source:
+                    operation = "SUPERSEDE"
+                elif p_source != source and p_opposite != opposite:
+                    operation = "CONFLICT"
+                elif p_polarity != "negated" and (polarity == "negated" or resolved):
+                    operation = "RESOLVE"
+                elif p_polarity == polarity and p_same == same:
+                    operation = "NOOP"
+                else:
+                    operation = "UPDATE"
+                if operation == "CONFLICT":
+                    conflict = p_conflict if p_status == "conflict" and p_conflict is not None else prior
+            status = {"CONFLICT": "conflict", "RESOLVE": "resolved"}.get(operation, "active")
+            for name, value in zip(out, (len(seen) + 1, prior, seen[at][2] if at < len(seen) else None, operation, status, conflict), strict=True):
+                out[name].append(value)
+            seen.insert(at, (order, ingest, state))
+            kept[state] = status, source, polarity, same, opposite, conflict
+        columns = [batch.column("state_id"), *[pa.array(out[n], pa.string() if n in ("operation", "status") else pa.int64()) for n in out]]
+        yield pa.RecordBatch.from_arrays(columns, names=["state_id", *out])
+
+
+FOLD_COLUMNS = ("key", "state_id", "event_order", "ingest_seq", "source_type", "polarity", "same", "correction", "reconciled", "opposite", "resolved")
+
+
+def fold_states(states: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Versions, neighbours in time, operation and status of states that may arrive late.
+
+    A state's prior is the latest earlier-ingested state of its key not after it in event order; a conflict stays until
+    it is corrected or reconciled. Texts are reduced to flags and a hash before the shuffle; a partition holds whole keys
+    in ingest order and is read as a stream, so a key costs memory for its states' flags only. Null keys are equal.
+    """
+    t = F.col(text)
+    rows = states.select(
+        F.md5(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).cast("binary")).alias("key"), "state_id", "event_order", "ingest_seq", "source_type", F.coalesce("polarity", F.lit("affirmed")).alias("polarity"),
+        F.md5(F.concat_ws("#", rules.assertion(t), rules.quantity_signature(t), rules.status_signature(t)).cast("binary")).alias("same"), rules.is_correction(t).alias("correction"), rules.is_reconciliation(t).alias("reconciled"),
+        rules.has(t, fx.OPPOSITE).alias("opposite"), rules.has(t, fx.RESOLVED).alias("resolved"),
+    )
+    ordered = rows.repartition("key").sortWithinPartitions("key", "ingest_seq", "state_id")
+    return ordered.mapInArrow(_fold_operations, "state_id long, version long, predecessor_id long, successor_id long, operation string, status string, conflicts_with long")
+
+
+def state_transitions(folded: DataFrame) -> DataFrame:
+    """Typed edges of versions: SUPERSEDE, CONFLICT and RESOLVE point back, the others forward; a late state is tied to its
+    successor too, unless one of the two is in conflict."""
+    prior = F.when(F.col("operation") == "CONFLICT", F.col("conflicts_with")).otherwise(F.col("predecessor_id"))
+    names = F.create_map(*[F.lit(x) for pair in (("SUPERSEDE", "supersedes"), ("CONFLICT", "conflicts"), ("RESOLVE", "resolves"), ("NOOP", "persists"), ("UPDATE", "updates")) for x in pair])
+    back = F.col("operation").isin("SUPERSEDE", "CONFLICT", "RESOLVE")
+    own = folded.filter(prior.isNotNull()).select(F.when(back, F.col("state_id")).otherwise(prior).alias("from_id"), F.when(back, prior).otherwise(F.col("state_id")).alias("to_id"), names[F.col("operation")].alias("relation"), F.lit("version_transition").alias("source"))
+    later = folded.select(F.col("state_id").alias("successor_id"), F.col("status").alias("later_status"))
+    late = folded.filter("successor_id is not null and status <> 'conflict'").join(later, "successor_id").filter("later_status <> 'conflict'")
+    late = late.select(F.col("state_id").alias("from_id"), F.col("successor_id").alias("to_id"), F.lit("updates").alias("relation"), F.lit("backfill_successor_transition").alias("source"))
+    first = F.max("source")  # a version transition wins over a backfill of the same key
+    return own.union(late).groupBy("from_id", "to_id", "relation").agg(first.alias("source"))

@@ -41,7 +41,7 @@ PHRASES = (
     "patient is taking metformin 500 mg", "patient stopped metformin", "the fasting glucose is 7.1 mmol/l", "患者空腹血糖 6.5 mmol/L", "pain went away after treatment", "no nausea today, not at all",
     "patient may have anxiety about cost and insurance", "患者正在服用二甲双胍", "because of insulin the plan cannot change", "follow-up visit: measure blood pressure 120 mmHg", "hello, thank you doctor",
     "glucose verified after review, 7.1 mmol/l", "sleep is worse, missed a dose of insulin", "restarted amoxicillin 250 mg following surgery", "UACR 30 mg/g and HbA1c 6.8 %", "work and family support, therefore we prefer home care",
-    "我把二甲双胍停了", "医生建议停药", "I am taking Tylenol", "if the pain returns, resume ibuprofen", "既往病史：过敏，禁忌青霉素", "血压升高，较前恶化", "Patient: weight 82 kg", "what is the latest test result?",
+    "我把二甲双胍停了", "医生建议停药", "I am taking Tylenol", "if the pain returns, resume ibuprofen", "既往病史: 过敏, 禁忌青霉素", "血压升高, 较前恶化", "Patient: weight 82 kg", "what is the latest test result?",
 )
 PREFIXES = ("", "", "Actually, ", "", "currently ", "", "no longer: ")
 TASKS = ("entity_exact_match", "temporal_localization", "state_update", "multiple_choice", "inference_generation", "multi_hop_clinical_deduction", "generic")

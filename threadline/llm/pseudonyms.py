@@ -3,7 +3,8 @@
 Each recognised value is validated, taken apart into two mixed-radix halves (L in 0..a-1, R in 0..b-1) and sent
 through a keyed Feistel network, L += F(R) mod a and R += F(L) mod b in turn. Every round is a bijection, so
 the whole is a permutation of the values of that format: equal values get equal pseudonyms in every document,
-different values different ones, and check digits, separators and letter case stay valid.
+different values different ones, and check digits, separators and letter case stay valid. Card, account and phone
+numbers are permuted without their separators and dates as days, so a value is linked across its spellings.
 
 Kinds: email (local part), hex secret of 32 digits or more, IBAN (mod 97), date (ISO, dotted, slashed), social
 security number, IPv4, payment card (Luhn), phone. A value that fails its validation is left as it is.
@@ -16,14 +17,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: The key of tests and of the production query. Pass a secret one for real data.
+#: The key of tests. A session names its own in spark.threadline.pseudonym.key.
 DEFAULT_KEY = "threadline-pseudonyms"
-#: Characters that a Feistel network takes at once; longer values are taken in pieces of this many.
-PIECE = 24
+#: Characters that a Feistel network takes at once, in ASCII and else; longer values are taken in numbered pieces.
+PIECE, WIDE_PIECE = 24, 8
+#: Ranges of letters outside ASCII that are permuted among themselves; every code point in them is a letter.
+WIDE_RANGES = ("ÀÖ", "ØÞ", "ßö", "øÿ", "Āž", "ΑΡ", "ΣΩ", "αω", "АЯ", "ая", "ぁゖ", "ァヺ", "一龥", "가힣")
 
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -41,6 +44,11 @@ FIRST_DAY, DAY_RADICES = "1900-01-01", (189, 773)
 LETTERS = {"hex": 6}
 
 
+def session_key(spark: SparkSession) -> str:
+    """The secret key of a session, from ``spark.threadline.pseudonym.key``; the test key where it is unset."""
+    return spark.conf.get("spark.threadline.pseudonym.key", None) or DEFAULT_KEY
+
+
 def prf(key: str, kind: Column | str, round_: Column, half: Column, modulus: Column) -> Column:
     """60 bits of SHA-256 over key, kind, round and the other half, below ``modulus``."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
@@ -71,11 +79,22 @@ def char_at(text: Column, i: Column) -> Column:
 
 
 def radix(c: Column, letters: int) -> Column:
-    return F.when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), letters).otherwise(1).cast("long")
+    wide = F.lit(1)
+    for low, high in WIDE_RANGES:
+        wide = F.when(c.between(low, high), ord(high) - ord(low) + 1).otherwise(wide)
+    return F.when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), letters).when(c > "\x7f", wide).otherwise(1).cast("long")
 
 
 def base(c: Column) -> Column:
-    return F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).otherwise(F.ascii(c))
+    wide = F.ascii(c)
+    for low, high in WIDE_RANGES:
+        wide = F.when(c.between(low, high), ord(low)).otherwise(wide)
+    return F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).otherwise(wide)
+
+
+def character(code: Column) -> Column:
+    """The character of a code point below 65536."""
+    return F.when(code < 128, F.char(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
 
 
 def places(text: Column) -> Column:
@@ -97,13 +116,13 @@ def text_of(number: Column, shape: Column, letters: int) -> Column:
     def step(acc: Column, i: Column) -> Column:
         c = char_at(shape, i)
         r = radix(c, letters)
-        one = F.when(r > 1, F.char(base(c) + F.pmod(acc["rest"], r))).otherwise(c)
+        one = F.when(r > 1, character(base(c) + F.pmod(acc["rest"], r))).otherwise(c)
         return F.struct(F.call_function("div", acc["rest"] - F.pmod(acc["rest"], r), r).alias("rest"), F.concat(one, acc["out"]).alias("out"))
 
     return F.aggregate(F.reverse(places(shape)), start, step)["out"]
 
 
-def permute_piece(text: Column, key: str, kind: str, letters: int) -> Column:
+def permute_piece(text: Column, key: str, kind: Column, letters: int) -> Column:
     half = F.floor(F.length(text) / 2).cast("int")
     return let(F.struct(F.substring(text, F.lit(1), half).alias("x"), F.substring(text, half + 1, F.length(text)).alias("y")), lambda h: let(
         feistel(number_of(h["x"], letters), number_of(h["y"], letters), size_of(h["x"], letters), size_of(h["y"], letters), key, kind),
@@ -111,12 +130,28 @@ def permute_piece(text: Column, key: str, kind: str, letters: int) -> Column:
     ))
 
 
-def permute_chars(text: Column, key: str, kind: str) -> Column:
-    """Permute the ASCII digits and letters of a text among those of their class; the rest stays in place."""
+def permute_chars(text: Column, key: str, kind: str, wide: bool = False) -> Column:
+    """Permute the digits and letters of a text among those of their class; the rest stays in place."""
     letters = LETTERS.get(kind, 26)
-    pieces = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / PIECE).cast("int"))
-    out = F.transform(pieces, lambda i: let(F.substring(text, i * PIECE + 1, F.lit(PIECE)), lambda piece: permute_piece(piece, key, kind, letters)))
-    return F.when(F.length(text) > 0, F.array_join(out, "")).otherwise(text)
+
+    def by(size: int) -> Column:
+        pieces = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
+        return F.array_join(F.transform(pieces, lambda i: let(F.substring(text, i * size + 1, F.lit(size)), lambda piece: permute_piece(piece, key, F.concat(F.lit(kind), i.cast("string")), letters))), "")
+
+    out = F.when(text.rlike(r"[^\x00-\x7F]"), by(WIDE_PIECE)).otherwise(by(PIECE)) if wide else by(PIECE)
+    return F.when(F.length(text) > 0, out).otherwise(text)
+
+
+def laid_out(shape: Column, letters: Column) -> Column:
+    """``shape`` with its digits and letters replaced in turn by ``letters``; separators stay in place."""
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        c = char_at(shape, i)
+        fill = c.rlike("[0-9A-Za-z]")
+        return F.struct((acc["n"] + fill.cast("int")).alias("n"), F.concat(acc["out"], F.when(fill, char_at(letters, acc["n"] + 1)).otherwise(c)).alias("out"))
+
+    return F.aggregate(places(shape), start, step)["out"]
 
 
 def digits(text: Column) -> Column:
@@ -128,7 +163,8 @@ def card(m: Column, key: str) -> Column:
         last = F.get(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: F.call_function("luhn_check", F.concat(digits(head), c.cast("string")))), F.lit(0))
         return F.concat(head, last.cast("string"))
 
-    return F.when(F.call_function("luhn_check", digits(m)), let(permute_chars(F.substring(m, F.lit(1), F.length(m) - 1), key, "card"), close)).otherwise(m)
+    head = let(digits(m), lambda d: permute_chars(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"))
+    return F.when(F.call_function("luhn_check", digits(m)), let(let(head, close), lambda d: laid_out(m, d))).otherwise(m)
 
 
 def mod97(text: Column) -> Column:
@@ -146,7 +182,8 @@ def iban(m: Column, key: str) -> Column:
         return F.concat(F.substring(m, 1, 2), check, body)
 
     valid = mod97(moved(plain(m), F.substring(m, 3, 2))) == 1
-    return F.when(valid, let(permute_chars(F.substring(m, F.lit(5), F.length(m)), key, "iban"), close)).otherwise(m)
+    body = let(plain(m), lambda p: permute_chars(F.substring(p, F.lit(5), F.length(p)), key, "iban"))
+    return F.when(valid, let(let(body, close), lambda d: laid_out(m, d))).otherwise(m)
 
 
 def moved_day(at: Column, key: str, kind: str) -> Column:
@@ -162,15 +199,15 @@ def date(m: Column, key: str) -> Column:
     made = lambda y, mo, d: F.to_date(F.when(mo.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, mo, d)), "yyyy-MM-dd")
     safe = lambda y, mo, d: F.when(d <= F.dayofmonth(F.last_day(made(y, mo, F.lit(1)))), made(y, mo, F.least(d, F.dayofmonth(F.last_day(made(y, mo, F.lit(1)))))))
     forms = (
-        ("iso", m.rlike("^[0-9]{4}-"), safe(number(1), number(2), number(3)), "yyyy-MM-dd", "yyyy-MM-dd"),
-        ("dmy.", m.contains("."), safe(number(3), number(2), number(1)), "dd.MM.yyyy", "d.M.yyyy"),
-        ("mdy/", m.contains("/"), safe(number(3), number(1), number(2)), "MM/dd/yyyy", "M/d/yyyy"),
-        ("dmy/", m.contains("/"), safe(number(3), number(2), number(1)), "dd/MM/yyyy", "d/M/yyyy"),
+        (m.rlike("^[0-9]{4}-"), safe(number(1), number(2), number(3)), "yyyy-MM-dd", "yyyy-MM-dd"),
+        (m.contains("."), safe(number(3), number(2), number(1)), "dd.MM.yyyy", "d.M.yyyy"),
+        (m.contains("/"), safe(number(3), number(1), number(2)), "MM/dd/yyyy", "M/d/yyyy"),
+        (m.contains("/"), safe(number(3), number(2), number(1)), "dd/MM/yyyy", "d/M/yyyy"),
     )
     out = m
-    for kind, shape, day, padded, short in reversed(forms):
+    for shape, day, padded, short in reversed(forms):
         at = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        new = moved_day(at, key, "date" + kind)
+        new = moved_day(at, key, "date")
         shown = F.when(m.rlike("^[0-9]{2}[./][0-9]{2}[./]|^[0-9]{4}-"), F.date_format(new, padded)).otherwise(F.date_format(new, short))
         out = F.when(shape & day.isNotNull() & at.between(0, a * b - 1), shown).otherwise(out)
     return out
@@ -196,13 +233,14 @@ def phone(m: Column, key: str) -> Column:
     """The country code stays; 7 to 15 digits in all."""
     code = F.regexp_extract(m, r"^(\+[0-9]{1,3})[ .-]?", 1)
     code = F.when(m.rlike(r"^\+[0-9]{1,3}[ .(-]"), code).otherwise(F.when(m.startswith("+"), F.substring(m, 1, 2)).otherwise(""))
-    new = F.concat(code, permute_chars(F.substring(m, F.length(code) + 1, F.length(m)), key, "phone"))
+    rest = F.substring(m, F.length(code) + 1, F.length(m))
+    new = F.concat(code, laid_out(rest, permute_chars(digits(rest), key, "phone")))
     return F.when(F.length(digits(m)).between(7, 15), new).otherwise(m)
 
 
 def email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
-    return F.concat(permute_chars(local, key, "email"), F.substring(m, F.length(local) + 1, F.length(m)))
+    return F.concat(permute_chars(local, key, "email", wide=True), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -228,11 +266,14 @@ def pseudonymize(docs: DataFrame, *, text_col: str = "text", key: str = DEFAULT_
     """
     text = F.col(text_col)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    named = docs.withColumn("__found", found).withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    # Names that no column of the caller has.
+    marks = "_" * (1 + max(map(len, docs.columns), default=0))
+    f, n = marks + "found", marks + "new"
+    named = docs.withColumn(f, found).withColumn(n, F.transform(f, lambda m: pseudonym(m, key)))
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("__new").alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
-    changed = F.size(F.filter(F.arrays_zip(F.col("__found").alias("a"), F.col("__new").alias("b")), lambda x: x["a"] != x["b"]))
-    out = named.withColumn(text_col, F.when(F.size("__found") > 0, joined).otherwise(text))
+    joined = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col(n).alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
+    changed = F.size(F.filter(F.arrays_zip(F.col(f).alias("a"), F.col(n).alias("b")), lambda x: x["a"] != x["b"]))
+    out = named.withColumn(text_col, F.when(F.size(f) > 0, joined).otherwise(text))
     if count_col:
-        out = out.withColumn(count_col, F.when(F.size("__found") > 0, changed).otherwise(0).cast("long"))
-    return out.drop("__found", "__new")
+        out = out.withColumn(count_col, F.when(F.size(f) > 0, changed).otherwise(0).cast("long"))
+    return out.drop(f, n)

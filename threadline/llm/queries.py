@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymize(docs, count_col="n_replaced")
+    return pseudonyms.pseudonymize(docs, key=pseudonyms.session_key(spark), count_col="n_replaced")
 
 
 def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ ORACLES: dict[str, str] = {
                              WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
                              WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
                              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
-                     regexp_matches(host, 'adult|ads|bets|casino|pills|spam') AS is_listed FROM h)
+                     regexp_matches(host, '(?:^|[.-])(?:adult|ads|bets|casino|pills|spam)(?:[.-]|$)') AS is_listed FROM h)
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN is_listed THEN 'block' ELSE 'allow' END AS verdict, is_listed
         FROM r""",

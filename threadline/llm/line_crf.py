@@ -4,9 +4,9 @@ A text's lines are a sequence; each line has binary features (its length, symbol
 Viterbi decoding finds the likeliest labelling as a whole, so a doubtful line follows its neighbours. A text is kept
 if the words of its content lines are at least MIN_SHARE of all its words and the base rules do not fail it.
 
-The field is trained here, by maximum conditional likelihood with forward-backward recursions, on lines of labelled
-documents that inherit their document's quality: MAX_FIT documents of each class at most, MAX_FIT_LINES lines of each.
-Without labels of both classes every line counts as content.
+The field is trained here, by maximum conditional likelihood with forward-backward recursions, on all lines of labelled
+documents that inherit their document's quality: MAX_FIT documents of each class at most. Long documents are cut into
+runs of FIT_RUN lines, which share their document's weight. Without labels of both classes every line counts as content.
 
 Defined results: a null or blank text has no words, fails the base rules and is not kept; repeated rows are judged
 each by itself; an empty table gives an empty result; other columns are ignored.
@@ -30,8 +30,8 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 WINDOW = 3
 MIN_SHARE = 0.5
-#: Bounds of the training sample: documents of each class, lines of each document, longest text.
-MAX_FIT, MAX_FIT_LINES, MAX_FIT_CHARS = 1000, 40, 40_000
+#: Bound of the training sample: documents of each class. Lines of a run in training.
+MAX_FIT, FIT_RUN = 1000, 40
 STEPS, RATE, RIDGE = 150, 0.15, 1e-3
 BOILERPLATE, CONTENT = 0, 1
 NOTICE_WORDS = ("licen", "copyright", "rights reserved", "cookie", "subscribe", "login", "javascript", "click here", "©")
@@ -102,15 +102,19 @@ def all_content() -> Field:
     return Field(emit, np.zeros((2, 2)))
 
 
-def fit(sequences: list[list[int]], labels: list[int]) -> Field:
-    """Maximum conditional likelihood by gradient ascent (Adagrad) with a ridge; all sequences at once, padded."""
+def fit(documents: list[list[int]], labels: list[int]) -> Field:
+    """Maximum conditional likelihood by gradient ascent (Adagrad) with a ridge; all runs of lines at once, padded.
+
+    Every document of a class counts the same, whatever its lines.
+    """
+    cut = [(d[i : i + FIT_RUN], y, len(d)) for d, y in zip(documents, labels, strict=True) for i in range(0, len(d), FIT_RUN)]
+    sequences, y, of_lines = [s for s, _, _ in cut], np.array([y for _, y, _ in cut]), np.array([n for _, _, n in cut])
     n, longest, k = len(sequences), max(map(len, sequences)), len(FEATURES)
     x, mask = np.zeros((n, longest, k)), np.zeros((n, longest), bool)
     for i, s in enumerate(sequences):
         x[i, : len(s)], mask[i, : len(s)] = as_matrix(s), True
-    y = np.array(labels)
     lengths = mask.sum(1)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, 0.5 / max(1, labels.count(1)), 0.5 / max(1, labels.count(0)))
     emit, move, g2e, g2m = np.zeros(k), np.zeros((2, 2)), np.full(k, 1e-8), np.full((2, 2), 1e-8)
     lse = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
     for _ in range(STEPS):
@@ -124,7 +128,7 @@ def fit(sequences: list[list[int]], labels: list[int]) -> Field:
             behind[:, t] = np.where(mask[:, t + 1, None], lse(move + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2), 0.0)
         total = lse(ahead[:, -1], 1)
         share = np.exp(ahead + behind - total[:, None, None]) * mask[:, :, None]
-        per_line = weight / lengths
+        per_line = weight / of_lines
         ge = np.einsum("n,nt,ntk->k", per_line, (y[:, None] - share[:, :, CONTENT]) * mask, x) - RIDGE * emit
         gm = -RIDGE * move
         for t in range(1, longest):
@@ -143,12 +147,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     keyed = labels.select(F.col(id_col).alias("fit_id"), F.col(label_col).cast("int").alias("fit_label")).filter("fit_id is not null and fit_label in (0, 1)")
     chosen = [keyed.filter(F.col("fit_label") == y).orderBy(F.xxhash64("fit_id"), "fit_id").limit(MAX_FIT) for y in (0, 1)]
     wanted = F.broadcast(chosen[0].union(chosen[1]))  # MAX_FIT rows of each class at most
-    texts = docs.select(F.col(id_col).alias("fit_id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, MAX_FIT_CHARS))
+    texts = docs.select(F.col(id_col).alias("fit_id"), F.col(text_col).alias("text")).filter("text <> ''")
     texts = texts.join(wanted, "fit_id").select("fit_label", "text")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [text_bits(t.split("\n"))[:MAX_FIT_LINES] for t in b.column(1).to_pylist()]
+            found = [text_bits(t.as_py().split("\n")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fit_label", "bits"])
 
     rows = texts.mapInArrow(bits, "fit_label int, bits array<bigint>").collect()

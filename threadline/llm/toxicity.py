@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 # General insults of the start lexicon, words of reporting and of address.
 INSULTS = ("asshole", "bastard", "clown", "coward", "creep", "degenerate", "disgusting", "dumbass", "fool", "freak", "garbage", "idiot", "imbecile", "jerk", "loser", "lunatic", "moron", "pathetic", "pervert", "retard", "scum", "scumbag", "stupid", "trash", "vermin", "weirdo", "worthless")
 REPORTING = frozenset(("said", "says", "called", "calling", "quote", "quoted", "quoting", "word", "words", "term", "wrote", "writes", "insult", "insults", "according", "dijo", "palabra", "sagte", "wort", "mot", "dit"))
@@ -35,12 +37,12 @@ STRIP = "\"“”„«»‘’‚'.,;:!?()[]{}<>|#*$%&-_=+/\\~`…¡¿"
 #: Words on either side of a hit that decide about it.
 WINDOW = 6
 FUZZY_FROM, FUZZY_TWO_FROM = 5, 11
-#: Bounds of the training sample: documents of each class, longest text; and of the lexicon.
-MAX_FIT, MAX_FIT_CHARS, MAX_TERMS = 2000, 40_000, 1000
+#: Bound of the training sample: documents of each class. It bounds the lexicon too.
+MAX_FIT = 2000
 STEM_LENGTHS = range(4, 9)
 #: Least lift, and least log-likelihood ratio: as some millions of candidates are tried, chance alone comes near 22 now and then.
 MIN_LIFT, MIN_RATIO = 5.0, 22.0
-MAX_KEPT = 400_000
+MAX_KEPT = 200_000
 N_FEATURES = 6
 START_MODEL = (-3.0, 2.5, 1.0, 0.0, 0.4, -0.5, 0.0)
 
@@ -238,7 +240,7 @@ def choose_terms(rows: list, positives: int, negatives: int) -> list[Term]:
             if not stem and len(text) >= FUZZY_FROM:
                 beside.append(Term(text, False, min(weight, 6.0)))
             continue
-        if stem and text in beginnings or len(chosen) >= MAX_TERMS:
+        if stem and text in beginnings:
             continue
         chosen[text] = Term(text, stem, min(weight, 6.0))
         beginnings.update(text[:n] for n in range(3, len(text) + 1))
@@ -275,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     totals = {r["fit_label"]: r["count"] for r in keyed.groupBy("fit_label").count().collect()}
     chosen = [keyed.filter(F.col("fit_label") == y).orderBy(F.xxhash64("fit_id"), "fit_id").limit(MAX_FIT) for y in (0, 1)]
     wanted = F.broadcast(chosen[0].union(chosen[1]))  # MAX_FIT rows of each class at most
-    texts = docs.select(F.col(id_col).alias("fit_id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, MAX_FIT_CHARS))
+    texts = docs.select(F.col(id_col).alias("fit_id"), F.col(text_col).alias("text")).filter("text <> ''")
     texts = texts.join(wanted, "fit_id").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
     # Copies of a text count once.
     texts = texts.groupBy(F.xxhash64("text").alias("copy"), "half", "fit_label").agg(F.first("text").alias("text")).persist()
@@ -286,11 +288,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         terms = texts.filter("half = 0").select("fit_label", F.explode(term_column(F.col("text"))).alias("term"))
         counts = terms.groupBy("term").agg(F.sum("fit_label").alias("pos"), F.count_if(F.col("fit_label") == 0).alias("neg"))
         lift = ((F.col("pos") + 0.5) / (sizes[0, 1] + 1)) / ((F.col("neg") + 0.5) / (sizes[0, 0] + 1))
-        # A top-k of candidates: the lexicon takes MAX_TERMS of them at most.
+        # Terms of a bounded sample that pass both tests: few reach the driver.
         share = sizes[0, 1] / (sizes[0, 1] + sizes[0, 0])
         part = lambda n, p: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("pos") + F.col("neg")) * p))).otherwise(0.0)
         ratio = 2 * (part("pos", share) + part("neg", 1 - share))
-        best = counts.filter((ratio >= MIN_RATIO) & (lift >= MIN_LIFT)).orderBy(F.desc(F.log(lift) * F.sqrt("pos")), "term").limit(5 * MAX_TERMS).collect()
+        best = counts.filter((ratio >= MIN_RATIO) & (lift >= MIN_LIFT)).collect()
         learned = choose_terms(best, sizes[0, 1], sizes[0, 0])
         terms_all = with_start_terms(learned)
         rows = features_of(texts.filter("half = 1"), terms_all, ["fit_label"]).collect()
@@ -303,14 +305,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Model(terms_all, tuple(logistic(x, y, np.where(y == 1, each[1], each[0]), 1e-3 + 0.1 / len(y)).tolist()))
 
 
-_finders: dict[tuple[Term, ...], Finder] = {}
-
-
 def finder(terms: tuple[Term, ...]) -> Finder:
-    if terms not in _finders:
-        _finders.clear()
-        _finders[terms] = Finder(list(terms))
-    return _finders[terms]
+    kept = worker_cache("toxicity")
+    if terms not in kept:
+        kept.clear()
+        kept[terms] = Finder(list(terms))
+    return kept[terms]
 
 
 def features_of(docs: DataFrame, terms: tuple[Term, ...], keep: list[str], text_col: str = "text") -> DataFrame:

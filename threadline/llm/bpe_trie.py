@@ -40,6 +40,8 @@ if TYPE_CHECKING:
 END = "</w>"
 #: Pieces of text whose ids a worker keeps in each of two generations, about 60 MB each.
 MAX_KEPT = 400_000
+#: The same where a new piece costs little.
+MAX_FEW = 200_000
 #: Places between an ASCII letter and ASCII punctuation but the apostrophe, which begins contractions: always a border of words.
 LETTER_MARK = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
 MARK_LETTER = re.compile(rb"([!-&(-/:-@\[-`{-~])([a-z])")
@@ -299,8 +301,9 @@ class LibraryEncoder(PieceTable):
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.known_rules:
             return by_library(self.library, texts, self.dtype)
-        if len(self.known) > MAX_KEPT:
-            self.known = Kept(self.make, dict(self.known))
+        if len(self.known) > MAX_FEW:
+            self.known.older = {}
+            self.known = Kept(self.make, self.known)
         get = self.known.__getitem__
         return [b"".join(map(get, self.pieces(t))) for t in texts]
 

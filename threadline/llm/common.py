@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -29,13 +30,21 @@ def worker_cache(owner: str) -> dict:
     """What a Python worker keeps between tasks for one operator; another operator's is let go first."""
     global _owner
     if owner != _owner:
+        let_go()
         _owner = owner
-        _kept.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
     return _kept
 
 
+def let_go() -> None:
+    """Give back the memory of what this worker keeps, which other processes of the executor may need."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession

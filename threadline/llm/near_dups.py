@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_trie import blocks
-from .common import materialize, shuffle_partitions
+from .common import let_go, materialize, shuffle_partitions, worker_cache
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -49,7 +49,7 @@ BLOCK, BLOCK_CHARS, AT_ONCE = 256, 4_000_000, 2048
 SALT = 256
 #: Nodes (16 bytes each) sent to all tasks to pick texts; beyond, texts are shuffled by node.
 MAX_BROADCAST_NODES = 500_000
-MAX_KEPT = 400_000
+MAX_KEPT = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,20 +60,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words: dict[bytes, int] = {}
-
-
 def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the lower-cased texts in order, and the number of words of each text."""
     split = [t.split() for t in texts]
-    new = set().union(*split).difference(_words) if split else set()
-    if len(_words) + len(new) > MAX_KEPT:
-        _words.clear()
-        new = set().union(*split)
-    for w in new:
-        _words[w] = xxhash.xxh64_intdigest(w)
+    known = worker_cache("near_dups")
+    if len(known) > MAX_KEPT:
+        known.clear()
+    for w in set().union(*split).difference(known) if split else ():
+        known[w] = xxhash.xxh64_intdigest(w)
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    get = _words.__getitem__
+    get = known.__getitem__
     return np.fromiter((x for words in split for x in map(get, words)), np.uint64, int(sizes.sum())), sizes
 
 
@@ -176,6 +172,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     keys, sketch = band_keys(found, bands), (found & np.uint64(255)).astype(np.uint8)
                     has = np.bincount(owner, minlength=len(mine)) > 0
                     yield pa.RecordBatch.from_arrays([b.column(0)[start:stop], pa.array([k.tolist() if h else [] for k, h in zip(keys, has, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["node", "keys", "sketch"])
+        let_go()
 
     return docs.select("node", "text").mapInArrow(run, "node binary, keys array<bigint>, sketch binary")
 
@@ -192,6 +189,7 @@ def verified(pairs: DataFrame) -> DataFrame:
                     last, kept = p, shingles([p])[1:]
                 out.append(similarity(shingles([t])[1:], kept))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["node", "pivot", "similarity"])
+        let_go()
 
     return pairs.select("node", "pivot", "text", "pivot_text").mapInArrow(run, "node binary, pivot binary, similarity double")
 

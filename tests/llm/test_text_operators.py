@@ -313,13 +313,15 @@ def test_cascade_is_exact(spark):
     universe = spark.createDataFrame(keys, "key string, listed boolean")
     cascade = url_cascade.build_cascade(universe)
     assert len(cascade.levels) > 1 and universe.filter(cascade.member(F.col("key")) != F.col("listed")).count() == 0
+    cascade = url_cascade.build_cascade(universe, part_bits=512)
+    assert cascade.levels[0].parts > 4 and universe.filter(cascade.member(F.col("key")) != F.col("listed")).count() == 0
 
 
 def test_url_rules(spark):
-    rows = [(1, "HTTP://WWW.Example.com/en/1?q=/x"), (2, "http://a.example.com/en/"), (3, "x.com/en/"), (4, None), (5, "http://a.net/es/x"), (6, "http://spam-farm.example.org/p"), (7, "http://b.com"), (8, "http://good.org#f/en/")]
+    rows = [(1, "HTTP://WWW.Example.com/en/1?q=/x"), (2, "http://a.example.com/en/"), (3, "x.com/en/"), (4, None), (5, "http://a.net/es/x"), (6, "http://spam-farm.example.org/p"), (7, "http://b.com"), (8, "http://good.org#f/en/"), (9, "http://downloads.example.org/"), (10, "http://x.casino-win.example.org/"), (10, "http://x.casino-win.example.org/")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_cascade.judge_urls(spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, key string")).collect()}
     assert got[1] == ("www.example.com", "/en/1", "www.example.com/en/", "allow") and got[2][2:] == ("example.com/en/", "block") and got[3] == ("", "", None, "allow") and got[4] == ("", "", None, "allow")
-    assert got[5][2:] == ("net/es/", "block") and got[6][2:] == (None, "block") and got[7] == ("b.com", "", None, "allow") and got[8] == ("good.org", "", None, "allow")
+    assert got[5][2:] == ("net/es/", "block") and got[6][2:] == (None, "block") and got[7] == ("b.com", "", None, "allow") and got[8] == ("good.org", "", None, "allow") and got[9][3] == "allow" and got[10][3] == "block"
 
 
 def test_oracle_of_the_cascade(spark, sf_dir):
@@ -341,3 +343,97 @@ def test_pipeline(spark, sf_dir):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
         docs = out
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() > 0
+
+
+def test_pseudonyms_link_spellings(spark):
+    spellings = ["4952935900253052 | 4952 9359 0025 3052 | 4952-9359-0025-3052", "DE89370400440532013000 | DE89 3704 0044 0532 0130 00", "1985-03-07 | 7.3.1985 | 07.03.1985"]
+    rows = [(i, t, "mine") for i, t in enumerate([*spellings, "éü@b.example 王小明@b.example a@b.example иван@b.example", "x" * 60 + "@b.example " + LONG])]
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string, __found string")).collect()}
+    for i in (0, 1):
+        assert len({re.sub("[ -]", "", x) for x in got[i]["text"].split(" | ")}) == 1 and got[i]["text"] != rows[i][1]
+    iso, short, padded = got[2]["text"].split(" | ")
+    day, month, year = padded.split(".")
+    assert iso == f"{year}-{month}-{day}" and short == f"{int(day)}.{int(month)}.{year}" and iso != "1985-03-07"
+    assert not {"éü", "王小明", "a", "иван"} & {x.split("@")[0] for x in got[3]["text"].split()}
+    first, rest = got[4]["text"].split(" ", 1)
+    assert rest == LONG and first[:24] != first[24:48] and all(r["__found"] == "mine" for r in got.values())
+
+
+def test_pseudonyms_of_wide_letters_are_a_permutation(spark):
+    df = spark.range(2000).select(F.concat(F.format_string("%03d", F.col("id") % 1000), F.when(F.col("id") < 1000, "é").otherwise("ж"), F.lit("@b.example")).alias("text"))
+    assert pseudonyms.pseudonymize(df).distinct().count() == 2000
+
+
+def test_collided_digests(spark):
+    rows = [(3, "abcd"), (2, "ab"), (1, "xy"), (0, "ax"), (4, "ab")]
+    short = lambda canon: F.lpad(F.length(canon).cast("string"), 4, "0")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(df, digest_of=short).collect()}
+    by_text = {}
+    order = sorted(rows, reverse=True)
+    for at, (i, t) in enumerate(order):
+        half = len(t) // 2
+        by_text.setdefault(t, set()).add(got[i]["fingerprint"])
+        by_text.setdefault(t[: len(t) - half] + order[(at + 1) % len(order)][1][:half], set()).add(got[i]["edited_fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values()) and len({x for v in by_text.values() for x in v}) == len(by_text)
+    assert {r["fingerprint"]: r["n_same"] for r in fingerprint.fingerprints(df, digest_of=short).collect()}.__len__() == 4
+
+
+def test_edited_texts_of_other_ids(spark):
+    rows = [("b", "one two"), ("a", "three four"), (None, "five"), ("c", None)]
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    want = {"c": "", "b": "one " + "thr", "a": "three" + "five", None: "fi"}
+    assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+
+
+def test_tokenizer_with_other_rules(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, df = Tokenizer.from_file(path), spark.createDataFrame([(1, "It's  one\n\nDAY 42%"), (2, None)], "doc_id long, text string")
+    for r in bpe_trie.encode_texts(df, path).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode({1: "It's  one\n\nDAY 42%"}.get(r["doc_id"], ""), add_special_tokens=False).ids
+
+
+def test_near_duplicates_of_short_texts(spark):
+    rows = [(1, "hello world"), (2, "Hello world"), (3, "a b c d"), (4, "a b c e"), (5, BODY), (6, "solo"), (7, "solo"), (8, "a b c d e")]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8}
+    alone = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
+    assert [r["class_id"] for r in near_dups.near_duplicate_classes(alone).collect()] == [1]
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    # A group whose members are mostly just under the threshold, chains of links, and texts of their own.
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(260):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 2, 3, 4, 6))):
+            words[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    chain = [f"c{i}" for i in range(150)]
+    for i in range(30):
+        texts.append(" ".join(chain))
+        for at in range(i * 4, i * 4 + 3):
+            chain[at] = f"d{i}{at}"
+    texts += [" ".join(rng.choice(VOCAB) + str(rng.randrange(300)) for _ in range(60)) for _ in range(60)]
+    sets = [near_dups.shingles([t.encode()])[1:] for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dups.similarity(sets[i], sets[j]) >= near_dups.SIMILARITY:
+                links += 1
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert links > 200 and got == {i: root(i) for i in range(len(texts))}

@@ -437,3 +437,37 @@ def test_near_duplicates_equal_all_pairs(spark):
                 parent[b] = a
     got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert links > 200 and got == {i: root(i) for i in range(len(texts))}
+
+
+def test_wrapper_tells_template_from_text(spark):
+    menu = "<ul><li>Home page</li><li>Contact us</li></ul>"
+    page = lambda i, more="": f"<html><body class='no-sidebar'>{menu}<div class='has-menu'><h2>News {i}</h2><p>first of {i}</p><p>second of {i}</p>{more}</div><div><i>All rights are ours</i></div></body></html>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(6)]
+    rows += [(6, "http://a.example/", page(6, "<h3>Home page</h3><p>tail</p>")), (7, "http://a.example/", page(7, "<table><tr><td>cell</td></tr></table>"))]
+    # Copies count once: a host whose pages are all alike shows no template.
+    rows += [(10 + i, "http://b.example/", page(1)) for i in range(8)] + [(20 + i, "http://c.example/", page(i)) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = lambda i: f"Home page Contact us News {i} first of {i} second of {i} All rights are ours"
+    assert all(got[i] == f"News {i} first of {i} second of {i}" for i in range(6))
+    assert got[6] == "News 6 first of 6 second of 6 Home page tail" and got[7] == "News 7 first of 7 second of 7 cell"
+    assert all(got[10 + i] == whole(1) for i in range(8)) and all(got[20 + i] == whole(i) for i in range(3))
+
+
+def test_slots_of_different_places_do_not_match(spark):
+    # On one page the text after the title is an advert, on the other a heading: neither takes the other's role.
+    ad, own = "<article><h1>T{0}</h1><div class=ad>buy {0}</div><p>a {0}</p></article>", "<article><h1>T{0}</h1><h2>sub {0}</h2><p>a {0}</p></article>"
+    rows = [(i, "http://a.example/", (ad if i % 2 else own).format(i)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i} a {i}" if i % 2 else f"T{i} sub {i} a {i}" for i in range(12)}
+
+
+def test_wrappers_of_many_streams(spark):
+    # More streams than one task aligns: levels of parts give one wrapper that still knows the template.
+    rng = random.Random(3)
+    page = lambda i: "<body><section><b>Our shop</b></section><main>" + "".join(rng.choice(("<h2>h{0}</h2>", "<p>p{0}</p><ul><li>x</li></ul>", "<h3>s{0}</h3><pre>c</pre>")).format(f"{i}.{j}") for j in range(rng.randrange(2, 9))) + "</main></body>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert wrappers.page_streams(df, "url", "html").select("stream").distinct().count() > wrappers.FAN_IN
+    assert wrappers.infer_wrappers(df).count() == 1
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(df).collect()}
+    assert all(t.split() and "shop" not in t for t in got.values())

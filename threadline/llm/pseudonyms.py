@@ -78,18 +78,23 @@ def char_at(text: Column, i: Column) -> Column:
     return F.substring(text, i, F.lit(1))
 
 
+def wide_range(c: Column) -> Column:
+    """The first and last code point of the range of a letter outside ASCII; null for other characters."""
+    ranges = F.array(*[F.array(F.lit(ord(low)), F.lit(ord(high))) for low, high in WIDE_RANGES])
+    return F.get(F.filter(ranges, lambda r: F.ascii(c).between(F.get(r, F.lit(0)), F.get(r, F.lit(1)))), F.lit(0))
+
+
 def radix(c: Column, letters: int) -> Column:
-    wide = F.lit(1)
-    for low, high in WIDE_RANGES:
-        wide = F.when(c.between(low, high), ord(high) - ord(low) + 1).otherwise(wide)
-    return F.when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), letters).when(c > "\x7f", wide).otherwise(1).cast("long")
+    """``letters`` of 0: letters outside ASCII count too."""
+    ascii_only = F.when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), letters or 26)
+    if letters:
+        return ascii_only.otherwise(1).cast("long")
+    return ascii_only.otherwise(F.coalesce(let(wide_range(c), lambda r: F.get(r, F.lit(1)) - F.get(r, F.lit(0)) + 1), F.lit(1))).cast("long")
 
 
-def base(c: Column) -> Column:
-    wide = F.ascii(c)
-    for low, high in WIDE_RANGES:
-        wide = F.when(c.between(low, high), ord(low)).otherwise(wide)
-    return F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).otherwise(wide)
+def base(c: Column, letters: int) -> Column:
+    ascii_only = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
+    return ascii_only.otherwise(F.ascii(c) if letters else F.coalesce(F.get(wide_range(c), F.lit(0)), F.ascii(c)))
 
 
 def character(code: Column) -> Column:
@@ -107,18 +112,20 @@ def size_of(text: Column, letters: int) -> Column:
 
 def number_of(text: Column, letters: int) -> Column:
     """The mixed-radix number of a text's digits and letters; other characters have radix 1."""
-    return F.aggregate(places(text), F.lit(0).cast("long"), lambda acc, i: let(char_at(text, i), lambda c: acc * radix(c, letters) + F.when(radix(c, letters) > 1, F.ascii(c) - base(c)).otherwise(0)))
+    return F.aggregate(places(text), F.lit(0).cast("long"), lambda acc, i: let(char_at(text, i), lambda c: let(radix(c, letters), lambda r: acc * r + F.when(r > 1, F.ascii(c) - base(c, letters)).otherwise(0))))
 
 
 def text_of(number: Column, shape: Column, letters: int) -> Column:
     start = F.struct(number.alias("rest"), F.lit("").alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        c = char_at(shape, i)
-        r = radix(c, letters)
-        one = F.when(r > 1, character(base(c) + F.pmod(acc["rest"], r))).otherwise(c)
+    def put(acc: Column, c: Column, r: Column) -> Column:
+        code = base(c, letters) + F.pmod(acc["rest"], r)
+        one = F.when(r > 1, F.char(code) if letters else let(code, character)).otherwise(c)
         return F.struct(F.call_function("div", acc["rest"] - F.pmod(acc["rest"], r), r).alias("rest"), F.concat(one, acc["out"]).alias("out"))
 
+    def step(acc: Column, i: Column) -> Column:
+        return let(char_at(shape, i), lambda c: let(radix(c, letters), lambda r: put(acc, c, r)))
+
     return F.aggregate(F.reverse(places(shape)), start, step)["out"]
 
 
@@ -132,13 +139,12 @@ def permute_piece(text: Column, key: str, kind: Column, letters: int) -> Column:
 
 def permute_chars(text: Column, key: str, kind: str, wide: bool = False) -> Column:
     """Permute the digits and letters of a text among those of their class; the rest stays in place."""
-    letters = LETTERS.get(kind, 26)
-
-    def by(size: int) -> Column:
+    def by(size: int, letters: int) -> Column:
         pieces = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
         return F.array_join(F.transform(pieces, lambda i: let(F.substring(text, i * size + 1, F.lit(size)), lambda piece: permute_piece(piece, key, F.concat(F.lit(kind), i.cast("string")), letters))), "")
 
-    out = F.when(text.rlike(r"[^\x00-\x7F]"), by(WIDE_PIECE)).otherwise(by(PIECE)) if wide else by(PIECE)
+    plain = by(PIECE, LETTERS.get(kind, 26))
+    out = F.when(text.rlike(r"[^\x00-\x7F]"), by(WIDE_PIECE, 0)).otherwise(plain) if wide else plain
     return F.when(F.length(text) > 0, out).otherwise(text)
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadline.operators.tables import materialize
+
 
 def shared_source_edges(nodes: DataFrame, source: list[str], rank: Column) -> DataFrame:
     """Edges between facts of one source, from the lower rank to the next: every fact is linked to the first fact of
@@ -45,19 +45,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Every round is written to the session's checkpoint folder, so lineage stays short and lost executors do no harm.
     """
-    spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{folder.rstrip('/')}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    cut = lambda df: materialize(df, "components")
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b"))
     both = cut(pairs.union(pairs.select("b", "a")).distinct())
     labels = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("component")).withColumnRenamed("a", "node"))
@@ -79,7 +67,7 @@ def current_heads(nodes: DataFrame, group: list[str], order: Column, is_conflict
 
 def snapshot_differences(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows that only one side has or whose content differs, by a hash of the content."""
-    digest = lambda df: F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)]), 256)
+    digest = lambda df: F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
     a, b = old.select(key, digest(old).alias("old_hash")), new.select(key, digest(new).alias("new_hash"))
     kind = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").otherwise("changed")
     return a.join(b, key, "full_outer").filter(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).select(key, kind.alias("difference"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def normal_answer(text: Column) -> Column:
-    """Lower case, only ASCII letters and digits, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
+    """Lower case, only letters and digits of any script, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def contains_all(answer: Column, gold: Column) -> Column:
@@ -37,5 +37,5 @@ def rubric_mean(scores: Column, low: int, high: int) -> Column:
 
 def composite(ncr: Column, crc: Column, cc: Column, specific: Column, quality: Column) -> Column:
     """Weighted composite of three rates, halved where the answer is not specific, times a quality factor."""
-    factor = F.when(quality == "excellent", 1.0).when(quality == "good", 0.9).when(quality == "partial", 0.7).when(quality == "poor", 0.4).otherwise(0.1)
+    factor = F.when(quality == "excellent", 1.0).when(quality == "good", 0.9).when(quality == "partial", 0.7).when(quality == "poor", 0.4).when(quality == "none", 0.1).otherwise(0.5)
     return (ncr * 0.35 + crc * 0.35 + cc * 0.30) * F.when(specific, 1.0).otherwise(0.5) * factor

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from threadline.functions import fixed as fx
 from threadline.functions import rules
+from threadline.operators.tables import numbered
 
 KEY = ["subject_id", "family", "factor_key"]
 
@@ -40,6 +41,7 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         prior, following, version = [], [], []
         for *now, order, ingest, fact in zip(*(rows[c] for c in (*KEY, "event_order", "ingest_seq", "fact_id")), strict=True):
+            now = [None if pd.isna(x) else x for x in now]
             if now != key:
                 key, seen = now, []
             at = bisect_right(seen, (order, ingest, fact))
@@ -70,14 +72,13 @@ def current_facts(facts: DataFrame) -> DataFrame:
 
 
 def keep_newest(rows: DataFrame, keys: list[str], order: Column, columns: list[str]) -> DataFrame:
-    """Per key the row of the greatest order."""
+    """Per key the row of the greatest order; give an order without ties, or which of equals is kept is not defined."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("r")).select(*keys, "r.*")
 
 
 def timeline(facts: DataFrame, subject: str) -> DataFrame:
     """Chronological place of each fact within its subject; unknown times first."""
-    w = W.partitionBy(subject).orderBy(F.col("event_ts").asc_nulls_first(), "family", "fact_id")
-    return facts.withColumn("place", F.row_number().over(w).cast("long"))
+    return numbered(facts, [subject], [F.col("event_ts").asc_nulls_first(), F.col("family"), F.col("fact_id")], "place")
 
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadline.functions import fixed, rules
 from threadline.functions import text as tx
 from threadline.operators import graph, metrics, quality, retrieval, scoring, sessions, versioning
+from threadline.operators.tables import shared_folder
 from threadline.plans.base import FACTORS, facts, register, table
 
 FAMILIES = ("click", "error", "purchase", "signup", "view")
@@ -207,30 +209,33 @@ def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.length("t").cast("long").alias("n_compact"), F.size(tx.char_ngrams(F.col("t"), 3)).cast("long").alias("n_grams"))
 
 
-@register("""SELECT term, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents) GROUP BY term, doc_id""")
+TERMS = retrieval.TERM.replace("IsHan", "Han")
+
+
+@register(f"""SELECT term, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERMS}')) AS term FROM documents) GROUP BY term, doc_id""")
 def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", tx.words(F.col("text")))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(retrieval.TERM), F.lit(0))
+    return retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", found)
+
+
+HITS = f"""p AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{TERMS}'))) AS term FROM documents), q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '{TERMS}'))) AS term FROM benchmark),
+    s AS (SELECT item_id, doc_id, count(*) AS hits, round(5.0 * least(count(*), 24), 3) AS score FROM q JOIN p USING (term) GROUP BY item_id, doc_id)"""
 
 
-HITS = """p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM documents), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark),
-    rare AS (SELECT term FROM p GROUP BY term HAVING count(*) <= 0.05 * (SELECT count(*) FROM documents)),
-    s AS (SELECT item_id, doc_id, count(*) AS hits, round(5.0 * least(count(*), 24), 3) AS score FROM q JOIN p USING (term) JOIN rare USING (term) GROUP BY item_id, doc_id)"""
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_terms = lambda name, key: table(spark, sf_dir, name).select(key, retrieval.terms(F.col("text")).alias("terms"))
+    return retrieval.lexical_hits(by_terms("benchmark", "item_id"), "item_id", by_terms("documents", "doc_id"), "doc_id", 24)
 
 
-@register(f"WITH {HITS} SELECT * FROM s")
+@register(f"WITH {HITS} SELECT doc_id, count(*) AS n_items, sum(hits)::BIGINT AS hits, max(score) AS best_score FROM s GROUP BY doc_id")
 def indexed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items against documents by shared terms of six letters or more that at most a twentieth of all documents have."""
-    terms = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("term"))
-    docs = table(spark, sf_dir, "documents")
-    post = terms(docs, "doc_id")
-    rare = retrieval.rare_terms(post, 0.05, docs.count())
-    return retrieval.lexical_hits(terms(table(spark, sf_dir, "benchmark"), "item_id"), "item_id", post.join(rare.select("term"), "term"), "doc_id", 24)
+    """Every document against all benchmark items by all terms that both have, frequent ones too: its items, hits and best score."""
+    return hits(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("hits").alias("hits"), F.max("score").alias("best_score"))
 
 
-@register(f"WITH {HITS}, r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s) SELECT * FROM r WHERE place <= 12")
+@register(f"WITH {HITS}, r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS place FROM s) SELECT * FROM r WHERE place <= 12")
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = indexed_scores(spark, sf_dir).select("item_id", "doc_id", "score")
-    return retrieval.top_k(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 12)
+    return retrieval.top_k(hits(spark, sf_dir), ["item_id"], [F.desc("hits"), F.asc("doc_id")], 12).select("item_id", "doc_id", "score", "place")
 
 
 @register("SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents QUALIFY place <= 5")
@@ -238,12 +243,14 @@ def option_quota_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"], [F.desc("n_chars"), F.asc("doc_id")], 5)
 
 
-@register("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS round FROM documents")
+@register("""WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS round FROM documents), f AS (SELECT *, min(rank) OVER (PARTITION BY source) AS first FROM r)
+    SELECT doc_id, source, round, row_number() OVER (ORDER BY round, first) AS place FROM f""")
 def provenance_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.interleave(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "source", "round")
+    """Documents by length, one of each source a round."""
+    return retrieval.interleave(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "source", "round", "place")
 
 
-@register("""WITH k AS (SELECT doc_id, n_chars, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS same, source FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY same ORDER BY n_chars DESC, doc_id) AS rn FROM k)
+@register("""WITH k AS (SELECT doc_id, n_chars, md5(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS same, source FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY same ORDER BY n_chars DESC, doc_id) AS rn FROM k)
     SELECT max(CASE WHEN rn = 1 THEN doc_id END) AS best_id, max(n_chars) AS best_score, count(*) AS members, min(doc_id) AS first_id FROM b GROUP BY same""")
 def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.merge_duplicates(table(spark, sf_dir, "documents"), F.md5(scoring.normal_answer(F.col("text")).cast("binary")), "doc_id", F.col("n_chars"))
@@ -282,7 +289,7 @@ def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- scoring and metrics -------------------------------------------------------------------------------------------
 
 
-@register("""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents), e AS (SELECT doc_id, t, lead(t) OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) AS g FROM n),
+@register("""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM documents), e AS (SELECT doc_id, t, lead(t) OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) AS g FROM n),
     p AS (SELECT doc_id, unnest(string_split(t, ' ')) AS token FROM e WHERE g IS NOT NULL), q AS (SELECT doc_id, unnest(string_split(g, ' ')) AS token FROM e WHERE g IS NOT NULL),
     a AS (SELECT doc_id, token, count(*) AS np FROM p WHERE token <> '' GROUP BY ALL), b AS (SELECT doc_id, token, count(*) AS ng FROM q WHERE token <> '' GROUP BY ALL),
     s AS (SELECT doc_id, CAST(sum(CASE WHEN np IS NOT NULL AND ng IS NOT NULL THEN least(np, ng) ELSE 0 END) AS BIGINT) AS shared, sum(coalesce(np, 0)) + sum(coalesce(ng, 0)) AS both_sides FROM a FULL JOIN b USING (doc_id, token) GROUP BY doc_id)
@@ -357,16 +364,6 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("total", F.col("total").cast("double"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 @register("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events),
     n AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e)
     SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM n GROUP BY user_id, nth""")
@@ -403,14 +400,13 @@ def option_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(letters, ",").alias("letters"), (letters == F.array(F.lit("A"))).alias("is_correct"))
 
 
-ABSTENTIONS = ("the", "of", "not mentioned", "unknown")
+ANSWER = "CASE turn % 5 WHEN 3 THEN 'Not mentioned, in the record.' WHEN 4 THEN 'The question is NOT answerable: ask the doctor' ELSE text END"
 
 
-@register("SELECT conv_id, turn, trim(regexp_replace(lower(split_part(text, '.', 1)), '[^a-z0-9]+', ' ', 'g')) IN ('the', 'of', 'not mentioned', 'unknown') AS abstains FROM conversations")
+@register(f"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower({ANSWER}), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) IN (" + ", ".join(f"'{p}'" for p in fixed.ABSTENTIONS) + ") AS abstains FROM conversations")
 def abstention_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a turn's first sentence is one of the accepted phrases."""
-    first = scoring.normal_answer(F.split_part("text", F.lit("."), F.lit(1)))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", first.isin(*ABSTENTIONS).alias("abstains"))
+    """Whether a whole turn, in normal form, is one of the accepted phrases."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rules.abstains(F.expr(ANSWER)).alias("abstains"))
 
 
 @register("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN 'k is missing' WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) > 90 THEN 'k is out of range' ELSE '' END AS error FROM events""")
@@ -449,13 +445,8 @@ def query_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.count_if(F.col("session_no").between(1, 2)).alias("n_in_window"), F.min(F.when(F.col("session_no") > 2, F.col("session_no"))).alias("next_session"))
 
 
-@register("""WITH p AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}'))) AS term FROM documents), q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}'))) AS term FROM benchmark),
-    n AS (SELECT item_id, count(*) AS n_terms FROM q GROUP BY 1), h AS (SELECT item_id, doc_id, count(*) AS hits FROM q JOIN p USING (term) GROUP BY 1, 2)
-    SELECT item_id, doc_id, hits, round(hits::DOUBLE / n_terms, 6) AS similarity FROM h JOIN n USING (item_id)""")
+@register(f"WITH {HITS}, n AS (SELECT item_id, count(*) AS n_terms FROM q GROUP BY 1) SELECT item_id, doc_id, hits, round(hits::DOUBLE / n_terms, 6) AS similarity FROM s JOIN n USING (item_id) WHERE hits::DOUBLE / n_terms >= 0.42")
 def lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each benchmark item's long terms that a document has, for the pairs that share one."""
-    terms = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0)))).alias("term"))
-    q = terms("benchmark", "item_id")
-    sizes = q.groupBy("item_id").agg(F.count("*").alias("n_terms"))
-    hits = q.join(terms("documents", "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
-    return hits.join(sizes, "item_id").select("item_id", "doc_id", "hits", F.round(F.col("hits") / F.col("n_terms"), 6).alias("similarity"))
+    """Share of each benchmark item's terms that a document has, for the pairs with 0.42 or more."""
+    share = F.col("hits") / F.col("n_terms")
+    return hits(spark, sf_dir).filter(share >= 0.42).select("item_id", "doc_id", "hits", F.round(share, 6).alias("similarity"))

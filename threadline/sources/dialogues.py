@@ -45,3 +45,44 @@ def read_tasks(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+ADMISSIONS = "admissions ARRAY<STRUCT<hadm_id: STRING, admission_start: STRING, admission_end: STRING, conversation_lines: ARRAY<STRUCT<speaker: STRING, turn_number: STRING, time: STRING, text: STRING>>>>"
+QUESTIONS = "qas ARRAY<STRUCT<qa_id: STRING, question_type: STRING, question: STRING, answer: STRING, scope: STRING>>"
+FOLDER = r"([^/]+)/[^/]+$"
+
+
+def read_admissions(spark: SparkSession, path: str) -> DataFrame:
+    """Turns: (subject_id, episode_id, position, turn, event_time, source_type, text) of admissions; who is not the patient is a doctor."""
+    files = spark.read.schema(ADMISSIONS).option("multiLine", True).json(path).withColumn("subject_id", _subject(FOLDER))
+    stays = files.select("subject_id", F.posexplode("admissions").alias("position", "a"))
+    lines = stays.select("subject_id", "position", "a.hadm_id", F.explode("a.conversation_lines").alias("l"))
+    source = F.when(F.lower("l.speaker") == "patient", "patient").otherwise("doctor")
+    return lines.select("subject_id", F.col("hadm_id").alias("episode_id"), "position", F.col("l.turn_number").alias("turn"), F.col("l.time").alias("event_time"), source.alias("source_type"), F.col("l.text").alias("text"))
+
+
+def read_admission_questions(spark: SparkSession, path: str, mode: str = "all", question_type: str | None = None) -> DataFrame:
+    """Cases: (subject_id, query_id, task, question, gold, scope) of one scope and type, or of all."""
+    files = spark.read.schema(QUESTIONS).option("multiLine", True).json(path).withColumn("subject_id", _subject(FOLDER))
+    rows = files.select("subject_id", F.explode("qas").alias("q"))
+    scope = "single_admission" if "single" in mode.lower() else "cross_admission" if "cross" in mode.lower() else None
+    if scope:
+        rows = rows.filter(F.col("q.scope") == scope)
+    if question_type:
+        rows = rows.filter(F.col("q.question_type") == question_type)
+    return rows.select("subject_id", F.col("q.qa_id").alias("query_id"), F.col("q.question_type").alias("task"), "q.question", F.array("q.answer").alias("gold"), "q.scope")
+
+
+def catalog(spark: SparkSession, path: str, subject_pattern: str) -> DataFrame:
+    """(subject_id, n_files, n_bytes) of the files below a path; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.select(F.regexp_extract("path", subject_pattern, 1).alias("subject_id"), "length").filter("subject_id <> ''").groupBy("subject_id").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
+def with_rubrics(spark: SparkSession, tasks: DataFrame, folders: dict[str, str]) -> DataFrame:
+    """Tasks with the rubric text of their type; a handful of texts that go to all tasks."""
+    texts = [read_texts(spark, path).select(F.lit(kind).alias("task_type"), F.col("text").alias("rubric")) for kind, path in folders.items()]
+    rubrics = texts[0]
+    for t in texts[1:]:
+        rubrics = rubrics.union(t)
+    return tasks.join(F.broadcast(rubrics), "task_type", "left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -66,3 +68,48 @@ def counted_versions(stream: DataFrame, keys: list[str], shape: str, step: Calla
         yield step(rows, seen)
 
     return stream.groupBy(*keys).applyInPandasWithState(run, shape, "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def complete_of_batches(stream: DataFrame, folder: str) -> DataFrame:
+    """A whole result after each batch: the last batch's."""
+    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.outputMode("complete").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{base}/out")
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+
+
+def commit_batches(stream: DataFrame, path: str, log: str, keys: list[str]) -> None:
+    """Each batch under its number, so one that runs again replaces itself; repeats of a key within a batch are dropped."""
+    write = lambda batch, number: batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+
+def committed_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What was committed, each key once, from the first batch that had it."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
+
+
+def with_feedback(turns: DataFrame, replies: DataFrame) -> DataFrame:
+    """Replies come back as the next turns of their record."""
+    return turns.unionByName(replies, allowMissingColumns=True)
+
+
+def late_versions(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Versions of facts (fact_id, event_order, ingest_seq) that may arrive late, across batches: a key's state is its facts so
+    far in event order, so a late fact goes between its neighbours and never takes the place of a later one."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ingest_seq", "fact_id"])
+        out = []
+        for order, ingest, fact in zip(rows["event_order"].tolist(), rows["ingest_seq"].tolist(), rows["fact_id"].tolist(), strict=True):
+            at = bisect_right(seen, (order, ingest, fact))
+            out.append((fact, len(seen) + 1, seen[at - 1][2] if at else None, seen[at][2] if at < len(seen) else None))
+            seen.insert(at, (order, ingest, fact))
+        state.update((json.dumps(seen),))
+        made = pd.DataFrame(out, columns=["fact_id", "version", "predecessor_id", "successor_id"])
+        yield made.astype({"predecessor_id": "Int64", "successor_id": "Int64"})
+
+    return stream.groupBy(*keys).applyInPandasWithState(run, "fact_id long, version long, predecessor_id long, successor_id long", "seen string", "append", GroupStateTimeout.NoTimeout)

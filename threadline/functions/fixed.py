@@ -173,3 +173,30 @@ REQUIRED_FACETS = {
     "entity_exact_match": ("direct_facts",), "temporal_localization": ("direct_facts", "event_time"), "state_update": ("direct_facts", "current_status", "previous_state", "longitudinal_change"), "multiple_choice": ("option_evidence",),
     **dict.fromkeys(COMPLEX_TASKS, ("direct_facts", "diagnosis", "medication_status", "adherence", "treatment_response", "objective_results", "symptoms_or_adverse_effects", "serious_complications", "contraindications_and_allergies", "longitudinal_change", "patient_preference", "care_plan")),
 }
+
+# Which families a statement belongs to.
+ROUTES = {
+    "question": r"[?？]",
+    "confirming": r"(?i)(?:所以|那|也就是说|真的|是不是|难道|so\b|really|does that mean|is(?:n['’]t)? it)",
+    "subject": r"(?i)患者|来访者|当事人|\bpatient\b|\bclient\b",
+    "intent": r"(?i)愿意|计划|打算|准备|将会|我会|患者会|会按|承诺|希望|will|willing|plan(?:s|ned)? to|intend|commit",
+    "agreement": r"(?i)(?:我|患者)(?:愿意|同意|接受|承诺|会|将|可以|按.*(?:建议|计划))|(?:Patient|I) (?:will|agree|accept|am willing|can follow)",
+    "observed": r"(?i)观察到|会谈中|咨询中|表现为|显得|哭泣|observed|during (?:the )?session|appeared|was tearful",
+    "reported": r"(?i)(?:家人|父母|母亲|父亲|伴侣|女友|男友|朋友|室友|同事|照护者).{0,18}(?:提到|发现|注意到|观察到|报告)|(?:family|parent|mother|father|partner|girlfriend|boyfriend|friend|roommate|colleague|caregiver).{0,30}(?:mentioned|noticed|observed|reported)",
+    "background": r"(?i)既往史|既往病史|病史|既往患有|曾患有|家庭成员|家庭构成|家中有|已婚|未婚|关系|争执|冲突|矛盾|疏远|在校|学生|学校|大学|专业|学业|考试|工作|职业|项目赶工|赶工|加班|长期熬夜|独居|社交环境|生活处境|照顾负担|失业|离职|搬家|离婚|分手|丧亲|copay|付不起|无法承担|费用|异地医保|医保|保险|CGM|收入|房租|交通不便|家人支持|朋友支持|支持系统|支持资源|可求助|有人陪同|medical history|history of|family|relationship|student|school|college|university|education|academic|work|job|occupation|project deadline|overtime|lives alone|social context|life event|afford|cost|insurance|financial constraint|housing constraint|transport constraint|support system|trusted person",
+    "experience": r"(?i)症状|不舒服|疼|恶心|口渴|多尿|头晕|乏力|视力模糊|呼吸困难|焦虑|紧张|抑郁|难过|情绪|哭泣|痛苦|崩溃|不堪重负|睡眠|失眠|入睡|夜间醒来|功能受限|无法.*(?:工作|学习|生活)|身体反应|躯体反应|出汗|手抖|心慌|肌肉紧绷|服药|用药|吃药|服用|停药|停用|停服|漏服|漏药|未服|没有服药|测了|测过|监测了|自测|回避|逃避|不敢|应对|正念|呼吸练习|自伤|自杀|轻生|具体计划|手段|冲动|symptom|pain|nause|thirst|urinat|dizz|fatigue|blurred vision|shortness of breath|anxi|depress|sad|emotion|tearful|distress|overwhelm|sleep|insomnia|function|somatic response|sweat|trembl|palpitation|medication|taking|stopped|discontinued|missed dose|checked|monitored|tracked|avoid|coping|mindful|self[- ]?harm|suicid",
+    "appraisal": r"(?i)自动想法|脑子里.*冒出|第一反应|误以为|错误地认为|一直以为|误解|担心|害怕|愿意|可以试试|偏好|更偏向|信心|可能性.*(?:%|％)|目标|希望|想要|相信|坚信|认定|认为|觉得|理解|意味着|看来|承诺|会按|坚持|automatic thought|first thought|misconception|mistakenly believed|worr|fear|concern|willing|open to|prefer|would rather|confiden|chance.*%|goal|hope|want|belie|think|interpret|means that|commit|will follow",
+    "judgment": r"(?i)红旗评估|红旗信号|危险信号|高风险|中风险|低风险|风险等级|自杀风险评估|自伤风险评估|风险评估|过敏|禁忌|不能碰|不得使用|量表|评分|PHQ-?9|GAD-?7|确诊|诊断为|查出来是|临床评估|综合评估|专业评估|临床判断|腰椎穿刺|眼底检查|手术|导管|透析|(?:检查|检验|化验)(?:显示|发现|结果|证实)|血糖.{0,16}(?:持续)?(?:偏高|偏低|恢复正常|控制欠佳|控制良好|异常)|(?:血压|心率|体温|脉搏|BMI|UACR|HbA1c|糖化血红蛋白|空腹血糖|餐后血糖|血糖|尿酮|酮体).{0,16}(?:为|是|达到|升至|降至|阳性|阴性|\+{1,4}|[0-9])|red.?flag assessment|risk level|high risk|moderate risk|low risk|risk assessment|allerg|contraindicat|scale|score|diagnosed|diagnosis|clinical assessment|clinical impression|procedure|surgery|(?:test|exam|laboratory) (?:showed|found|result|confirmed)|(?:blood pressure|heart rate|temperature|blood sugar|glucose|ketone).{0,16}(?:was|is|at|rose|fell|positive|negative|high|low|normal|abnormal|[0-9])",
+    "directive": r"(?i)建议|推荐|应该|计划|安排|要求|考虑|打算|是否|要不要|recommend|suggest|should|plan|consider|whether",
+    "taking": r"(?i)正在(?:服用|使用)|目前(?:服用|使用)|当前(?:服用|使用)|已(?:经)?(?:停用|停服|停药)|用药状态|当前剂量|\b(?:currently taking|taking|stopped taking|discontinued|medication status|current dose)\b",
+    "stopped": r"(?i)(?:停用|停服|停药)(?:后|之后|了|至今|$)",
+    "care": r"(?i)建议|推荐|应该|计划|安排|要求|制定|重启|开始|治疗|监测|测量|记录|练习|作业|联系|立即就医|转诊|出院|入院|住院|收治|随访|安全计划|危机热线|预警信号|解释|说明|告知|健康教育|recommend|suggest|should|plan|arrange|restart|start|follow.?up|treat|monitor|measure|track|assignment|contact|emergency|discharg|admit|hospital|refer|safety plan|crisis contact|hotline|warning sign|educat|explain|informed",
+    "change": r"(?i)从.*(?:到|至|降至|升至|变为)|由.*(?:变为|转为)|→|比之前|较前|相比|改善|恶化|缓解|复发|再次出现|又出现|重新出现|越来越|频率.*(?:增加|减少)|次数.*(?:增加|减少)|治疗.*(?:有效|无效|反应)|服药.*(?:有效|无效|反应)|作业.*(?:完成|没完成|效果|结果)|目标.*(?:进展|完成|达成|接近)|上一次|跨.*(?:Session|Episode)|previously.*now|changed from.*to|decreas|increas|improv|wors|recurr|returned|again|frequency|more often|less often|treatment response|goal progress|cross[- ]?episode|compared with",
+}
+
+# Words that frame a question, and words that are no keywords.
+FRAMING = ("患者", "医生", "用户", "什么", "是否", "怎么", "请问", "哪些", "如何", "我要", "不要", "把", "中", "提到", "的", "是", "被", "在", "并", "约")
+STOP_TERMS = (
+    "患者", "医生", "用户", "目前", "现在", "当前", "最近", "近期", "既往", "时间", "日期", "时候", "什么时候", "何时", "情况", "问题", "怎么", "什么", "是否", "可以", "需要", "请问", "这个", "那个", "一下", "进行", "相关", "记录", "哪些", "如何", "疾病", "药物", "症状", "信息", "内容", "事项",
+    "the", "and", "what", "when", "which", "with", "patient", "doctor",
+)

@@ -297,3 +297,31 @@ def desired_actions(task: Column, operator: Column, budget: int = 6) -> Column:
     trimmed = lambda *steps: F.array(*map(F.lit, steps if len(steps) <= budget else ("focus", *[s for s in steps if s not in ("focus", "verify", "answer")][: budget - 3], "verify", "answer")))
     timed = task.isin(*fx.TEMPORAL_TASKS) | (operator != "none")
     return F.when(task.isin(*fx.COMPLEX_TASKS), trimmed("focus", "trace", "connect", "evaluate", "verify", "answer")).when(timed, trimmed("focus", "trace", "verify", "answer")).otherwise(trimmed("focus", "verify", "answer"))
+
+
+def routed_families(text: Column, source_type: Column) -> Column:
+    """The families that a statement belongs to, by its words and who says it; a question states nothing, but for one that
+    asks for confirmation."""
+    is_ = {n: has(text, p) for n, p in fx.ROUTES.items()}
+    patient = (source_type == "patient") | is_["subject"]
+    agrees = patient & is_["agreement"]
+    lives = (patient | is_["observed"] | is_["reported"]) & is_["experience"] & ~(is_["intent"] & ~agrees)
+    status = is_["taking"] | (~is_["directive"] & is_["stopped"])
+    found = F.filter(F.array(
+        F.when(is_["background"], "BC"), F.when(lives, "PE"), F.when(patient & is_["appraisal"], "PA"), F.when(is_["judgment"] | status, "CS"), F.when(is_["care"] | agrees, "CP"), F.when(is_["change"], "LO"),
+    ), lambda x: x.isNotNull())
+    asked = F.when(patient & is_["confirming"], F.array(F.lit("PA"))).otherwise(F.array().cast("array<string>"))
+    return F.when(is_["question"], asked).otherwise(found)
+
+
+def keyword_phrases(question: Column) -> Column:
+    """Phrases of one to four words, numbers with units and option texts of a question; runs of Han characters are one word each."""
+    base = F.regexp_replace(F.coalesce(question, F.lit("")), r"(?:^|\n)\s*[A-Z][.、)]\s*[^\n]+", " ")
+    words = F.regexp_extract_all(F.lower(base), F.lit(r"[a-z][a-z0-9-]{2,}|\p{IsHan}+|[0-9]+(?:[-–—~～][0-9]+)?(?:斤|公斤|kg|mg|%|mmol/l)?"), F.lit(0))
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(words) - i + 1)), lambda n: F.slice(words, i, n))))
+    useful = F.filter(runs, lambda r: ~F.arrays_overlap(r, F.array(*map(F.lit, fx.FRAMING))) & ((F.size(r) > 1) | ~F.get(r, F.lit(0)).isin(*fx.STOP_TERMS)))
+    numbers = F.regexp_extract_all(F.lower(base), F.lit(r"[0-9]+(?:[-–—~～][0-9]+)?(?:斤|公斤|kg|mg|%|mmol/l)?"), F.lit(0))
+    phrases = F.concat(numbers, F.transform(parsed_options(F.coalesce(question, F.lit(""))), lambda o: o["text"]), F.filter(F.transform(useful, lambda r: F.array_join(r, "")), lambda p: F.length(p) <= 20))
+    kept = F.filter(phrases, lambda p: F.length(p).between(2, 40) & ~F.lower(p).isin(*fx.STOP_TERMS))
+    return F.slice(F.array_distinct(kept), 1, 48)

@@ -247,3 +247,30 @@ def facet_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = rows.groupBy("subject_id", "task").agg(F.collect_set("facet").alias("held")).withColumn("required", rules.required_facets(F.col("task")))
     missing = F.array_except("required", "held")
     return held.select("subject_id", "task", F.size(F.array_intersect("required", "held")).cast("long").alias("n_covered"), F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("complete"))
+
+
+IS = {n: matches("text", p) for n, p in fx.ROUTES.items()}
+PATIENT = f"(source_type = 'patient' OR {IS['subject']})"
+AGREES = f"({PATIENT} AND {IS['agreement']})"
+ROUTED = f"""CASE WHEN {IS['question']} THEN CASE WHEN {PATIENT} AND {IS['confirming']} THEN ['PA'] ELSE {NONE_SQL} END ELSE list_filter([CASE WHEN {IS['background']} THEN 'BC' END, CASE WHEN ({PATIENT} OR {IS['observed']} OR {IS['reported']}) AND {IS['experience']} AND NOT ({IS['intent']} AND NOT {AGREES}) THEN 'PE' END,
+    CASE WHEN {PATIENT} AND {IS['appraisal']} THEN 'PA' END, CASE WHEN {IS['judgment']} OR {IS['taking']} OR NOT {IS['directive']} AND {IS['stopped']} THEN 'CS' END, CASE WHEN {IS['care']} OR {AGREES} THEN 'CP' END, CASE WHEN {IS['change']} THEN 'LO' END], lambda x: x IS NOT NULL) END"""
+
+
+@register(f"WITH {STATEMENTS} SELECT state_id, array_to_string({ROUTED}, ',') AS families FROM st")
+def routed_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The families of each statement by the rules of words, source and form."""
+    return statements(spark, sf_dir).select("state_id", F.array_join(rules.routed_families(TEXT, F.col("source_type")), ",").alias("families"))
+
+
+WORD = r"[a-z][a-z0-9-]{2,}|\p{IsHan}+|[0-9]+(?:[-–—~～][0-9]+)?(?:斤|公斤|kg|mg|%|mmol/l)?"
+NUMBER = r"[0-9]+(?:[-–—~～][0-9]+)?(?:斤|公斤|kg|mg|%|mmol/l)?"
+
+
+@register(f"""WITH {STATEMENTS}, q AS (SELECT state_id, {QUESTION} AS question FROM st), b AS (SELECT *, lower(regexp_replace(question, '(?:^|\\n)\\s*[A-Z][.、)]\\s*[^\\n]+', ' ', 'g')) AS base FROM q), w AS (SELECT *, regexp_extract_all(base, {quoted(WORD)}) AS words FROM b),
+    r AS (SELECT *, flatten(list_transform(range(1, len(words) + 1), lambda i: list_transform(range(1, least(4, len(words) - i + 1) + 1), lambda n: words[i:i+n-1]))) AS runs FROM w),
+    p AS (SELECT state_id, list_concat(list_concat(regexp_extract_all(base, {quoted(NUMBER)}), list_transform(regexp_extract_all(question, '(?:^|\\n)\\s*([A-Z])[.、)]\\s*([^\\n]+)', 2), lambda o: trim(o))), list_filter(list_transform(list_filter(runs, lambda x: NOT list_has_any(x, {list(fx.FRAMING)}) AND (len(x) > 1 OR NOT list_contains({list(fx.STOP_TERMS)}, x[1]))), lambda x: array_to_string(x, '')), lambda x: length(x) <= 20)) AS phrases FROM r)
+    SELECT state_id, array_to_string(list_sort(list_distinct(list_filter(phrases, lambda x: length(x) BETWEEN 2 AND 40 AND NOT list_contains({list(fx.STOP_TERMS)}, lower(x))))), '|') AS keywords FROM p""")
+def fallback_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of statements asked as questions with options."""
+    question = F.expr(QUESTION.replace("chr(10)", "char(10)"))
+    return statements(spark, sf_dir).select("state_id", F.array_join(F.array_sort(rules.keyword_phrases(question)), "|").alias("keywords"))

@@ -511,3 +511,67 @@ def test_language_model_needs_its_files_and_wide_counts(spark):
     shard = next(i for i in range(model.shards) if len(vocab.shard(i)["hashes"]))
     vocab.files[shard] = {**vocab.shard(shard), "counts": vocab.shard(shard)["counts"] + (1 << 40)}
     assert vocab.look_up(vocab.shard(shard)["hashes"])[1].min() > 1 << 40
+
+
+def test_stages_of_odd_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long, node string, key string, __node string, ids string, label string"
+    odd = [None, "", " \n", "short", "short", LONG, BODY, NEAR, BODY, "mail é@b.example and 4952935900253052 " + BODY.replace("beta", "omega")]
+    rows = [(None if i == 3 else 3 if i == 8 else i, t, "en", None, len(t or ""), "n", "k", "x", "i", "l") for i, t in enumerate(odd)]
+    full, none = spark.createDataFrame(rows + rows[-1:], shape), spark.createDataFrame([], shape)
+    for name, stage in corpus_pipeline.STAGES:
+        out, nothing = stage(spark, full, sf_dir), stage(spark, none, sf_dir)
+        assert nothing.count() == 0, name
+        if name != "packing":
+            assert out.columns == full.columns and nothing.columns == full.columns, name
+        got = out.collect()
+        if name == "near_dedup":
+            # null, empty and blank texts, "short", LONG, BODY with NEAR, and the last text with its repeated row
+            assert sorted(str(r["text"] or "").strip()[:9] for r in got) == sorted(["", "", "short", LONG[:9], BODY[:9], "mail é@b."])
+        elif name == "pii":
+            assert len(got) == len(rows) + 1 and sum(r["text"] is None for r in got) == 1 and not any("4952935900253052" in (r["text"] or "") or "é@" in (r["text"] or "") for r in got)
+            assert all(r["n_chars"] == len(r["text"]) for r in got if r["text"] is not None)
+        elif name == "packing":
+            assert len({r["doc_id"] for r in got}) == len({r[0] for r in rows}) and sum(r["length"] for r in got if r["start"] == 0 and r["doc_tokens"] == 1) == 3
+
+
+def test_pipeline_stages_equal_their_operators(spark, sf_dir):
+    """Each stage keeps what its operator says of the whole of what it is given; classes by all pairs, scores and labels row by row."""
+    import corpus_pipeline
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = line_crf.train(docs, labels)
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, sf_dir).collect()}
+    rows = docs.collect()
+    assert kept == {r["doc_id"] for r in rows if line_crf.judge(r["text"], field)[6]}
+    model = toxicity.train(docs, labels, learnable=F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    find = toxicity.Finder(list(model.terms))
+    civil = {r["doc_id"] for r in corpus_pipeline.civility(spark, docs, sf_dir).collect()}
+    assert civil == {r["doc_id"] for r in rows if model.score(np.array([find.features(r["text"] or "")]))[0] < 0.5}
+    sets = {r["doc_id"]: near_dups.shingles([near_dups.as_words(r["text"] or "")])[1:] for r in rows}
+    holders = {}
+    for i, (hashes, _) in sets.items():
+        for h in hashes.tolist():
+            holders.setdefault(h, []).append(i)
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    met = Counter((a, b) for ids in holders.values() if len(ids) < 100 for a in ids for b in ids if a < b)
+    for (a, b), n in met.items():
+        if n >= 3 and near_dups.similarity(sets[a], sets[b]) >= near_dups.SIMILARITY:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r["text"], []).append(r["doc_id"])
+    for ids in by_text.values():
+        for i in ids[1:]:
+            x, y = sorted((root(ids[0]), root(i)))
+            if x != y:
+                parent[y] = x
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == {i for i in sets if root(i) == i}

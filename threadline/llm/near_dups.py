@@ -340,15 +340,18 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class, that of the least id (nulls first), then text and row by their hashes; all columns stay."""
+    # Names that no column of the caller has.
+    marks = "_" * (1 + max(map(len, docs.columns), default=0))
+    node, row = marks + "node", marks + "row"
     others = F.struct(F.col(text_col).isNull().alias("no_text"), *[F.col(c) for c in docs.columns if c not in (id_col, text_col)])
-    marked = docs.withColumn("__node", node_of(F.col(text_col))).withColumn("__row", F.unhex(F.md5(F.to_json(others).cast("binary"))))
-    base = marked.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__node").alias("node"), F.col("__row").alias("row"))
+    marked = docs.withColumn(node, node_of(F.col(text_col))).withColumn(row, F.unhex(F.md5(F.to_json(others).cast("binary"))))
+    base = marked.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(node).alias("node"), F.col(row).alias("row"))
     rows = labelled(base, threshold)
     # Two rows alike in all columns are one row here.
     kept = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNotNull().alias("has_id"), "id", "node", "row")).alias("least"))
     kept = materialize(kept.select(F.col("least.id").alias("kept_id"), F.col("least.node").alias("kept_node"), F.col("least.row").alias("kept_row")), "kept")
     few = kept.count() <= MAX_BROADCAST_NODES
-    same = marked[id_col].eqNullSafe(kept["kept_id"]) & (marked["__node"] == kept["kept_node"]) & (marked["__row"] == kept["kept_row"])
+    same = marked[id_col].eqNullSafe(kept["kept_id"]) & (marked[node] == kept["kept_node"]) & (marked[row] == kept["kept_row"])
     out = marked.join(F.broadcast(kept) if few else kept, same, "left_semi")
     repeated = rows.groupBy("id", "node", "row").count().filter("count > 1")
-    return (out if repeated.isEmpty() else out.dropDuplicates([id_col, "__node", "__row"])).drop("__node", "__row")
+    return (out if repeated.isEmpty() else out.dropDuplicates([id_col, node, row])).drop(node, row)

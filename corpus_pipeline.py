@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, in five stages, each written out before the next reads it."""
+"""From raw documents to packed training sequences, in five stages, each written out before the next reads it.
+
+Defined results of the stages: an empty table passes through all of them; other columns stay, whatever their names, up to
+the last stage. A null or blank text fails the base rules and goes in the first stage; on its own the second keeps it, the
+third takes it as the empty text (null ids first among equals), the fourth leaves null null, the last packs its end token.
+Rows that repeat are judged alike; the third stage keeps one of each class, and one of rows alike in all columns.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from threadline.llm import line_crf, near_dups, packing, pseudonyms, toxicity
 from threadline.llm.common import materialize, one_of_five, table
 from threadline.llm.queries import word_bpe_path
 
-#: The learned and iterative stages have no SQL form; the tests compare them with brute force.
+#: The learned and iterative stages have no SQL form; the tests hold each stage against brute force on what it is given.
 ORACLE_SQL: str | None = None
 
 

@@ -145,3 +145,38 @@ def option_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = candidates(spark, sf_dir).select("query_id", "state_id", "place", F.explode("option_ids").alias("option_id"))
     chosen = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 12, F.struct("place", "state_id")))), lambda x: x["state_id"].cast("string"))
     return rows.groupBy("query_id", "option_id").agg(F.count("*").alias("n_qualified"), chosen.alias("s")).select("query_id", "option_id", "n_qualified", F.when(F.size("s") > 0, F.array_join("s", ",")).alias("selected"))
+
+
+TERM_SQL = quoted(r"[a-z][a-z0-9.+-]{2,}|[0-9]+(?:\.[0-9]+)?(?:%|mg|kg|mmol/l)?|\p{IsHan}{2,8}")
+REQUIRED = "list_distinct(list_concat(facets, CASE task " + " ".join(f"WHEN '{t}' THEN {list(f)}" for t, f in fx.REQUIRED_FACETS.items()) + " ELSE ['direct_facts'] END))"
+SPECIAL = {"direct_facts": "len(hits) > 0 OR ht", "event_time": "true", "option_evidence": "no > 0", "current_status": f"status = 'active' OR {matches('hay', fx.FACET_PATTERNS['current_status'])}", "previous_state": "status <> 'active'"}
+COVERED = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{f}' END" for f, t in {**{f: f"family IN ({', '.join(repr(x) for x in fam)})" + (f" AND {matches('hay', fx.FACET_PATTERNS[f])}" if f in fx.FACET_PATTERNS else "") for f, fam in fx.FACET_FAMILIES.items() if f not in SPECIAL}, **SPECIAL}.items()) + "], lambda x: x IS NOT NULL)"
+INDEXED = f"""{LINKS}, ev AS (SELECT l.state_id, string_agg(e.text, ' ' ORDER BY l.place) AS words FROM links l JOIN evidence e USING (evidence_id) WHERE e.text <> '' GROUP BY 1), {QUESTIONS_SQL},
+    raw AS (SELECT query_id, lower(concat_ws(' ', question, target, array_to_string(keywords, ' '), array_to_string(options, ' '))) AS low FROM qs),
+    qt AS (SELECT query_id, list_distinct(list_filter(flatten([regexp_extract_all(low, {TERM_SQL}), list_transform({aliases_sql('low')}, lambda a: lower(a)), {', '.join(f"CASE WHEN regexp_matches(low, '{p}') THEN {list(w)} ELSE CAST([] AS VARCHAR[]) END" for p, w in ranking.AREAS)}]), lambda t: length(t) > 1 AND NOT list_contains({list(ranking.QUERY_STOP_TERMS)}, t))) AS terms FROM raw),
+    pr AS (SELECT st.state_id, st.family, st.status, st.seconds, lower(concat_ws(' ', st.text, family, status, polarity, words)) AS hay, qs.* EXCLUDE (text), qt.terms FROM st LEFT JOIN ev USING (state_id) JOIN qs ON qs.query_id = st.subject_id JOIN qt USING (query_id)),
+    ih AS (SELECT *, list_filter(terms, lambda t: contains(hay, t)) AS hits, contains(hay, lower(target)) AS ht, len(list_filter(scopes, lambda s: s[1:2] = family)) > 0 AS sh, len(list_filter(options, lambda o: len(list_filter(regexp_extract_all(lower(o), {TERM_SQL}), lambda t: contains(hay, t))) > 0)) AS no, {REQUIRED} AS required FROM pr),
+    ix AS (SELECT *, list_filter(required, lambda f: list_contains(held, f)) AS gate_facets FROM (SELECT *, {COVERED} AS held FROM ih))"""
+
+
+@register(f"""WITH {INDEXED} SELECT query_id, state_id, round(least(len(hits), 24) * 5 + CASE WHEN sh THEN 3 ELSE 0 END + no * 5 + len(gate_facets) * 1.25 + CASE WHEN ht THEN 6 ELSE 0 END + CASE WHEN operator IN ('current', 'latest') AND status = 'active' THEN 1 ELSE 0 END + CASE WHEN operator = 'history' AND family = 'BC' THEN 1 ELSE 0 END, 3)::DOUBLE AS gate_score,
+    least(len(hits), 24) AS lexical_hits, array_to_string(list_sort(gate_facets), ',') AS gate_facets FROM ix""")
+def index_gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statement of a subject against the question about it, by the evidence index."""
+    return indexed(spark, sf_dir).select("query_id", "state_id", "gate_score", F.col("lexical_hits").cast("long").alias("lexical_hits"), F.array_join(F.array_sort("gate_facets"), ",").alias("gate_facets"))
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = statements(spark, sf_dir)
+    pairs = searchable(rows).select("subject_id", "state_id", "family", "status", "polarity", "seconds", "text", "searchable").join(questions(rows).withColumnRenamed("query_id", "subject_id"), "subject_id").withColumnRenamed("subject_id", "query_id")
+    return ranking.index_score(pairs)
+
+
+@register(f"""WITH {INDEXED}, cv AS (SELECT query_id, list_distinct(flatten(list(gate_facets))) AS covered, any_value(required) AS required FROM ix WHERE len(hits) > 0 OR no > 0 GROUP BY 1)
+    SELECT query_id, len(list_intersect(covered, required)) AS n_covered, len(required) AS n_required, round(len(list_intersect(covered, required))::DOUBLE / len(required), 6) AS ratio, array_to_string(list_sort(list_filter(required, lambda f: NOT list_contains(covered, f))), ',') AS missing FROM cv""")
+def gate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per question the facets that its matching statements cover, and those that none does."""
+    rows = indexed(spark, sf_dir).filter((F.col("lexical_hits") > 0) | (F.col("option_hits") > 0))
+    each = rows.select("query_id", "required", F.explode_outer("gate_facets").alias("facet")).groupBy("query_id").agg(F.collect_set("facet").alias("covered"), F.first("required").alias("required"))
+    both = F.array_intersect("covered", "required")
+    return each.select("query_id", F.size(both).cast("long").alias("n_covered"), F.size("required").cast("long").alias("n_required"), F.round(F.size(both) / F.size("required"), 6).alias("ratio"), F.array_join(F.array_sort(F.array_except("required", "covered")), ",").alias("missing"))

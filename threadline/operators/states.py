@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from threadline.functions import fixed as fx
 from threadline.functions import rules
 from threadline.operators.graph import components
+from threadline.operators.tables import materialize
 
 
 def links_of(states: DataFrame) -> DataFrame:
@@ -41,6 +42,7 @@ def evidence_context(links: DataFrame, evidence: DataFrame, order: Column) -> Da
 
 def lineage_groups(states: DataFrame, lineage: DataFrame, factor: Sequence[str]) -> DataFrame:
     """(state_id, group_id): components of lineage links and equal factors, the factor as a group key first."""
+    states = materialize(states.select("state_id", *factor), "factors")
     heads = states.groupBy(*factor).agg(F.min("state_id").alias("first_id"))
     same = states.join(heads, list(factor)).select("state_id", F.col("first_id").alias("other_id"))
     found = components(same.union(lineage.select("state_id", "other_id")), "state_id", "other_id")

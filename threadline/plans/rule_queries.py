@@ -11,7 +11,6 @@ from threadline.functions import rules
 from threadline.functions.text import nfkc_lower
 from threadline.plans.base import STATEMENTS, matches, named, quoted, register, statements, table
 
-TEXT = F.col("text")
 FOLLOWED = "(PARTITION BY subject_id, family ORDER BY state_id)"
 
 
@@ -35,7 +34,7 @@ def topic_key_sql(column: str = "text") -> str:
 
 @register(f"WITH {STATEMENTS} SELECT state_id, {topic_key_sql('st.text')} AS topic_key, array_to_string(list_concat({DRUGS_SQL}, list_filter({named('text', fx.TOPICS)}, lambda t: t <> 'medication' OR len({named('text', fx.MEDICATIONS)}) = 0)), ',') AS topics FROM st")
 def topic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements(spark, sf_dir).select("state_id", rules.topic_key(TEXT).alias("topic_key"), F.array_join(rules.topics(TEXT), ",").alias("topics"))
+    return statements(spark, sf_dir).select("state_id", rules.topic_key(F.col("text")).alias("topic_key"), F.array_join(rules.topics(F.col("text")), ",").alias("topics"))
 
 
 def assertion_sql(c: str) -> str:
@@ -52,7 +51,7 @@ def status_sql(c: str) -> str:
 
 @register(f"WITH {STATEMENTS} SELECT state_id, {assertion_sql('text')} AS assertion, {quantity_sql('text')} AS quantities, {status_sql('text')} AS statuses FROM st")
 def fact_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements(spark, sf_dir).select("state_id", rules.assertion(TEXT).alias("assertion"), rules.quantity_signature(TEXT).alias("quantities"), rules.status_signature(TEXT).alias("statuses"))
+    return statements(spark, sf_dir).select("state_id", rules.assertion(F.col("text")).alias("assertion"), rules.quantity_signature(F.col("text")).alias("quantities"), rules.status_signature(F.col("text")).alias("statuses"))
 
 
 SAME_SQL = " AND ".join(["polarity = prior_polarity", *[f"{f('text')} = {f('prior_text')}" for f in (assertion_sql, quantity_sql, status_sql)]])
@@ -65,8 +64,8 @@ def fact_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_prior(statements(spark, sf_dir)).filter("prior_id is not null")
     prior = F.col("prior_text")
     return pairs.select(
-        "state_id", "prior_id", rules.is_correction(TEXT).alias("correction"), rules.is_reconciliation(TEXT).alias("reconciled"), rules.are_opposite(TEXT, prior).alias("opposite"),
-        rules.resolves(F.col("prior_polarity"), F.col("polarity"), TEXT).alias("resolves"), rules.same_fact(TEXT, F.col("polarity"), prior, F.col("prior_polarity")).alias("equivalent"),
+        "state_id", "prior_id", rules.is_correction(F.col("text")).alias("correction"), rules.is_reconciliation(F.col("text")).alias("reconciled"), rules.are_opposite(F.col("text"), prior).alias("opposite"),
+        rules.resolves(F.col("prior_polarity"), F.col("polarity"), F.col("text")).alias("resolves"), rules.same_fact(F.col("text"), F.col("polarity"), prior, F.col("prior_polarity")).alias("equivalent"),
     )
 
 
@@ -76,7 +75,7 @@ DOMAINS_SQL = f"list_filter([CASE WHEN family IN ('CS', 'LO') OR {D['biological'
 
 @register(f"WITH {STATEMENTS}, d AS (SELECT state_id, family, {DOMAINS_SQL} AS found FROM st) SELECT state_id, CASE WHEN len(found) > 0 THEN array_to_string(found, ',') WHEN family = 'BC' THEN 'social' ELSE 'biological' END AS domains FROM d")
 def factor_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements(spark, sf_dir).select("state_id", F.array_join(rules.domains(F.col("family"), TEXT), ",").alias("domains"))
+    return statements(spark, sf_dir).select("state_id", F.array_join(rules.domains(F.col("family"), F.col("text")), ",").alias("domains"))
 
 
 ASSERTED_SQL = ", ".join(f"CASE WHEN {matches('text', p)} THEN CAST({c} AS DOUBLE) END AS {n}_confidence" for n, (p, c) in fx.ASSERTED.items())
@@ -84,8 +83,8 @@ ASSERTED_SQL = ", ".join(f"CASE WHEN {matches('text', p)} THEN CAST({c} AS DOUBL
 
 @register(f"WITH {STATEMENTS} SELECT state_id, {ASSERTED_SQL}, array_to_string({named('lower(text)', fx.CUES)}, ',') AS cues FROM st")
 def relation_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    confidences = [rules.asserted(F.lit(n), TEXT).alias(f"{n}_confidence") for n in fx.ASSERTED]
-    return statements(spark, sf_dir).select("state_id", *confidences, F.array_join(rules.cues(TEXT), ",").alias("cues"))
+    confidences = [rules.asserted(F.lit(n), F.col("text")).alias(f"{n}_confidence") for n in fx.ASSERTED]
+    return statements(spark, sf_dir).select("state_id", *confidences, F.array_join(rules.cues(F.col("text")), ",").alias("cues"))
 
 
 FIVE = dict(list(fx.MEDICATIONS.items())[:5])
@@ -99,7 +98,7 @@ def protected_sql(c: str) -> str:
 def protected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a quotation may not change, and whether the statement before agrees in all of it."""
     rows = with_prior(statements(spark, sf_dir))
-    return rows.select("state_id", rules.protected_signature(TEXT).alias("signature"), (F.col("prior_text").isNotNull() & (rules.protected_signature(TEXT) == F.coalesce(rules.protected_signature(F.col("prior_text")), F.lit("")))).alias("same_as_prior"))
+    return rows.select("state_id", rules.protected_signature(F.col("text")).alias("signature"), (F.col("prior_text").isNotNull() & (rules.protected_signature(F.col("text")) == F.coalesce(rules.protected_signature(F.col("prior_text")), F.lit("")))).alias("same_as_prior"))
 
 
 PLAIN_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{{-~]', ' ', 'g'), {quoted(fx.ARTICLES)}, ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -111,13 +110,13 @@ _MARKS = "".join("\\" + c if c.isascii() else c for c in dict.fromkeys(fx.OFFICI
 def answer_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns in the normal forms of answers; hashes stand for the texts. The table's texts are in NFKC already."""
     digest = lambda c: F.md5(c.cast("binary"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", digest(rules.plain_answer(TEXT)).alias("plain"), digest(rules.official_answer(TEXT)).alias("official"), digest(rules.claim(TEXT)).alias("claim"), rules.abstains(TEXT).alias("abstains"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", digest(rules.plain_answer(F.col("text"))).alias("plain"), digest(rules.official_answer(F.col("text"))).alias("official"), digest(rules.claim(F.col("text"))).alias("claim"), rules.abstains(F.col("text")).alias("abstains"))
 
 
 @register(f"""WITH {STATEMENTS}, t AS (SELECT state_id, lower(text) AS low FROM st), h AS (SELECT state_id, list_concat(regexp_extract_all(low, '[a-z][a-z0-9.+-]{{1,}}'), flatten(list_transform(regexp_extract_all(low, '\\p{{Han}}+'), lambda b: list_transform(range(1, length(b)), lambda i: b[i:i+1])))) AS tokens FROM t)
     SELECT state_id, len(list_distinct(tokens)) AS n_tokens, array_to_string(list_sort(list_distinct(tokens)), ' ') AS tokens FROM h""")
 def diagnostic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = rules.diagnostic_tokens(TEXT)
+    tokens = rules.diagnostic_tokens(F.col("text"))
     return statements(spark, sf_dir).select("state_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
@@ -130,7 +129,7 @@ def language_sql(c: str) -> str:
 def language_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each statement's language, and whether it is another than that of the statement before it."""
     rows = with_prior(statements(spark, sf_dir))
-    return rows.select("state_id", rules.language(TEXT).alias("language"), F.coalesce(rules.language_mismatch(F.col("prior_text"), TEXT) & F.col("prior_text").isNotNull(), F.lit(False)).alias("mismatch"))
+    return rows.select("state_id", rules.language(F.col("text")).alias("language"), F.coalesce(rules.language_mismatch(F.col("prior_text"), F.col("text")) & F.col("prior_text").isNotNull(), F.lit(False)).alias("mismatch"))
 
 
 def brands_sql(c: str) -> str:
@@ -151,7 +150,7 @@ def canonical_sql(c: str) -> str:
         WHEN lang = 'zh' AND regexp_matches(t, '^(我|本人)') THEN subject || regexp_replace(t, '^(我|本人)', '') WHEN lang = 'zh' AND regexp_matches(t, '^(患者|医生)') THEN t WHEN lang = 'zh' THEN subject || t
         WHEN regexp_matches(t, '(?i)^I\\b') THEN subject || substr(t, 2) WHEN regexp_matches(t, '(?i)^(Patient|Doctor)\\b') THEN t ELSE subject || ' ' || t END AS atomic, {canonical_sql('raw')} AS canonical FROM s""")
 def atomic_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements(spark, sf_dir).select("state_id", rules.atomic(TEXT, F.col("source_type")).alias("atomic"), rules.canonical_drugs(TEXT).alias("canonical"))
+    return statements(spark, sf_dir).select("state_id", rules.atomic(F.col("text"), F.col("source_type")).alias("atomic"), rules.canonical_drugs(F.col("text")).alias("canonical"))
 
 
 VALUE_SQL = "trim(regexp_replace(text, '[*_~`>#•·]', '', 'g'))"
@@ -159,7 +158,7 @@ VALUE_SQL = "trim(regexp_replace(text, '[*_~`>#•·]', '', 'g'))"
 
 @register(f"""WITH {STATEMENTS} SELECT state_id, {matches(VALUE_SQL, fx.GREETING)} OR (source_type = 'doctor' OR {matches(VALUE_SQL, '(?i)^(?:医生|Doctor)')}) AND {matches(VALUE_SQL, fx.SUPPORTIVE)} AND NOT {matches(VALUE_SQL, fx.DURABLE)} AS filler FROM st""")
 def filler_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements(spark, sf_dir).select("state_id", rules.is_filler(TEXT, F.col("source_type")).alias("filler"))
+    return statements(spark, sf_dir).select("state_id", rules.is_filler(F.col("text"), F.col("source_type")).alias("filler"))
 
 
 KINDS_SQL = f"list_filter({named('text', fx.CLAIM_KINDS)}, lambda k: k <> 'started' OR NOT list_contains({named('text', fx.CLAIM_KINDS)}, 'restarted'))"
@@ -169,7 +168,7 @@ KINDS_SQL = f"list_filter({named('text', fx.CLAIM_KINDS)}, lambda k: k <> 'start
     len({named('text', fx.MEDICATIONS)}) <> 1 OR {matches('text', fx.CLAIM_CORRECTION)} OR len({KINDS_SQL}) > 1 AS unsafe FROM st""")
 def medication_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What statements say about drugs: why they confirm nothing, the kinds of action, whether a claim is unsafe."""
-    return statements(spark, sf_dir).select("state_id", F.array_join(rules.claim_guards(TEXT), ",").alias("guards"), F.array_join(rules.claim_kinds(TEXT), ",").alias("kinds"), rules.unsafe_claim(TEXT).alias("unsafe"))
+    return statements(spark, sf_dir).select("state_id", F.array_join(rules.claim_guards(F.col("text")), ",").alias("guards"), F.array_join(rules.claim_kinds(F.col("text")), ",").alias("kinds"), rules.unsafe_claim(F.col("text")).alias("unsafe"))
 
 
 def aliases_sql(c: str) -> str:
@@ -179,7 +178,7 @@ def aliases_sql(c: str) -> str:
 
 @register(f"WITH {STATEMENTS} SELECT state_id, array_to_string({aliases_sql('text')}, ',') AS aliases FROM st")
 def alias_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements(spark, sf_dir).select("state_id", F.array_join(F.array_sort(rules.aliases(TEXT)), ",").alias("aliases"))
+    return statements(spark, sf_dir).select("state_id", F.array_join(F.array_sort(rules.aliases(F.col("text"))), ",").alias("aliases"))
 
 
 QUESTION = "concat('Which holds?', chr(10), 'A. ', text, chr(10), 'B) none', chr(10), 'C、', family)"
@@ -194,7 +193,7 @@ def parsed_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("WITH t AS (SELECT conv_id, turn, upper(text) AS u FROM conversations) SELECT conv_id, turn, array_to_string(list_sort(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(u, {quoted(p)}, 1)" for p in fx.OPTION_PATTERNS) + "]))), ',') AS letters FROM t")
 def option_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(rules.option_letters(TEXT), ",").alias("letters"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(rules.option_letters(F.col("text")), ",").alias("letters"))
 
 
 SCOPES_SQL = "list_filter([" + ", ".join(
@@ -212,7 +211,7 @@ SLOT_SQL = "CASE " + " ".join(f"WHEN task = '{t}' THEN '{s}'" for t, s in fx.SLO
 def plan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements read as questions: families and facets they ask about, the view in time, the slot of the answer."""
     task = F.col("task")
-    return statements(spark, sf_dir).select("state_id", F.array_join(rules.question_scopes(TEXT, task), ",").alias("scopes"), F.array_join(F.array_sort(rules.question_facets(TEXT, task)), ",").alias("facets"), rules.temporal_operator(TEXT, task).alias("temporal_operator"), rules.answer_slot(TEXT, task).alias("answer_slot"))
+    return statements(spark, sf_dir).select("state_id", F.array_join(rules.question_scopes(F.col("text"), task), ",").alias("scopes"), F.array_join(F.array_sort(rules.question_facets(F.col("text"), task)), ",").alias("facets"), rules.temporal_operator(F.col("text"), task).alias("temporal_operator"), rules.answer_slot(F.col("text"), task).alias("answer_slot"))
 
 
 ROUTE_SQL = f"CASE WHEN task IN {fx.COMPLEX_TASKS} THEN 'focus,trace,connect,evaluate,verify,answer' WHEN task IN {fx.TEMPORAL_TASKS} OR ({OPERATOR_SQL}) <> 'none' THEN 'focus,trace,verify,answer' ELSE 'focus,verify,answer' END"
@@ -223,7 +222,7 @@ ROUTE_SQL = f"CASE WHEN task IN {fx.COMPLEX_TASKS} THEN 'focus,trace,connect,eva
 def action_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps of each task, whole and under a budget of four, and how many candidates it may keep."""
     rows = statements(spark, sf_dir)
-    task, operator = F.col("task"), rules.temporal_operator(TEXT, F.col("task"))
+    task, operator = F.col("task"), rules.temporal_operator(F.col("text"), F.col("task"))
     return rows.select("state_id", F.array_join(rules.desired_actions(task, operator), ",").alias("route"), F.array_join(rules.desired_actions(task, operator, 4), ",").alias("short_route"), rules.candidate_limit(task, F.lit(0)).alias("candidate_limit"))
 
 
@@ -233,7 +232,7 @@ HELD_SQL = "list_filter([" + ", ".join(f"CASE WHEN family IN ({', '.join(repr(f)
 @register(f"WITH {STATEMENTS} SELECT state_id, array_to_string({HELD_SQL}, ',') AS facets FROM st")
 def state_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets that each statement can cover, by its family and words."""
-    return statements(spark, sf_dir).select("state_id", F.array_join(rules.facets_of(F.col("family"), nfkc_lower(TEXT)), ",").alias("facets"))
+    return statements(spark, sf_dir).select("state_id", F.array_join(rules.facets_of(F.col("family"), nfkc_lower(F.col("text"))), ",").alias("facets"))
 
 
 REQUIRED_SQL = "CASE task " + " ".join(f"WHEN '{t}' THEN {list(f)}" for t, f in fx.REQUIRED_FACETS.items()) + " ELSE ['direct_facts'] END"
@@ -243,7 +242,7 @@ REQUIRED_SQL = "CASE task " + " ".join(f"WHEN '{t}' THEN {list(f)}" for t, f in
     SELECT subject_id, task, len(list_intersect(required, held)) AS n_covered, array_to_string(list_filter(required, lambda x: NOT list_contains(held, x)), ',') AS missing, len(list_intersect(required, held)) = len(required) AS complete FROM r""")
 def facet_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per subject and task the required facets that no statement covers, from distinct facets of each."""
-    rows = statements(spark, sf_dir).select("subject_id", "task", F.explode_outer(rules.facets_of(F.col("family"), nfkc_lower(TEXT))).alias("facet"))
+    rows = statements(spark, sf_dir).select("subject_id", "task", F.explode_outer(rules.facets_of(F.col("family"), nfkc_lower(F.col("text")))).alias("facet"))
     held = rows.groupBy("subject_id", "task").agg(F.collect_set("facet").alias("held")).withColumn("required", rules.required_facets(F.col("task")))
     missing = F.array_except("required", "held")
     return held.select("subject_id", "task", F.size(F.array_intersect("required", "held")).cast("long").alias("n_covered"), F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("complete"))
@@ -259,7 +258,7 @@ ROUTED = f"""CASE WHEN {IS['question']} THEN CASE WHEN {PATIENT} AND {IS['confir
 @register(f"WITH {STATEMENTS} SELECT state_id, array_to_string({ROUTED}, ',') AS families FROM st")
 def routed_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The families of each statement by the rules of words, source and form."""
-    return statements(spark, sf_dir).select("state_id", F.array_join(rules.routed_families(TEXT, F.col("source_type")), ",").alias("families"))
+    return statements(spark, sf_dir).select("state_id", F.array_join(rules.routed_families(F.col("text"), F.col("source_type")), ",").alias("families"))
 
 
 WORD = r"[a-z][a-z0-9-]{2,}|\p{IsHan}+|[0-9]+(?:[-–—~～][0-9]+)?(?:斤|公斤|kg|mg|%|mmol/l)?"

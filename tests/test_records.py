@@ -205,3 +205,31 @@ def test_null_keys_are_one_key(spark):
     states = [(1, 1, "CS", None, 10, 1, "patient", None, "takes drug a"), (2, 1, "CS", None, 20, 2, "doctor", "affirmed", "stopped drug a"), (3, 1, "CS", None, 30, 3, "patient", None, "takes drug a"), (4, 1, "CS", None, 40, 4, "patient", None, "Actually, takes drug a"), (5, 1, "CS", None, 15, 5, "patient", None, "takes  drug a!")]
     got = {r["state_id"]: (r["version"], r["predecessor_id"], r["successor_id"], r["operation"], r["status"], r["conflicts_with"]) for r in fold_states(spark.createDataFrame(states, shape), ["subject_id", "family", "factor_key"]).collect()}
     assert got == {1: (1, None, None, "ADD", "active", None), 2: (2, 1, None, "CONFLICT", "conflict", 1), 3: (3, 2, None, "CONFLICT", "conflict", 1), 4: (4, 3, None, "RESOLVE", "resolved", None), 5: (5, 1, 2, "NOOP", "active", None)}
+
+
+def test_coverage_gate_equals_the_whole_list(spark, sf_dir):
+    """The choice from the bounded pool is that from all rows of each question."""
+    from threadline.plans.base import statements
+    from threadline.plans.outcome_queries import kin_of
+    from threadline.plans.ranking_queries import indexed
+
+    rows = indexed(spark, sf_dir).withColumn("query_id", F.col("query_id") % 3)  # long lists
+    rows = tables.materialize(rows, "indexed")
+    kin = tables.materialize(kin_of(statements(spark, sf_dir)), "kin")
+    got = {}
+    for r in ranking.coverage_gate(rows, kin).orderBy("query_id", "pick").collect():
+        got.setdefault(r["query_id"], []).append((r["state_id"], r["step"]))
+    related = {}
+    for r in kin.orderBy("state_id", "nth").collect():
+        related.setdefault(r["state_id"], []).append(r["other_id"])
+    lists = {}
+    for r in rows.collect():
+        lists.setdefault(r["query_id"], []).append(r.asDict())
+    for q, mine in lists.items():
+        mine.sort(key=lambda r: (-r["gate_score"], -r["seconds"], r["state_id"]))
+        assert got[q] == ranking.gate_choice(mine, related), q
+        assert len(mine) > 150
+    # Each step by hand: two direct hits of which one is an anchor, its kin, one for a missing facet, the rest.
+    row = lambda i, **k: {"state_id": i, "task": "generic", "lexical_hits": 0, "value_hits": 0, "scope_hit": False, "option_hits": 0, "gate_facets": [], "required": ["direct_facts", "sleep"], **k}
+    few = [row(1, lexical_hits=2, value_hits=1, gate_facets=["direct_facts"]), row(2, lexical_hits=1), row(3), row(4, value_hits=1, gate_facets=["sleep"]), row(5, gate_facets=["sleep"])]
+    assert ranking.gate_choice(few, {1: [3], 2: [5]}) == [(1, "direct"), (2, "direct"), (3, "related"), (4, "facet")]

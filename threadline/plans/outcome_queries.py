@@ -110,3 +110,21 @@ def error_case_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = rows.filter("state_id % 10 = 3").select("subject_id", "session_no").distinct()
     builds = bad.join(failed, "subject_id").filter("session_no <= up_to").groupBy("answer_id").agg(F.count("*").alias("n_failed_builds"))
     return seen.join(builds, "answer_id", "left").select("answer_id", "status", "n_states", "n_evidence", F.coalesce("n_failed_builds", F.lit(0)).alias("n_failed_builds"))
+
+
+@register()
+def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states that each question may use: direct hits, what is related to them, one for each missing facet, the rest."""
+    from threadline.operators import ranking
+    from threadline.plans.ranking_queries import indexed
+
+    return ranking.coverage_gate(indexed(spark, sf_dir), kin_of(statements(spark, sf_dir)))
+
+
+def kin_of(rows: DataFrame) -> DataFrame:
+    """(state_id, other_id, nth): lineage and shared evidence of each state, the newest first."""
+    links = st.links_of(rows)
+    shared = links.join(links.select("evidence_id", F.col("state_id").alias("other_id")), "evidence_id").filter("state_id <> other_id").select("state_id", "other_id")
+    prior = rows.select("state_id", F.lag("state_id").over(W.partitionBy("subject_id", "family").orderBy("state_id")).alias("other_id")).filter("other_id is not null")
+    both = shared.union(prior).distinct().join(rows.select(F.col("state_id").alias("other_id"), "seconds"), "other_id")
+    return both.select("state_id", "other_id", F.row_number().over(W.partitionBy("state_id").orderBy(F.desc("seconds"), "other_id")).alias("nth"))

@@ -41,7 +41,7 @@ END = "</w>"
 #: Pieces of text whose ids a worker keeps in each of two generations, about 60 MB each.
 MAX_KEPT = 400_000
 #: The same where a new piece costs little.
-MAX_FEW = 200_000
+MAX_FEW = 120_000
 #: Places between an ASCII letter and ASCII punctuation but the apostrophe, which begins contractions: always a border of words.
 LETTER_MARK = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
 MARK_LETTER = re.compile(rb"([!-&(-/:-@\[-`{-~])([a-z])")

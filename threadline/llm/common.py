@@ -6,10 +6,12 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +72,20 @@ def spread_join(rows: DataFrame, small: DataFrame, key: str, spread_by: Column,
     return rows.withColumn("__salt", F.pmod(spread_by, F.lit(SALTS)).cast("int")).join(copies, [key, "__salt"], how).drop("__salt")
 
 
+#: Bounds of a batch of texts on its way to and from a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size: the session's bounds are lowered, as texts are longer than its defaults assume."""
+    conf = rows.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return rows.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

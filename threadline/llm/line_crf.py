@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -155,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             found = [text_bits(t.as_py().split("\n")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fit_label", "bits"])
 
-    rows = texts.mapInArrow(bits, "fit_label int, bits array<bigint>").collect()
+    rows = map_texts(texts, bits, "fit_label int, bits array<bigint>").collect()
     if len({r["fit_label"] for r in rows}) < 2:
         return all_content()
     rows.sort(key=lambda r: (r["fit_label"], r["bits"]))
@@ -204,7 +206,7 @@ def judge_documents(docs: DataFrame, field: Field, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(r, t) for r, t in zip(rows, types, strict=True)]], names=[id_col, *names])
 
     shown = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, line_labels string"
-    return base.mapInArrow(run, f"`{id_col}` {kind}, {shown}")
+    return map_texts(base, run, f"`{id_col}` {kind}, {shown}")
 
 
 def keep_good(docs: DataFrame, field: Field, *, text_col: str = "text") -> DataFrame:
@@ -215,4 +217,4 @@ def keep_good(docs: DataFrame, field: Field, *, text_col: str = "text") -> DataF
         for b in batches:
             yield b.filter(pa.array([judge(t.as_py(), field)[6] for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

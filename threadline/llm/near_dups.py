@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_trie import blocks
-from .common import let_go, materialize, shuffle_partitions, worker_cache
+from .common import let_go, map_texts, materialize, shuffle_partitions, worker_cache
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -174,7 +174,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0)[start:stop], pa.array([k.tolist() if h else [] for k, h in zip(keys, has, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["node", "keys", "sketch"])
         let_go()
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, keys array<bigint>, sketch binary")
+    return map_texts(docs.select("node", "text"), run, "node binary, keys array<bigint>, sketch binary")
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def verified(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["node", "pivot", "similarity"])
         let_go()
 
-    return pairs.select("node", "pivot", "text", "pivot_text").mapInArrow(run, "node binary, pivot binary, similarity double")
+    return map_texts(pairs.select("node", "pivot", "text", "pivot_text"), run, "node binary, pivot binary, similarity double")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_trie import LibraryEncoder, blocks
-from .common import materialize, shuffle_partitions, worker_cache
+from .common import map_texts, materialize, shuffle_partitions, worker_cache
 
 SEQUENCE = 2048
 END_ID = 1
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                 wide = enc.dtype.itemsize == 4
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(keys, pa.int64()), pa.array([wide] * len(found)), pa.array(found, pa.binary())], names=[id_col, "key", "wide", "ids"])
 
-    coded = base.mapInArrow(tokens, f"`{id_col}` {kind}, key long, wide boolean, ids binary")
+    coded = map_texts(base, tokens, f"`{id_col}` {kind}, key long, wide boolean, ids binary")
     coded = materialize(coded.withColumn("tie", F.xxhash64(id_col, "ids")).withColumn("size", F.octet_length("ids").cast("long")), "curve")
     n = n_ranges or max(shuffle_partitions(docs.sparkSession), (coded.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES + 1)
     ordered = coded.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie", id_col)
@@ -159,4 +159,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         if out:
             yield batch_of(out)
 
-    return ordered.select(id_col, "key", "wide", "ids").mapInArrow(pieces, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return map_texts(ordered.select(id_col, "key", "wide", "ids"), pieces, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

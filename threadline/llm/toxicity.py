@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import map_texts, worker_cache
 
 # General insults of the start lexicon, words of reporting and of address.
 INSULTS = ("asshole", "bastard", "clown", "coward", "creep", "degenerate", "disgusting", "dumbass", "fool", "freak", "garbage", "idiot", "imbecile", "jerk", "loser", "lunatic", "moron", "pathetic", "pervert", "retard", "scum", "scumbag", "stupid", "trash", "vermin", "weirdo", "worthless")
@@ -323,7 +323,7 @@ def features_of(docs: DataFrame, terms: tuple[Term, ...], keep: list[str], text_
             rows = [find.features(t.as_py() or "") for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "features"])
 
-    return base.mapInArrow(run, f"{shown}, features array<double>")
+    return map_texts(base, run, f"{shown}, features array<double>")
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,4 +346,4 @@ def keep_civil(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
             features = np.array([find.features(t.as_py() or "") for t in b.column(at)]).reshape(b.num_rows, N_FEATURES)
             yield b.filter(pa.array(model.score(features) < 0.5, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threadline.operators import answers as an
 from threadline.operators import states as st
 from threadline.operators.tables import numbered
-from threadline.plans.answer_queries import SCORED, WRONG, scores
+from threadline.plans.answer_queries import ANSWERS_SQL, SCORED, WRONG, scores
 from threadline.plans.base import STATEMENTS, matches, register, statements
 from threadline.plans.rule_queries import FOLLOWED
 from threadline.plans.state_queries import BOUND, FACTORED, PAIRS, REACH, REASON, RELATION, evidence_of, pairs_of, verified
@@ -128,3 +128,28 @@ def kin_of(rows: DataFrame) -> DataFrame:
     prior = rows.select("state_id", F.lag("state_id").over(W.partitionBy("subject_id", "family").orderBy("state_id")).alias("other_id")).filter("other_id is not null")
     both = shared.union(prior).distinct().join(rows.select(F.col("state_id").alias("other_id"), "seconds"), "other_id")
     return both.select("state_id", "other_id", F.row_number().over(W.partitionBy("state_id").orderBy(F.desc("seconds"), "other_id")).alias("nth"))
+
+
+# Words that diagnose nothing.
+DIAGNOSTIC_STOP = ("患者", "问题", "回答", "答案", "正确", "错误", "需要", "信息", "根据", "没有", "这个", "什么", "应该", "可以", "进行", "the", "and", "answer", "patient", "question", "correct", "incorrect")
+TOKENS = lambda c: f"list_distinct(list_concat(regexp_extract_all(lower({c}), '[a-z][a-z0-9.+-]{{1,}}'), flatten(list_transform(regexp_extract_all(lower({c}), '\\p{{Han}}+'), lambda b: list_transform(range(1, length(b)), lambda i: b[i:i+1])))))"
+
+
+@register(f"""WITH {ANSWERS_SQL}, t AS (SELECT answer_id, subject_id, list_filter({TOKENS('gold')}, lambda x: NOT list_contains({list(DIAGNOSTIC_STOP)}, x)) AS terms, {TOKENS('output')} AS said FROM an WHERE answer_id % 4 = 1), s AS (SELECT subject_id, state_id, {TOKENS('text')} AS tokens FROM st),
+    h AS (SELECT answer_id, max(len(list_intersect(terms, tokens))) AS raw_hits, max(CASE WHEN state_id % 5 <> 0 THEN len(list_intersect(terms, tokens)) ELSE 0 END) AS state_hits, max(CASE WHEN state_id % 6 = 0 THEN len(list_intersect(terms, tokens)) ELSE 0 END) AS working_hits FROM t JOIN s USING (subject_id) GROUP BY 1)
+    SELECT answer_id, len(terms) AS n_terms, len(terms) = 0 OR raw_hits >= least(2, len(terms)) AS in_raw, len(terms) = 0 OR state_hits >= least(2, len(terms)) AS in_states, len(terms) = 0 OR working_hits >= least(2, len(terms)) AS in_working_set, len(terms) = 0 OR len(list_intersect(terms, said)) >= least(2, len(terms)) AS in_answer FROM t JOIN h USING (answer_id)""")
+def stage_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to which stage the words of a gold answer got: two of them (or all) in one item of the record, its states, the working
+    set (here every sixth state), and the answer. Terms meet by key, counted before they are shuffled."""
+    from threadline.functions import rules
+    from threadline.plans.answer_queries import answers
+
+    stop = F.array(*map(F.lit, DIAGNOSTIC_STOP))
+    asked = answers(spark, sf_dir).filter("answer_id % 4 = 1").select("answer_id", "subject_id", F.array_except(rules.diagnostic_tokens(F.col("gold")), stop).alias("terms"), rules.diagnostic_tokens(F.col("output")).alias("said"))
+    items = statements(spark, sf_dir).select("subject_id", "state_id", F.explode(rules.diagnostic_tokens(F.col("text"))).alias("term"))
+    met = asked.select("answer_id", "subject_id", F.explode("terms").alias("term")).join(items, ["subject_id", "term"]).groupBy("answer_id", "state_id").agg(F.count("*").alias("hits"))
+    best = lambda keep: F.max(F.when(keep, F.col("hits")).otherwise(0))
+    found = met.groupBy("answer_id").agg(F.max("hits").alias("raw"), best(F.col("state_id") % 5 != 0).alias("states"), best(F.col("state_id") % 6 == 0).alias("working"))
+    rows = asked.join(found, "answer_id", "left").withColumn("need", F.least(F.lit(2), F.size("terms")))
+    enough = lambda c: (F.size("terms") == 0) | (F.coalesce(c, F.lit(0)) >= F.col("need"))
+    return rows.select("answer_id", F.size("terms").cast("long").alias("n_terms"), enough(F.col("raw")).alias("in_raw"), enough(F.col("states")).alias("in_states"), enough(F.col("working")).alias("in_working_set"), enough(F.size(F.array_intersect("terms", "said"))).alias("in_answer"))

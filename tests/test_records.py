@@ -233,3 +233,17 @@ def test_coverage_gate_equals_the_whole_list(spark, sf_dir):
     row = lambda i, **k: {"state_id": i, "task": "generic", "lexical_hits": 0, "value_hits": 0, "scope_hit": False, "option_hits": 0, "gate_facets": [], "required": ["direct_facts", "sleep"], **k}
     few = [row(1, lexical_hits=2, value_hits=1, gate_facets=["direct_facts"]), row(2, lexical_hits=1), row(3), row(4, value_hits=1, gate_facets=["sleep"]), row(5, gate_facets=["sleep"])]
     assert ranking.gate_choice(few, {1: [3], 2: [5]}) == [(1, "direct"), (2, "direct"), (3, "related"), (4, "facet")]
+
+
+def test_a_scorers_failures_are_rows(spark):
+    import pandas as pd
+
+    from threadline.operators.hooks import scored_by
+
+    def scorer(batch: pd.DataFrame) -> pd.DataFrame:
+        if (batch["id"] == 3).any():
+            raise ValueError("three")
+        return pd.DataFrame({"score": batch["id"] * 0.5})
+
+    got = {r["id"]: (r["score"], r["error"]) for r in scored_by(spark.range(6), scorer, "score double", "id").collect()}
+    assert got == {i: (i * 0.5, None) if i != 3 else (None, "ValueError: three") for i in range(6)}

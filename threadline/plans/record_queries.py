@@ -307,3 +307,32 @@ def hypothesis_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = largest.join(here, "subject_id")
     apart = F.array_except(needed, F.col("l.families"))
     return rows.select("subject_id", F.col("l.size").alias("largest"), F.array_join(F.array_except(needed, F.col("families")), ",").alias("missing"), F.array_join(apart, ",").alias("disconnected"), F.when((F.col("l.size") > 1) & (F.size(apart) == 0), "supported").otherwise("unresolved").alias("verdict"))
+
+
+SHAPE = {
+    "from_state_id": "CASE WHEN state_id % 9 = 0 THEN '' ELSE CAST(state_id AS VARCHAR(20)) END", "to_state_id": "CAST(CASE WHEN state_id % 11 = 0 THEN state_id ELSE state_id + 1 END AS VARCHAR(20))", "relation_type": "CASE WHEN state_id % 7 = 0 THEN 'Causes' ELSE 'Motivates' END",
+    "assessment": "CASE WHEN state_id % 13 = 0 THEN 'likely' ELSE 'supports' END", "relation_quote": "CASE WHEN state_id % 8 = 0 THEN '' ELSE text END", "confidence": "CAST(CASE WHEN state_id % 10 = 0 THEN 1.2 ELSE 0.9 END AS DOUBLE)",
+}
+KINDS = ("care_targets", "observed_after_care", "motivates", "constrains", "followed_by")
+
+
+@register(f"WITH {STATEMENTS}, e AS (SELECT state_id, count(*) OVER (PARTITION BY subject_id, session_no) AS n, {', '.join(f'{x} AS {n}' for n, x in SHAPE.items())} FROM st) SELECT state_id, " + _errors(
+    ("invalid endpoints", "from_state_id = '' OR to_state_id = '' OR from_state_id = to_state_id"), ("invalid relation_type", f"lower(relation_type) NOT IN {KINDS}"), ("invalid assessment", "lower(assessment) NOT IN ('supports', 'contradicts', 'unresolved')"), ("quotes are required", "relation_quote = ''"), ("invalid confidence", "NOT confidence BETWEEN 0 AND 1"), ("at most 8 relations", "n > 8")) + " AS errors FROM e")
+def proposal_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed relations with what is wrong with their form; a context (here a subject's session) may hold eight."""
+    rows = statements(spark, sf_dir)
+    counts = rows.groupBy("subject_id", "session_no").agg(F.count("*").alias("n"))
+    rows = rows.join(counts, ["subject_id", "session_no"]).selectExpr("state_id", "n", *[f"{x} AS {n}" for n, x in SHAPE.items()])
+    c = F.col
+    checks = {
+        "invalid endpoints": (c("from_state_id") == "") | (c("to_state_id") == "") | (c("from_state_id") == c("to_state_id")), "invalid relation_type": ~F.lower("relation_type").isin(*KINDS), "invalid assessment": ~F.lower("assessment").isin("supports", "contradicts", "unresolved"),
+        "quotes are required": c("relation_quote") == "", "invalid confidence": ~c("confidence").between(0, 1), "at most 8 relations": c("n") > 8,
+    }
+    return rows.select("state_id", quality.errors(checks).alias("errors"))
+
+
+@register(f"WITH {STATEMENTS} SELECT subject_id, family, max(CASE WHEN state_id % 3 = 0 THEN 3 WHEN state_id % 3 = 1 THEN 2 ELSE 1 END) AS weight FROM st GROUP BY 1, 2")
+def merged_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest priority that any plan of a subject gives a family."""
+    weight = F.when(F.col("state_id") % 3 == 0, 3).when(F.col("state_id") % 3 == 1, 2).otherwise(1)
+    return snapshots.scope_merge(statements(spark, sf_dir).select("subject_id", "family", weight.alias("weight")), ["subject_id"]).select("subject_id", "family", "weight")

@@ -26,7 +26,8 @@ def transcript_blocks(sessions: DataFrame, session: str, transcript: str) -> Dat
     header = r"\[Turn=(\d+)\]\[Role=([^\]]+)\]\n"
     turns = F.regexp_extract_all(transcript, F.lit(header), F.lit(1))
     roles = F.regexp_extract_all(transcript, F.lit(header), F.lit(2))
-    bodies = F.slice(F.split(transcript, header), 2, 1_000_000)
+    pieces = F.split(transcript, header, -1)
+    bodies = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
     rows = sessions.select(session, F.explode(F.arrays_zip(turns.alias("turn"), roles.alias("role"), bodies.alias("body"))).alias("b"))
     return rows.select(session, F.col("b.turn").cast("long").alias("turn"), F.col("b.role").alias("role"), F.length(F.regexp_replace("b.body", r"\n\n\z", "")).cast("long").alias("n_chars"))
 
@@ -51,6 +52,13 @@ def session_ranges(turns: DataFrame, session: str, order: str, is_noise: Column)
 
 
 def chained_hash(turns: DataFrame, session: str, order: str, text: str) -> DataFrame:
-    """For each turn the SHA-256 of the session's texts up to it."""
-    upto = F.collect_list(text).over(W.partitionBy(session).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return turns.select(session, order, F.sha2(F.array_join(upto, "\n"), 256).alias("prefix_hash"))
+    """For each turn the SHA-256 of the hash before it and its text, so equal hashes mean equal prefixes; each text is read once."""
+    texts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))))
+    start = F.struct(F.lit("").alias("hash"), F.array().cast(f"array<struct<at:{turns.schema[order].dataType.simpleString()},hash:string>>").alias("out"))
+
+    def step(acc: Column, turn: Column) -> Column:
+        following = F.sha2(F.concat(acc["hash"], turn["text"]), 256)
+        return F.struct(following.alias("hash"), F.concat(acc["out"], F.array(F.struct(turn["at"].alias("at"), following.alias("hash")))).alias("out"))
+
+    chained = turns.groupBy(session).agg(texts.alias("texts")).select(session, F.explode(F.aggregate("texts", start, step)["out"]).alias("h"))
+    return chained.select(session, F.col("h.at").alias(order), F.col("h.hash").alias("prefix_hash"))

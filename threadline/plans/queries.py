@@ -49,7 +49,7 @@ def session_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.session_ranges(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "system")
 
 
-@register("SELECT conv_id, turn, sha256(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS prefix_hash FROM conversations")
+@register("SELECT conv_id, turn, list_reduce(list_concat([''], list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)), lambda a, x: sha256(a || x)) AS prefix_hash FROM conversations")
 def prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.chained_hash(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 

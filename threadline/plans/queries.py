@@ -219,7 +219,7 @@ def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HITS = f"""p AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{TERMS}'))) AS term FROM documents), q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '{TERMS}'))) AS term FROM benchmark),
-    s AS (SELECT item_id, doc_id, count(*) AS hits, round(5.0 * least(count(*), 24), 3) AS score FROM q JOIN p USING (term) GROUP BY item_id, doc_id)"""
+    s AS (SELECT item_id, doc_id, count(*) AS hits, round(5.0 * least(count(*), 24), 3)::DOUBLE AS score FROM q JOIN p USING (term) GROUP BY item_id, doc_id)"""
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,8 @@ NEGATIVES = 10
 SCALE = 256
 #: A negative's score is at least LOW and at most HIGH percent of the positive's.
 LOW, HIGH = 30, 90
-NONE = int(np.iinfo(np.int64).min)
+#: Stands for no score.
+NONE = -(1 << 62)
 #: Scores stay below, so that their percentages fit in 64 bits.
 MOST = 1 << 55
 

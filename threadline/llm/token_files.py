@@ -217,6 +217,23 @@ def get(uri: str) -> np.ndarray:
 # ---- encoding ------------------------------------------------------------------------------------------------------
 
 
+class Known(dict):
+    """Ids of pieces. One that is missing is taken from the older generation, or an empty place is kept for its ids."""
+
+    def __init__(self, older: dict[str, bytes]):
+        super().__init__()
+        self.older = older
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        found = self.older.get(piece)
+        if found is None:
+            found = bytearray()
+            self.new.append(piece)
+        self[piece] = found
+        return found
+
+
 class SpacedEncoder:
     """Ids of texts by the library, each distinct piece once; ids are kept as little-endian unsigned 32-bit integers."""
 
@@ -240,17 +257,16 @@ class SpacedEncoder:
         for a in added:
             self.sizes[a["id"]] = len(a["content"].encode())
         self.small = np.dtype("<u2" if len(self.sizes) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Known({})
         #: Parts of pieces behind a border.
         self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.small).tobytes()
 
-    def learn_words(self, words: list[str]) -> None:
-        """Words of pieces behind a space, many in one call; the tokens' sizes tell where each ends."""
-        known, size = self.known, self.small.itemsize
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words behind a space, many in one call; the tokens' sizes tell where each ends."""
+        made, size = {}, self.small.itemsize
         for i in range(0, len(words), 300):
             part = words[i : i + 300]
             text = " " + " ".join(part)
@@ -259,33 +275,40 @@ class SpacedEncoder:
             ends = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(lengths, np.int64, len(part)) + 1)) + 1) * size
             raw, at = ids.tobytes(), 0
             for w, end in zip(part, ends.tolist(), strict=True):
-                known[w] = raw[at:end]
+                made[w] = raw[at:end]
                 at = end
-
-    def learn(self, pieces: set[str]) -> None:
-        """A piece behind a space is its word and the marks at its borders, each of which is encoded once."""
-        known, older, tails = self.known, self.older, self.tails
-        if older:
-            again = pieces & older.keys()
-            known.update((p, older[p]) for p in again)
-            pieces -= again
-        plain = {p for p in pieces if p.isalpha()}
-        cut = []
-        for p in pieces - plain:
-            if not p or p[-1].isspace() or "<|" in p:
-                known[p] = self.whole(" " + p)
+        return made
+
+    def tail(self, part: str) -> bytes:
+        """Ids of what no space stands before."""
+        found = self.tails.get(part)
+        if found is None:
+            found = self.tails[part] = self.whole(part)
+        return found
+
+    def learn(self) -> None:
+        """Fills the places of new pieces: a piece behind a space is its word and the marks at its borders, each encoded once."""
+        known, tail, new = self.known, self.tail, self.known.new
+        if not new:
+            return
+        plain, cut, made = [], [], {}
+        for p in new:
+            if p.isalpha():
+                plain.append(p)
+            elif not p or p[-1].isspace() or "<|" in p:
+                made[p] = self.whole(" " + p)
             else:
-                cut.append((p, parts := BORDER.split(p)))
-                if parts[0] not in known:
-                    plain.add(parts[0])
-        self.learn_words(list(plain))
+                cut.append((p, BORDER.split(p)))
+        heads = {parts[0] for _, parts in cut}
+        made |= self.words([*plain, *(heads - known.keys()), *(p for p, parts in cut if len(parts) == 1)])
         for p, parts in cut:
-            made = known[parts[0]]
-            for x in parts[1:]:
-                if (found := tails.get(x)) is None:
-                    found = tails[x] = self.whole(x)
-                made += found
-            known[p] = made
+            if len(parts) > 1:
+                head = made.get(parts[0])
+                made[p] = b"".join((known[parts[0]] if head is None else head, *map(tail, parts[1:])))
+        for p in new:
+            known[p].extend(made[p])
+            known[p] = made[p]
+        new.clear()
 
     def pieces(self, text: str) -> list[str]:
         """The text before its first space, then what follows each space, as far as no white space is before one."""
@@ -304,16 +327,16 @@ class SpacedEncoder:
         if not self.known_rules:
             return [np.frombuffer(self.whole(t), self.small) for t in texts]
         if len(self.known) > MAX_PIECES:
-            self.known, self.older = {}, self.known
+            self.known = Known(dict(self.known))
         if len(self.tails) > MAX_PIECES:
             self.tails = {}
         gc.disable()  # many small objects and no cycles among them
         try:
-            parts = [self.pieces(t) for t in texts]
-            heads = [self.whole(p.pop(0)) for p in parts]
-            self.learn(set(chain.from_iterable(parts)) - self.known.keys())
-            look = self.known.__getitem__
-            return [np.frombuffer(head + b"".join(map(look, p)), self.small) for head, p in zip(heads, parts, strict=True)]
+            look, parts = self.known.__getitem__, [self.pieces(t) for t in texts]
+            heads = [b"".join(map(self.tail, BORDER.split(p[0]) if "<|" not in p[0] else p[:1])) for p in parts]
+            found = [list(map(look, p[1:])) for p in parts]
+            self.learn()
+            return [np.frombuffer(head + b"".join(p), self.small) for head, p in zip(heads, found, strict=True)]
         finally:
             gc.enable()
 

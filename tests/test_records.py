@@ -134,55 +134,20 @@ def test_clauses_hold_their_places(spark, sf_dir):
     assert [(r["clause"], r["start"]) for r in one] == [("pain", 0), ("pain", 9), ("no pain。", 19), ("再见", 27)]
 
 
-def test_diversified_selection(spark):
-    families, facets = ["CS", "PE", "LO", "CP", "BC", "PA"], ["symptoms_or_adverse_effects", "objective_results", "care_plan"]
-    rng = random.Random(9)
-    rows = []
-    for q in range(4):
-        scopes = ["CS=3", "PE=3", "CP=2", "BC=1"][: q + 1]
-        for place in range(1, 90):
-            family = "LO" if rng.random() < 0.7 else rng.choice(families)
-            rows.append((q, q * 1000 + place, place, family, [r for r in ("keyword_match", "scope_family_prior") if rng.random() < 0.2], [f for f in facets if rng.random() < 0.05], facets, scopes))
-    df = spark.createDataFrame(rows, "query_id long, state_id long, place long, family string, reasons array<string>, matched_facets array<string>, facets array<string>, scopes array<string>")
-    got = {}
-    for r in ranking.diversified(df, 12).orderBy("query_id", "pick").collect():
-        got.setdefault(r["query_id"], []).append(r["state_id"])
-    quota = {"PE": 4, "CS": 2}
-    for q in range(4):
-        mine = [r for r in rows if r[0] == q]
-        picked, seen = [], set()
-
-        def add(r):
-            if r is not None and r[1] not in seen and len(picked) < 12:
-                picked.append(r)
-                seen.add(r[1])
-                return True
-            return False
-
-        count = lambda f: sum(r[3] == f for r in picked)
-        best = lambda f: next((r for r in mine if r[3] == f and r[1] not in seen), None)
-        for r in [r for r in mine if "keyword_match" in r[4]][:3]:
-            add(r)
-        here = {r[3] for r in mine}
-        weight = {s[:2]: int(s[3:]) * 10 + {"CS": 100, "PE": 98, "CP": 75}.get(s[:2], 0) for s in mine[0][7] if s[:2] in here}
-        keys = sorted(weight, key=lambda f: (-weight[f], f))
-        for f in [f for f in keys if weight[f] >= 100]:
-            if not count(f):
-                add(best(f))
-        for f in [f for f in keys if weight[f] >= 100]:
-            while count(f) < quota.get(f, 1) and add(best(f)):
-                pass
-        for f in [f for f in keys if weight[f] < 100]:
-            if not count(f):
-                add(best(f))
-        fams, shown = {r[3] for r in picked}, {x for r in picked for x in r[5]}
-        for r in mine:
-            if (r[3] not in fams or not set(r[5]) <= shown) and add(r):
-                fams.add(r[3])
-                shown.update(r[5])
-        for r in mine:
-            add(r)
-        assert got[q] == [r[1] for r in picked]
+def test_steps_of_the_diversified_selection(spark):
+    from threadline.operators.selection import diversified
+
+    asked, scopes = ["objective_results", "symptoms_or_adverse_effects"], ["CS=2", "PE=1", "CP=1"]
+    strong, facet = ["keyword_match"], ["care_plan"]
+    # place -> (family, reasons, facets); CS weighs 120 with a quota of 2, PE 108 with 4, CP 10 with 1.
+    rows = {1: ("BC", strong, []), 2: ("BC", [], []), 3: ("CS", strong, []), 4: ("LO", [], []), 5: ("PE", [], []), 6: ("CS", [], []), 7: ("CS", [], []), 8: ("CP", [], []), 9: ("PE", [], []), 10: ("CP", [], facet), 11: ("LO", [], []), 12: ("BC", [], facet)}
+    df = spark.createDataFrame([(q, 100 * q + p, p, f, r, m, asked, scopes) for q in (1, 2) for p, (f, r, m) in rows.items()], "query_id long, state_id long, place long, family string, reasons array<string>, matched_facets array<string>, facets array<string>, scopes array<string>")
+    # 1 and 3 are strong; PE has none yet (5); CS may take one more (6), PE up to four (9); CP has none (8); LO is new (4), so is a facet (10).
+    want = [1, 3, 5, 6, 9, 8, 4, 10, 2, 7, 11, 12]
+    for limit in (4, 8, 12):
+        got = [r["state_id"] for r in diversified(df, limit).orderBy("query_id", "pick").collect()]
+        assert got == [100 * q + p for q in (1, 2) for p in want[:limit]]
+    assert diversified(df.limit(0), 3).count() == 0
 
 
 def test_numbers_of_a_hot_group(spark):
@@ -207,32 +172,25 @@ def test_null_keys_are_one_key(spark):
     assert got == {1: (1, None, None, "ADD", "active", None), 2: (2, 1, None, "CONFLICT", "conflict", 1), 3: (3, 2, None, "CONFLICT", "conflict", 1), 4: (4, 3, None, "RESOLVE", "resolved", None), 5: (5, 1, 2, "NOOP", "active", None)}
 
 
-def test_coverage_gate_equals_the_whole_list(spark, sf_dir):
-    """The choice from the bounded pool is that from all rows of each question."""
-    from threadline.plans.base import statements
-    from threadline.plans.outcome_queries import kin_of
-    from threadline.plans.ranking_queries import indexed
-
-    rows = indexed(spark, sf_dir).withColumn("query_id", F.col("query_id") % 3)  # long lists
-    rows = tables.materialize(rows, "indexed")
-    kin = tables.materialize(kin_of(statements(spark, sf_dir)), "kin")
-    got = {}
-    for r in ranking.coverage_gate(rows, kin).orderBy("query_id", "pick").collect():
-        got.setdefault(r["query_id"], []).append((r["state_id"], r["step"]))
-    related = {}
-    for r in kin.orderBy("state_id", "nth").collect():
-        related.setdefault(r["state_id"], []).append(r["other_id"])
-    lists = {}
-    for r in rows.collect():
-        lists.setdefault(r["query_id"], []).append(r.asDict())
-    for q, mine in lists.items():
-        mine.sort(key=lambda r: (-r["gate_score"], -r["seconds"], r["state_id"]))
-        assert got[q] == ranking.gate_choice(mine, related), q
-        assert len(mine) > 150
-    # Each step by hand: two direct hits of which one is an anchor, its kin, one for a missing facet, the rest.
-    row = lambda i, **k: {"state_id": i, "task": "generic", "lexical_hits": 0, "value_hits": 0, "scope_hit": False, "option_hits": 0, "gate_facets": [], "required": ["direct_facts", "sleep"], **k}
-    few = [row(1, lexical_hits=2, value_hits=1, gate_facets=["direct_facts"]), row(2, lexical_hits=1), row(3), row(4, value_hits=1, gate_facets=["sleep"]), row(5, gate_facets=["sleep"])]
-    assert ranking.gate_choice(few, {1: [3], 2: [5]}) == [(1, "direct"), (2, "direct"), (3, "related"), (4, "facet")]
+def test_steps_of_the_coverage_gate(spark):
+    from threadline.operators.selection import coverage_gate
+
+    shape = "query_id long, state_id long, task string, gate_score double, seconds long, lexical_hits int, value_hits int, scope_hit boolean, option_hits int, gate_facets array<string>, required array<string>"
+
+    def picks(rows, kin, task="generic", required=("direct_facts", "sleep", "adherence")):
+        df = spark.createDataFrame([(7, i, task, 100.0 - i, 0, lexical, value, scope, 0, list(facets), list(required)) for i, lexical, value, scope, facets in rows], shape)
+        related = spark.createDataFrame([(a, b, n) for a, others in kin.items() for n, b in enumerate(others, 1)], "state_id long, other_id long, nth int")
+        return [(r["state_id"], r["step"]) for r in coverage_gate(df, related).orderBy("pick").collect()]
+
+    # Two direct hits, one of them an anchor; its kin in the record (9 is not); one statement a missing facet; no more match.
+    rows = [(1, 2, 1, False, ["direct_facts"]), (2, 1, 0, False, []), (3, 0, 0, False, []), (4, 0, 1, False, ["sleep", "adherence"]), (5, 0, 1, False, ["sleep"]), (6, 0, 1, False, ["adherence"])]
+    assert picks(rows, {1: [9, 3], 2: [5]}) == [(1, "direct"), (2, "direct"), (3, "related"), (4, "facet"), (6, "facet")]
+    # What is related may cover a facet; a facet that only direct hits cover stays open.
+    assert picks([*rows[:2], (3, 0, 0, False, ["sleep"]), (8, 0, 0, True, ["diagnosis"])], {1: [3]}, required=("sleep", "diagnosis")) == [(1, "direct"), (2, "direct"), (8, "direct"), (3, "related")]
+    # Ten direct hits, then two of kin, then the rest that match up to twenty-four.
+    many = [(i, 1, int(i == 1), False, ["direct_facts"] if i == 1 else []) for i in range(1, 41)]
+    got = picks(many, {1: [30, 31, 32]}, required=("direct_facts",))
+    assert got == [*((i, "direct") for i in range(1, 11)), (30, "related"), (31, "related"), *((i, "fill") for i in range(11, 23))]
 
 
 def test_a_scorers_failures_are_rows(spark):

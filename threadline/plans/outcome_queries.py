@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadline.functions import fixed as fx
 from threadline.operators import answers as an
+from threadline.operators import selection
 from threadline.operators import states as st
 from threadline.operators.tables import numbered
 from threadline.plans.answer_queries import ANSWERS_SQL, SCORED, WRONG, scores
 from threadline.plans.base import STATEMENTS, matches, register, statements
+from threadline.plans.ranking_queries import GATE_SCORE, INDEXED, indexed
 from threadline.plans.rule_queries import FOLLOWED
 from threadline.plans.state_queries import BOUND, FACTORED, PAIRS, REACH, REASON, RELATION, evidence_of, pairs_of, verified
 
@@ -112,13 +115,28 @@ def error_case_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(builds, "answer_id", "left").select("answer_id", "status", "n_states", "n_evidence", F.coalesce("n_failed_builds", F.lit(0)).alias("n_failed_builds"))
 
 
-@register()
+KIND = f"CASE WHEN task IN {fx.COMPLEX_TASKS} OR len(required) > {selection.MANY_FACETS} THEN 'complex' WHEN task = 'multiple_choice' THEN 'multiple_choice' ELSE 'other' END"
+BOUND_OF = lambda i: "CASE kind " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in selection.GATE_LIMITS.items()) + " END"
+GATE = f"""{INDEXED}, shared AS (SELECT DISTINCT a.state_id, b.state_id AS other_id FROM links a JOIN links b USING (evidence_id) WHERE a.state_id <> b.state_id UNION SELECT * FROM (SELECT state_id, lag(state_id) OVER (PARTITION BY subject_id, family ORDER BY state_id) AS other_id FROM st) WHERE other_id IS NOT NULL),
+    kin AS (SELECT s.*, row_number() OVER (PARTITION BY s.state_id ORDER BY o.seconds DESC, s.other_id) AS nth FROM shared s JOIN st o ON o.state_id = s.other_id),
+    g0 AS (SELECT *, {KIND} AS kind, len(list_filter(terms, lambda t: contains(body, t))) > 0 OR no > 0 AS strong, len(hits) > 0 OR sh OR no > 0 AS signal, row_number() OVER (PARTITION BY query_id ORDER BY {GATE_SCORE} DESC, seconds DESC, state_id) AS place FROM ix),
+    g1 AS (SELECT *, signal AND row_number() OVER (PARTITION BY query_id, signal ORDER BY place) <= {BOUND_OF(1)} AS direct FROM g0), g2 AS (SELECT *, direct AND (strong OR kind <> 'complex' AND sh) AS relevant FROM g1),
+    anchors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, relevant ORDER BY place) AS turn FROM g2) WHERE relevant AND turn <= {BOUND_OF(2)}),
+    tied AS (SELECT query_id, kin.other_id AS state_id, min(place * 1000 + nth) AS tie FROM anchors a JOIN kin ON kin.state_id = a.state_id AND kin.nth <= {BOUND_OF(3)} GROUP BY ALL),
+    g3 AS (SELECT g2.*, tie, direct OR tie IS NOT NULL AS chosen FROM g2 LEFT JOIN tied USING (query_id, state_id)),
+    cov AS (SELECT * FROM (SELECT *, unnest(gate_facets) AS facet FROM g3) WHERE strong OR NOT list_contains({list(selection.DIRECT_FACETS)}, facet) AND (tie IS NOT NULL OR (kind <> 'complex' OR list_contains({list(selection.FAMILY_FACETS)}, facet)) AND sh)),
+    open_facets AS (SELECT query_id, facet, any_value(list_position(required, facet)) AS pos, list(place ORDER BY place) FILTER (NOT chosen) AS places FROM cov GROUP BY 1, 2 HAVING NOT bool_or(chosen AND (relevant OR tie IS NOT NULL)) AND count(*) FILTER (NOT chosen) > 0),
+    fl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS i FROM open_facets),
+    fold AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken FROM fl UNION ALL SELECT fl.query_id, fl.i, list_concat(taken, list_filter(places, lambda p: NOT list_contains(taken, p))[1:1]) FROM fold JOIN fl ON fl.query_id = fold.query_id AND fl.i = fold.i + 1),
+    repair AS (SELECT query_id, unnest(taken) AS place, unnest(range(1, len(taken) + 1)) AS turn FROM (SELECT query_id, arg_max(taken, i) AS taken FROM fold GROUP BY 1)),
+    g4 AS (SELECT g3.*, repair.turn, CASE WHEN direct THEN 1 WHEN tie IS NOT NULL THEN 2 WHEN repair.turn IS NOT NULL THEN 3 WHEN signal THEN 4 END AS n FROM g3 LEFT JOIN repair USING (query_id, place)),
+    gate AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, CASE n WHEN 2 THEN tie WHEN 3 THEN turn END, place) AS pick FROM g4 WHERE n IS NOT NULL) WHERE pick <= {BOUND_OF(0)})"""
+
+
+@register(f"WITH RECURSIVE {GATE} SELECT query_id, state_id, pick, ['direct', 'related', 'facet', 'fill'][n] AS step FROM gate")
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The states that each question may use: direct hits, what is related to them, one for each missing facet, the rest."""
-    from threadline.operators import ranking
-    from threadline.plans.ranking_queries import indexed
-
-    return ranking.coverage_gate(indexed(spark, sf_dir), kin_of(statements(spark, sf_dir)))
+    return selection.coverage_gate(indexed(spark, sf_dir), kin_of(statements(spark, sf_dir)))
 
 
 def kin_of(rows: DataFrame) -> DataFrame:

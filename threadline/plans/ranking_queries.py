@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadline.functions import fixed as fx
 from threadline.functions import rules
-from threadline.operators import ranking
+from threadline.operators import ranking, selection
 from threadline.operators import states as st
 from threadline.plans.base import PHRASES, STATEMENTS, TASKS, _pick, matches, quoted, register, statements
 from threadline.plans.rule_queries import FACETS_SQL, OPERATOR_SQL, SCOPES_SQL, aliases_sql
@@ -119,10 +119,19 @@ def option_quota_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.quota_selection(rows, rules.candidate_limit(F.col("task"), F.col("n_options")))
 
 
-@register()
+DIVERSIFIED = f"""{SCORED}, wt AS (SELECT od.*, q.facets AS asked, q.scopes, list_has_any(reasons, {[*ranking.STRONG, 'semantic_concept_match']}) AS strong FROM od JOIN qs q USING (query_id)),
+    wq AS (SELECT *, (SELECT max(CAST(s[4:5] AS INT)) FROM (SELECT unnest(scopes) AS s) WHERE s[1:2] = family) * 10 + {' + '.join(f"CASE WHEN family = '{f}' AND list_contains(asked, '{n}') THEN {v} ELSE 0 END" for n, f, v, _ in selection.QUOTAS)} AS weight,
+        coalesce({', '.join(f"CASE WHEN family = '{f}' AND list_contains(asked, '{n}') THEN {q} END" for n, f, _, q in selection.QUOTAS if q > 1)}, 1) AS quota, strong AND row_number() OVER (PARTITION BY query_id, strong ORDER BY place) <= {selection.STRONG_FIRST} AS head FROM wt),
+    nf AS (SELECT *, row_number() OVER (PARTITION BY query_id, family, head ORDER BY place) AS nth, count(*) FILTER (head) OVER (PARTITION BY query_id, family) AS heads FROM wq),
+    s1 AS (SELECT *, CASE WHEN head THEN 1 WHEN weight >= 100 AND heads = 0 AND nth = 1 THEN 2 WHEN weight >= 100 AND nth <= quota - heads THEN 3 WHEN weight < 100 AND heads = 0 AND nth = 1 THEN 4 END AS early FROM nf),
+    fresh AS (SELECT query_id, arg_min(state_id, place) AS state_id FROM (SELECT query_id, state_id, place, early, unnest(mf) AS facet FROM s1) GROUP BY query_id, facet HAVING count(early) = 0),
+    s2 AS (SELECT *, coalesce(early, CASE WHEN (query_id, state_id) IN (SELECT query_id, state_id FROM fresh) OR nth = 1 AND count(early) OVER (PARTITION BY query_id, family) = 0 THEN 5 ELSE 6 END) AS step FROM s1)"""
+
+
+@register(f"""WITH {DIVERSIFIED} SELECT * FROM (SELECT query_id, state_id, row_number() OVER (PARTITION BY query_id ORDER BY step, CASE WHEN step BETWEEN 2 AND 4 THEN -weight END, CASE WHEN step BETWEEN 2 AND 4 THEN family END, place) AS pick FROM s2) WHERE pick <= 18""")
 def diversified_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The greedy selection of eighteen for questions that need many facets, over every question's candidates."""
-    return ranking.diversified(candidates(spark, sf_dir), 18)
+    """The selection of eighteen for questions that need many facets, over every question's candidates."""
+    return selection.diversified(candidates(spark, sf_dir), 18)
 
 
 @register(f"WITH {SCORED} SELECT od.query_id, l.evidence_id, count(DISTINCT od.state_id) AS n_states FROM od JOIN links l USING (state_id) GROUP BY 1, 2")
@@ -148,17 +157,21 @@ def option_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TERM_SQL = quoted(r"[a-z][a-z0-9.+-]{2,}|[0-9]+(?:\.[0-9]+)?(?:%|mg|kg|mmol/l)?|\p{IsHan}{2,8}")
-REQUIRED = "list_distinct(list_concat(facets, CASE task " + " ".join(f"WHEN '{t}' THEN {list(f)}" for t, f in fx.REQUIRED_FACETS.items()) + " ELSE ['direct_facts'] END))"
+BY_TASK = "CASE task " + " ".join(f"WHEN '{t}' THEN {list(f)}" for t, f in fx.REQUIRED_FACETS.items()) + " ELSE ['direct_facts'] END"
+REQUIRED = f"list_concat(facets, list_filter({BY_TASK}, lambda f: NOT list_contains(facets, f)))"
 SPECIAL = {"direct_facts": "len(hits) > 0 OR ht", "event_time": "true", "option_evidence": "no > 0", "current_status": f"status = 'active' OR {matches('hay', fx.FACET_PATTERNS['current_status'])}", "previous_state": "status <> 'active'"}
 COVERED = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{f}' END" for f, t in {**{f: f"family IN ({', '.join(repr(x) for x in fam)})" + (f" AND {matches('hay', fx.FACET_PATTERNS[f])}" if f in fx.FACET_PATTERNS else "") for f, fam in fx.FACET_FAMILIES.items() if f not in SPECIAL}, **SPECIAL}.items()) + "], lambda x: x IS NOT NULL)"
 INDEXED = f"""{LINKS}, ev AS (SELECT l.state_id, string_agg(e.text, ' ' ORDER BY l.place) AS words FROM links l JOIN evidence e USING (evidence_id) WHERE e.text <> '' GROUP BY 1), {QUESTIONS_SQL},
     raw AS (SELECT query_id, lower(concat_ws(' ', question, target, array_to_string(keywords, ' '), array_to_string(options, ' '))) AS low FROM qs),
     qt AS (SELECT query_id, list_distinct(list_filter(flatten([regexp_extract_all(low, {TERM_SQL}), list_transform({aliases_sql('low')}, lambda a: lower(a)), {', '.join(f"CASE WHEN regexp_matches(low, '{p}') THEN {list(w)} ELSE CAST([] AS VARCHAR[]) END" for p, w in ranking.AREAS)}]), lambda t: length(t) > 1 AND NOT list_contains({list(ranking.QUERY_STOP_TERMS)}, t))) AS terms FROM raw),
-    pr AS (SELECT st.state_id, st.family, st.status, st.seconds, lower(concat_ws(' ', st.text, family, status, polarity, words)) AS hay, qs.* EXCLUDE (text), qt.terms FROM st LEFT JOIN ev USING (state_id) JOIN qs ON qs.query_id = st.subject_id JOIN qt USING (query_id)),
+    pr AS (SELECT st.state_id, st.family, st.status, st.seconds, lower(st.text) AS body, lower(concat_ws(' ', st.text, family, status, polarity, words)) AS hay, qs.* EXCLUDE (text), qt.terms FROM st LEFT JOIN ev USING (state_id) JOIN qs ON qs.query_id = st.subject_id JOIN qt USING (query_id)),
     ih AS (SELECT *, list_filter(terms, lambda t: contains(hay, t)) AS hits, contains(hay, lower(target)) AS ht, len(list_filter(scopes, lambda s: s[1:2] = family)) > 0 AS sh, len(list_filter(options, lambda o: len(list_filter(regexp_extract_all(lower(o), {TERM_SQL}), lambda t: contains(hay, t))) > 0)) AS no, {REQUIRED} AS required FROM pr),
     ix AS (SELECT *, list_filter(required, lambda f: list_contains(held, f)) AS gate_facets FROM (SELECT *, {COVERED} AS held FROM ih))"""
 
 
+GATE_SCORE = "round(least(len(hits), 24) * 5 + CASE WHEN sh THEN 3 ELSE 0 END + no * 5 + len(gate_facets) * 1.25 + CASE WHEN ht THEN 6 ELSE 0 END + CASE WHEN operator IN ('current', 'latest') AND status = 'active' THEN 1 ELSE 0 END + CASE WHEN operator = 'history' AND family = 'BC' THEN 1 ELSE 0 END, 3)::DOUBLE"
+
+
 @register(f"""WITH {INDEXED} SELECT query_id, state_id, round(least(len(hits), 24) * 5 + CASE WHEN sh THEN 3 ELSE 0 END + no * 5 + len(gate_facets) * 1.25 + CASE WHEN ht THEN 6 ELSE 0 END + CASE WHEN operator IN ('current', 'latest') AND status = 'active' THEN 1 ELSE 0 END + CASE WHEN operator = 'history' AND family = 'BC' THEN 1 ELSE 0 END, 3)::DOUBLE AS gate_score,
     least(len(hits), 24) AS lexical_hits, array_to_string(list_sort(gate_facets), ',') AS gate_facets FROM ix""")
 def index_gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

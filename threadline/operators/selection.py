@@ -59,6 +59,29 @@ def diversified(candidates: DataFrame, limit: int, order: str = "place") -> Data
     return rows.withColumn("pick", F.row_number().over(first).cast("long")).filter(c("pick") <= limit).select("query_id", "state_id", "pick")
 
 
+def bound(i: int) -> Column:
+    return F.coalesce(*[F.when(F.col("kind") == k, v[i]) for k, v in GATE_LIMITS.items()])
+
+
+def with_direct(indexed: DataFrame) -> DataFrame:
+    """Rows of index_score with the kind of question, their place, whether they match, are direct hits, and relevant ones."""
+    c = F.col
+    kind = F.when(one_of(c("task"), fx.COMPLEX_TASKS) | (F.size("required") > MANY_FACETS), "complex").when(c("task") == "multiple_choice", "multiple_choice").otherwise("other")
+    strong = (c("value_hits") > 0) | (c("option_hits") > 0)
+    best = [F.desc("gate_score"), F.desc("seconds"), F.asc("state_id")]
+    rows = indexed.select("query_id", "state_id", "gate_score", "gate_facets", "required", "scope_hit", strong.alias("strong"), kind.alias("kind"), ((c("lexical_hits") > 0) | c("scope_hit") | (c("option_hits") > 0)).alias("signal"), F.row_number().over(W.partitionBy("query_id").orderBy(*best)).alias("place"))
+    nth = F.row_number().over(W.partitionBy("query_id", "signal").orderBy("place"))
+    rows = rows.withColumn("direct", c("signal") & (nth <= bound(1)))
+    return rows.withColumn("relevant", c("direct") & (c("strong") | (c("kind") != "complex") & c("scope_hit")))
+
+
+def coverable(tied: Column) -> Column:
+    """Whether a row of with_direct can cover its ``facet``."""
+    c = F.col
+    by_family = ((c("kind") != "complex") | one_of(c("facet"), FAMILY_FACETS)) & c("scope_hit")
+    return c("strong") | ~one_of(c("facet"), DIRECT_FACETS) & (tied | by_family)
+
+
 def coverage_gate(indexed: DataFrame, related: DataFrame) -> DataFrame:
     """(query_id, state_id, pick, step): which of a question's statements (``indexed``, rows of index_score) it may use.
 
@@ -67,21 +90,13 @@ def coverage_gate(indexed: DataFrame, related: DataFrame) -> DataFrame:
     facet before took; the rest that match fill up. GATE_LIMITS bound the steps by the kind of question.
     """
     c = F.col
-    kind = F.when(one_of(c("task"), fx.COMPLEX_TASKS) | (F.size("required") > MANY_FACETS), "complex").when(c("task") == "multiple_choice", "multiple_choice").otherwise("other")
-    bound = lambda i: F.coalesce(*[F.when(c("kind") == k, v[i]) for k, v in GATE_LIMITS.items()])
-    strong = (c("value_hits") > 0) | (c("option_hits") > 0)
-    best = [F.desc("gate_score"), F.desc("seconds"), F.asc("state_id")]
-    rows = indexed.select("query_id", "state_id", "gate_facets", "required", "scope_hit", strong.alias("strong"), kind.alias("kind"), ((c("lexical_hits") > 0) | c("scope_hit") | (c("option_hits") > 0)).alias("signal"), F.row_number().over(W.partitionBy("query_id").orderBy(*best)).alias("place"))
+    rows = with_direct(indexed)
     by = lambda *keys: F.row_number().over(W.partitionBy("query_id", *keys).orderBy("place"))
-    rows = rows.withColumn("direct", c("signal") & (by("signal") <= bound(1)))
-    rows = rows.withColumn("relevant", c("direct") & (c("strong") | (c("kind") != "complex") & c("scope_hit")))
     anchors = rows.withColumn("turn", by("relevant")).filter(c("relevant") & (c("turn") <= bound(2))).select("query_id", "state_id", "place", bound(3).alias("most"))
     tied = anchors.join(related, "state_id").filter("nth <= most").groupBy("query_id", c("other_id").alias("state_id")).agg(F.min(F.struct("place", "nth")).alias("tie"))
     rows = rows.join(tied, ["query_id", "state_id"], "left").withColumn("chosen", c("direct") | c("tie").isNotNull())
 
-    by_family = ((c("kind") != "complex") | one_of(c("facet"), FAMILY_FACETS)) & c("scope_hit")
-    able = c("strong") | ~one_of(c("facet"), DIRECT_FACETS) & (c("tie").isNotNull() | by_family)
-    covering = rows.withColumn("facet", F.explode("gate_facets")).filter(able)
+    covering = rows.withColumn("facet", F.explode("gate_facets")).filter(coverable(c("tie").isNotNull()))
     met = covering.withColumn("met", F.max((c("chosen") & (c("relevant") | c("tie").isNotNull())).cast("int")).over(W.partitionBy("query_id", "facet")))
     # As many facets as there are may take a statement before this one does.
     able_rows = met.filter("met = 0 and not chosen").withColumn("turn", by("facet")).filter(c("turn") <= F.size("required"))

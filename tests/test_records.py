@@ -205,3 +205,19 @@ def test_a_scorers_failures_are_rows(spark):
 
     got = {r["id"]: (r["score"], r["error"]) for r in scored_by(spark.range(6), scorer, "score double", "id").collect()}
     assert got == {i: (i * 0.5, None) if i != 3 else (None, "ValueError: three") for i in range(6)}
+
+
+def test_answers_at_boundaries_across_stops(spark, tmp_path):
+    shape = "subject_id long, session_no long, kind string, item_id long, family string"
+    source, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    batches = [
+        [(1, 1, "fact", 11, "CS"), (1, 2, "question", 92, None), (1, 2, "fact", 12, "PE"), (2, 1, "question", 93, None)],
+        [(1, 1, "commit", None, None), (1, 1, "question", 91, None), (1, 3, "fact", 15, "LO")],  # session 3 is open: not in the answers
+        [(1, 2, "fact", 13, "CS"), (1, 2, "commit", None, None)],
+        [(1, 1, "question", 94, None), (1, 1, "fact", 19, "BC"), (1, 3, "question", 95, None), (1, 3, "commit", None, None)],  # late question, late fact
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+        streams.resumed(streams.answers_at_boundaries(spark.readStream.schema(shape).parquet(source)), out, log)
+    got = {r["question_id"]: (r["session_no"], r["n_facts"], r["last_fact_id"], r["families"], r["late"]) for r in spark.read.parquet(out).collect()}
+    assert got == {91: (1, 1, 11, "CS", False), 92: (2, 3, 13, "CS,PE", False), 94: (1, None, None, None, True), 95: (3, 5, 19, "BC,CS,LO,PE", False)}

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.operators.tables import shared_folder
-from threadline.plans.base import FACTORS, ORACLES, register
+from threadline.operators.tables import materialize, shared_folder
+from threadline.plans.base import FACTORS, ORACLES, STATEMENTS, register, statements
 from threadline.streaming import streams
 
 
@@ -42,3 +42,28 @@ def stream_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         streams.commit_batches(event_stream(spark, sf_dir).select("event_id", "event_type"), f"{base}/out/part={path}", f"{base}/log-{log}", ["event_id"])
     rows = streams.committed_rows(spark, f"{base}/out", ["event_id"])
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+ARRIVALS = 5
+
+
+@register(f"""WITH {STATEMENTS}, d AS (SELECT DISTINCT subject_id, session_no FROM st)
+    SELECT d.subject_id, d.session_no, d.subject_id * 100000 + d.session_no AS question_id, count(*) AS n_facts, max(st.state_id) AS last_fact_id, array_to_string(list_sort(list_distinct(list(st.family))), ',') AS families, false AS late
+    FROM d JOIN st ON st.subject_id = d.subject_id AND st.session_no <= d.session_no GROUP BY 1, 2""")
+def stream_boundary_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question about each session of a subject, answered when the session is committed: the table comes in ARRIVALS parts, after each
+    of which the stream stops and goes on from its log. Questions come a part before their session, or with it."""
+    base = f"{shared_folder(spark)}/boundaries-{uuid.uuid4().hex}"
+    rows = statements(spark, sf_dir)
+    part = F.least(F.lit(ARRIVALS - 1), F.floor(F.col("session_no") * ARRIVALS / F.col("last_session"))).cast("int")
+    facts = rows.join(F.broadcast(rows.agg(F.max("session_no").alias("last_session")))).withColumn("part", part)
+    shape = ["subject_id", "session_no", "kind", "item_id", "family", "part"]
+    said = facts.withColumns({"kind": F.lit("fact"), "item_id": F.col("state_id")}).select(*shape)
+    ends = facts.groupBy("subject_id", "session_no").agg(F.max("part").alias("part")).withColumns({"kind": F.lit("commit"), "item_id": F.lit(None).cast("long"), "family": F.lit(None).cast("string")})
+    asks = ends.withColumns({"kind": F.lit("question"), "item_id": F.col("subject_id") * 100000 + F.col("session_no"), "part": F.greatest(F.lit(0), F.col("part") - F.pmod("session_no", F.lit(2)).cast("int"))})
+    came = materialize(said.union(ends.select(*shape)).union(asks.select(*shape)), "arrivals")
+    for n in range(ARRIVALS):
+        came.filter(F.col("part") == n).drop("part").write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(came.drop("part").schema).parquet(f"{base}/in")
+        streams.resumed(streams.answers_at_boundaries(source), f"{base}/out", f"{base}/log")
+    return spark.read.schema(streams.BOUNDARY_ANSWERS).parquet(f"{base}/out")

@@ -113,3 +113,54 @@ def late_versions(stream: DataFrame, keys: list[str]) -> DataFrame:
         yield made.astype({"predecessor_id": "Int64", "successor_id": "Int64"})
 
     return stream.groupBy(*keys).applyInPandasWithState(run, "fact_id long, version long, predecessor_id long, successor_id long", "seen string", "append", GroupStateTimeout.NoTimeout)
+
+
+def resumed(stream: DataFrame, out: str, log: str) -> None:
+    """Process what has come since the last call with the same ``log``, and append it to ``out``."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+
+BOUNDARY_ANSWERS = "subject_id long, session_no long, question_id long, n_facts long, last_fact_id long, families string, late boolean"
+
+
+def answers_at_boundaries(stream: DataFrame) -> DataFrame:
+    """Questions of a session, answered when the session is committed, from the facts of all sessions up to it.
+
+    ``stream``: subject_id, session_no, kind (fact, question, commit), item_id, family. The facts of a session come before its
+    commit or with it, its questions too; sessions of a subject are committed in order. A question waits in its subject's state;
+    facts are folded there into the sum of the committed sessions and one sum for each session still open, so the state grows with
+    open sessions and waiting questions, not with the history. A fact of a committed session counts from the next commit on; a
+    question that comes after its commit is given back as ``late``, with nulls, for the batch form to answer.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, shut, still, waiting = json.loads(state.get[0]) if state.exists else ([0, None, []], None, {}, {})
+        out = []
+        rows = pd.concat(list(frames), ignore_index=True)
+        sums = {int(k): v for k, v in still.items()}
+        asked = {int(k): v for k, v in waiting.items()}
+        for session, part in rows[rows["kind"] == "fact"].groupby("session_no"):
+            old = sums.get(int(session), [0, None, []])
+            sums[int(session)] = merged(old, [len(part), int(part["item_id"].max()), sorted(set(part["family"].dropna()))])
+        for session, part in rows[rows["kind"] == "question"].groupby("session_no"):
+            ids = part["item_id"].astype(int).tolist()
+            if shut is not None and session <= shut:
+                out += [(key[0], int(session), i, None, None, None, True) for i in ids]
+            else:
+                asked.setdefault(int(session), []).extend(ids)
+        for session in sorted(int(x) for x in rows.loc[rows["kind"] == "commit", "session_no"].unique()):
+            for ready in sorted(x for x in sums if x <= session):
+                done = merged(done, sums.pop(ready))
+            for now in sorted(x for x in asked if x <= session):
+                out += [(key[0], now, i, done[0], done[1], ",".join(done[2]), False) for i in asked.pop(now)]
+            shut = session if shut is None else max(shut, session)
+        state.update((json.dumps([done, shut, sums, asked]),))
+        made = pd.DataFrame(out, columns=["subject_id", "session_no", "question_id", "n_facts", "last_fact_id", "families", "late"])
+        yield made.astype({"n_facts": "Int64", "last_fact_id": "Int64", "late": "bool"})
+
+    return stream.groupBy("subject_id").applyInPandasWithState(run, BOUNDARY_ANSWERS, "sums string", "append", GroupStateTimeout.NoTimeout)
+
+
+def merged(a: list, b: list) -> list:
+    """Sums of facts: how many, the greatest id, the families."""
+    return [a[0] + b[0], max((x for x in (a[1], b[1]) if x is not None), default=None), sorted({*a[2], *b[2]})]

@@ -35,7 +35,10 @@ def test_commits_and_scans(spark, tmp_path):
         stores.commit({"edges": (nodes, F.lit("")), "nodes": (nodes.withColumn("value", F.lit(" ")), no_errors)}, folder)
     nodes.withColumn("subject_bucket", stores.bucket()).write.partitionBy("subject_bucket").parquet(f"{folder}/nodes/commit=broken")
     assert stores.committed(spark, folder, "nodes").count() == 3 and stores.committed(spark, folder, "edges").count() == 1
-    assert {r["state_id"] for r in stores.of_subject(spark, folder, "nodes", 10).collect()} == {1, 2}
+    assert {r["state_id"] for r in stores.of_subject(spark, folder, "nodes", 10).collect()} == {1, 2}  # neither the refused commit's nor the broken one's
+    assert stores.of_subject(spark, folder, "nodes", 10).count() == 2
+    stores.commit({"nodes": (nodes.filter("state_id = 1").withColumn("state_id", F.lit(0).cast("long")), no_errors)}, folder)
+    assert [r["state_id"] for r in stores.of_subject(spark, folder, "nodes", 10).collect()][-1] == 0  # the last commit comes last
     wanted = spark.createDataFrame([([3, 1, 3, 9],)], "ids array<long>")
     assert [r["state_id"] for r in stores.in_request_order(nodes, "state_id", wanted, "ids").orderBy("place").collect()] == [3, 1]
 

@@ -127,6 +127,35 @@ def gate(questions: DataFrame, related: DataFrame, index: Index) -> DataFrame:
     return selection.coverage_gate(gate_reads(questions, related, index), related)
 
 
+# ---- chains --------------------------------------------------------------------------------------------------------
+
+
+def chain_nodes(chosen: DataFrame, lineage: DataFrame) -> DataFrame:
+    """(query_id, state_id, role): direct if the value has the question's words, bridge if a version stands before it, else support.
+
+    ``chosen``: query_id, state_id, pick, task, lexical_hits, value_hits; ``lineage``: (state_id, other_id) with the version before.
+    """
+    rows = chosen.join(lineage.select("state_id", F.lit(True).alias("later")).distinct(), "state_id", "left")
+    return rows.select("query_id", "state_id", F.when(F.col("value_hits") > 0, "direct").when(F.col("later"), "bridge").otherwise("support").alias("role"))
+
+
+def chain_edges(chosen: DataFrame, links: DataFrame, lineage: DataFrame) -> DataFrame:
+    """(query_id, from_id, to_id, type) between the chosen states of a question: versions, shared evidence, and from the root to each
+    state that has neither. The root is the first chosen state with a word of the question, else the first. Both sides of
+    every join are a question's chosen states, of which GATE_LIMITS allow few."""
+    mine = chosen.select("query_id", "state_id")
+    to = lineage.join(mine, "state_id").join(mine.select("query_id", F.col("state_id").alias("other_id")), ["query_id", "other_id"])
+    versions = to.select("query_id", F.col("other_id").alias("from_id"), F.col("state_id").alias("to_id"), F.lit("state_transition").alias("type"))
+    held = materialize(mine.join(links.select("state_id", "evidence_id"), "state_id"), "held")
+    shared = held.join(held.select("query_id", "evidence_id", F.col("state_id").alias("to_id")), ["query_id", "evidence_id"]).filter("state_id <> to_id")
+    edges = materialize(versions.union(shared.select("query_id", F.col("state_id").alias("from_id"), "to_id", F.lit("same_evidence"))).distinct(), "edges")
+    root = chosen.groupBy("query_id").agg(F.coalesce(F.min_by(F.when(F.col("lexical_hits") > 0, F.col("state_id")), F.when(F.col("lexical_hits") > 0, F.col("pick"))), F.min_by("state_id", "pick")).alias("from_id"))
+    ends = edges.select("query_id", F.col("from_id").alias("state_id")).union(edges.select("query_id", "to_id"))
+    alone = chosen.join(ends, ["query_id", "state_id"], "left_anti").join(root, "query_id").filter("state_id <> from_id")
+    kind = F.when(F.col("task").isin(*fx.COMPLEX_TASKS), "supports_decision").otherwise("supports_answer")
+    return edges.union(alone.select("query_id", "from_id", F.col("state_id").alias("to_id"), kind))
+
+
 # ---- retrieval -----------------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadline.functions import fixed as fx
 from threadline.operators import evidence_index as ei
+from threadline.operators import selection
 from threadline.operators import states as st
 from threadline.operators.tables import materialize
 from threadline.plans.base import register, statements
@@ -30,6 +31,40 @@ def index_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ei.gate(asked, materialize(kin_of(rows), "kin"), index)
 
 
+def chosen_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The gate's choice with each state's hits, the links to evidence, and the version before each state."""
+    rows, asked, index = indexed_record(spark, sf_dir)
+    related = materialize(kin_of(rows), "kin")
+    read = ei.gate_reads(asked, related, index)
+    picked = selection.coverage_gate(read, related).join(read.select("query_id", "state_id", "task", "lexical_hits", "value_hits"), ["query_id", "state_id"])
+    return materialize(picked, "chosen"), st.links_of(rows), materialize(lineage_of(rows), "lineage")
+
+
+def lineage_of(rows: DataFrame) -> DataFrame:
+    return rows.select("state_id", F.lag("state_id").over(W.partitionBy("subject_id", "family").orderBy("state_id")).alias("other_id")).filter("other_id is not null")
+
+
+LINEAGE = "lin AS (SELECT * FROM (SELECT state_id, lag(state_id) OVER (PARTITION BY subject_id, family ORDER BY state_id) AS other_id FROM st) WHERE other_id IS NOT NULL)"
+CHAIN = f"""{GATE}, {LINEAGE}, ch AS (SELECT query_id, state_id, pick, task, len(hits) > 0 AS lexical, len(list_filter(terms, lambda t: contains(body, t))) > 0 AS direct_hit FROM gate)"""
+
+
+@register(f"WITH RECURSIVE {CHAIN} SELECT query_id, state_id, CASE WHEN direct_hit THEN 'direct' WHEN state_id IN (SELECT state_id FROM lin) THEN 'bridge' ELSE 'support' END AS role FROM ch")
+def evidence_chain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The role of each state that a question may use."""
+    chosen, _, lineage = chosen_states(spark, sf_dir)
+    return ei.chain_nodes(chosen, lineage)
+
+
+@register(f"""WITH RECURSIVE {CHAIN}, ed AS (SELECT a.query_id, lin.other_id AS from_id, a.state_id AS to_id, 'state_transition' AS type FROM ch a JOIN lin ON lin.state_id = a.state_id JOIN ch b ON b.query_id = a.query_id AND b.state_id = lin.other_id
+        UNION SELECT a.query_id, a.state_id, b.state_id, 'same_evidence' FROM ch a JOIN links x ON x.state_id = a.state_id JOIN links y ON y.evidence_id = x.evidence_id AND y.state_id <> a.state_id JOIN ch b ON b.query_id = a.query_id AND b.state_id = y.state_id),
+    rt AS (SELECT query_id, coalesce(arg_min(state_id, pick) FILTER (lexical), arg_min(state_id, pick)) AS root FROM ch GROUP BY 1)
+    SELECT * FROM ed UNION ALL SELECT ch.query_id, root, ch.state_id, CASE WHEN task IN {fx.COMPLEX_TASKS} THEN 'supports_decision' ELSE 'supports_answer' END FROM ch JOIN rt ON rt.query_id = ch.query_id
+    WHERE ch.state_id <> root AND NOT EXISTS (SELECT 1 FROM ed WHERE ed.query_id = ch.query_id AND (ed.from_id = ch.state_id OR ed.to_id = ch.state_id))""")
+def evidence_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds the states of a question's chain together."""
+    return ei.chain_edges(*chosen_states(spark, sf_dir))
+
+
 _SCORES, _ORDER = SCORED.split("    tr AS (")
 _INDEX = INDEXED[INDEXED.index("raw AS (") :].replace("pr AS (SELECT st.state_id", "ipr AS (SELECT st.state_id").replace("FROM pr)", "FROM ipr)")
 _TURNS = "held AS (" + SCHEDULE.split("held AS (", 1)[1]
@@ -59,5 +94,4 @@ RETRIEVED = f"""{_SCORES}{_INDEX}, {GATE[len(INDEXED) + 1 :]},
 def retrieved_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each question about a subject is answered from."""
     rows, asked, index = indexed_record(spark, sf_dir)
-    lineage = rows.select("state_id", F.lag("state_id").over(W.partitionBy("subject_id", "family").orderBy("state_id")).alias("other_id")).filter("other_id is not null")
-    return ei.retrieve(asked, materialize(kin_of(rows), "kin"), materialize(lineage, "lineage"), materialize(st.links_of(rows), "links"), index)
+    return ei.retrieve(asked, materialize(kin_of(rows), "kin"), materialize(lineage_of(rows), "lineage"), materialize(st.links_of(rows), "links"), index)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,34 +19,42 @@ def bucket(subject: str = "subject_id") -> Column:
     return F.pmod(F.xxhash64(subject), F.lit(SUBJECT_BUCKETS)).cast("int")
 
 
+MARKERS = "commit string, at long, tables array<string>"
+
+
 def commit(tables: dict[str, tuple[DataFrame, Column]], folder: str) -> str:
-    """Append rows of several tables as one unit: all are checked first (a column of errors, empty if there are none), then
-    written under one commit number, and the commit counts from when its marker is there. Returns the number."""
+    """Append rows of several tables as one unit. Each table is written under the commit's number, what was written is checked (a
+    column of errors, empty if there are none), and the commit counts from when its marker is there. Returns the number.
+
+    A frame is evaluated once, so what is checked is what is read later. After an error the rows stay without a marker, unseen.
+    """
+    number = uuid.uuid4().hex
+    spark = None
     for name, (rows, errors) in tables.items():
-        bad = rows.select(errors.alias("e")).filter("e <> ''").limit(1).collect()
+        spark, path = rows.sparkSession, f"{folder}/{name}/commit={number}"
+        rows.withColumn("subject_bucket", bucket()).write.partitionBy("subject_bucket").parquet(path)
+        bad = spark.read.schema(rows.schema).parquet(path).select(errors.alias("e")).filter("e <> ''").limit(1).collect()
         if bad:
             raise ValueError(f"{name}: {bad[0]['e']}")
-    number = uuid.uuid4().hex
-    spark = None
-    for name, (rows, _) in tables.items():
-        spark = rows.sparkSession
-        rows.withColumn("subject_bucket", bucket()).write.partitionBy("subject_bucket").parquet(f"{folder}/{name}/commit={number}")
     if spark is not None:
-        spark.createDataFrame([(number, sorted(tables))], "commit string, tables array<string>").coalesce(1).write.mode("append").json(f"{folder}/commits")
+        spark.createDataFrame([(number, time.time_ns(), sorted(tables))], MARKERS).coalesce(1).write.mode("append").json(f"{folder}/commits")
     return number
 
 
+def markers(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(MARKERS).json(f"{folder}/commits").select("commit", "at")
+
+
 def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The rows of all commits whose marker is there; what a broken commit left is not seen."""
-    done = spark.read.schema("commit string, tables array<string>").json(f"{folder}/commits").select("commit")
-    return spark.read.parquet(f"{folder}/{name}").join(F.broadcast(done), "commit", "left_semi").drop("commit", "subject_bucket")
+    return spark.read.parquet(f"{folder}/{name}").join(markers(spark, folder), "commit", "left_semi").drop("commit", "subject_bucket")
 
 
 def of_subject(spark: SparkSession, folder: str, name: str, subject: int) -> DataFrame:
-    """One subject's rows in the order in which they came; other subjects' folders are not read."""
-    rows = spark.read.parquet(f"{folder}/{name}")
+    """One subject's committed rows in the order of their commits; other subjects' folders are not read."""
     number = spark.range(1).select(bucket_of(subject)).first()[0]
-    return rows.filter((F.col("subject_bucket") == number) & (F.col("subject_id") == subject)).drop("commit", "subject_bucket")
+    rows = spark.read.parquet(f"{folder}/{name}").filter((F.col("subject_bucket") == number) & (F.col("subject_id") == subject))
+    return rows.join(markers(spark, folder), "commit").orderBy("at", "commit").drop("commit", "at", "subject_bucket")
 
 
 def bucket_of(subject: int) -> Column:

@@ -224,3 +224,21 @@ def test_answers_at_boundaries_across_stops(spark, tmp_path):
         streams.resumed(streams.answers_at_boundaries(spark.readStream.schema(shape).parquet(source)), out, log)
     got = {r["question_id"]: (r["session_no"], r["n_facts"], r["last_fact_id"], r["families"], r["late"]) for r in spark.read.parquet(out).collect()}
     assert got == {91: (1, 1, 11, "CS", False), 92: (2, 3, 13, "CS,PE", False), 94: (1, None, None, None, True), 95: (3, 5, 19, "BC,CS,LO,PE", False)}
+
+
+def test_facets_that_a_question_has_to_cover(spark):
+    from threadline.functions import rules
+
+    cases = {
+        ("task_2", "how is it"): ["sleep", "direct_facts", "patient_appraisal", "goals", "patient_preference", "longitudinal_change", "care_plan"],
+        ("BDI-II", "which score"): ["sleep", "direct_facts", "patient_appraisal", "symptoms_or_adverse_effects", "care_plan"],
+        ("generic", "Why was it stopped?"): ["sleep", "direct_facts", "longitudinal_change", "clinical_context"],
+        ("temporal_localization", "何时"): ["sleep", "direct_facts", "event_time"],
+        ("state_update", "有什么变化"): ["sleep", "direct_facts", "current_status", "previous_state", "longitudinal_change", "clinical_context"],
+        ("other", None): ["sleep", "direct_facts"],
+    }
+    df = spark.createDataFrame([(t, q, ["sleep"]) for t, q in cases], "task string, question string, facets array<string>")
+    got = {(r["task"], r["question"]): r["x"] for r in df.withColumn("x", rules.coverage_facets(F.col("facets"), F.col("task"), F.col("question"))).collect()}
+    assert got == cases
+    many = spark.range(1).select(rules.coverage_facets(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: i.cast("string")), F.lit("x"), F.lit("why")).alias("x")).first()["x"]
+    assert len(many) == 24

@@ -172,7 +172,12 @@ FACET_PATTERNS = {
 REQUIRED_FACETS = {
     "entity_exact_match": ("direct_facts",), "temporal_localization": ("direct_facts", "event_time"), "state_update": ("direct_facts", "current_status", "previous_state", "longitudinal_change"), "multiple_choice": ("option_evidence",),
     **dict.fromkeys(COMPLEX_TASKS, ("direct_facts", "diagnosis", "medication_status", "adherence", "treatment_response", "objective_results", "symptoms_or_adverse_effects", "serious_complications", "contraindications_and_allergies", "longitudinal_change", "patient_preference", "care_plan")),
+    **dict.fromkeys(("task_2", "task_3"), ("direct_facts", "patient_appraisal", "goals", "patient_preference", "longitudinal_change", "care_plan")),
+    **dict.fromkeys(("wai", "htais", "ctrs", "rro", "custom", "panas", "scl-90", "srs", "bdi-ii"), ("direct_facts", "patient_appraisal", "symptoms_or_adverse_effects", "care_plan")),
 }
+# Questions of reasons and changes, the facets that they add, and how many a question may have.
+REASON_QUESTION = "(?i)为什么|为何|原因|依据|变化|进展|why|reason|change|progress"
+REASON_FACETS, MOST_FACETS = ("longitudinal_change", "clinical_context"), 24
 
 # Which families a statement belongs to.
 ROUTES = {

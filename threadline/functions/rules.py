@@ -284,12 +284,19 @@ def facets_of(family: Column, text: Column) -> Column:
 
 
 def required_facets(task: Column) -> Column:
+    """By the task's name, whatever its case."""
     out = F.array(F.lit("direct_facts"))
     for name, facets in fx.REQUIRED_FACETS.items():
-        out = F.when(task == name, F.array(*map(F.lit, facets))).otherwise(out)
+        out = F.when(F.lower(task) == name, F.array(*map(F.lit, facets))).otherwise(out)
     return out
 
 
+def coverage_facets(facets: Column, task: Column, question: Column) -> Column:
+    """What the statements for a question have to cover: its own facets, its task's, and those of a reason or a change; MOST_FACETS at most."""
+    reasons = F.when(F.coalesce(question, F.lit("")).rlike(fx.REASON_QUESTION), F.array(*map(F.lit, fx.REASON_FACETS))).otherwise(F.array().cast("array<string>"))
+    return F.slice(F.array_distinct(F.concat(facets, required_facets(task), reasons)), 1, fx.MOST_FACETS)
+
+
 def desired_actions(task: Column, operator: Column, budget: int = 6) -> Column:
     """The route of a task class; beyond the budget the optional steps go first."""
     if budget < 3:

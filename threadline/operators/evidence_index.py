@@ -74,7 +74,7 @@ def bounds(questions: DataFrame, index: Index) -> DataFrame:
     """(query_id, block, n_states, bound, may_match, facets): what the states of each block of a question's subject could score at most."""
     c = F.col
     text = F.concat_ws(" ", "question", "target", F.array_join("keywords", " "), F.array_join(F.transform("options", lambda o: o["text"]), " "))
-    asked = questions.select("query_id", F.col("subject_id"), "operator", "scopes", F.array_distinct(F.concat("facets", rules.required_facets(c("task")))).alias("required"),
+    asked = questions.select("query_id", F.col("subject_id"), "operator", "scopes", rules.coverage_facets(c("facets"), c("task"), c("question")).alias("required"),
         F.transform(ranking.query_terms(text), term_grams).alias("terms"), term_grams(nfkc_lower(c("target"))).alias("target"), F.transform("options", lambda o: F.transform(terms(o["text"]), term_grams)).alias("options"))
     # A question's few numbers go to its subject's blocks; the subject is the key.
     rows = asked.join(index.blocks, "subject_id")

@@ -158,7 +158,8 @@ def option_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TERM_SQL = quoted(r"[a-z][a-z0-9.+-]{2,}|[0-9]+(?:\.[0-9]+)?(?:%|mg|kg|mmol/l)?|\p{IsHan}{2,8}")
 BY_TASK = "CASE task " + " ".join(f"WHEN '{t}' THEN {list(f)}" for t, f in fx.REQUIRED_FACETS.items()) + " ELSE ['direct_facts'] END"
-REQUIRED = f"list_concat(facets, list_filter({BY_TASK}, lambda f: NOT list_contains(facets, f)))"
+BY_QUESTION = f"CASE WHEN regexp_matches(question, '{fx.REASON_QUESTION}') THEN {list(fx.REASON_FACETS)} ELSE CAST([] AS VARCHAR[]) END"
+REQUIRED = f"list_concat(facets, list_filter({BY_TASK}, lambda f: NOT list_contains(facets, f)), list_filter({BY_QUESTION}, lambda f: NOT list_contains(facets, f) AND NOT list_contains({BY_TASK}, f)))[1:{fx.MOST_FACETS}]"
 SPECIAL = {"direct_facts": "len(hits) > 0 OR ht", "event_time": "true", "option_evidence": "no > 0", "current_status": f"status = 'active' OR {matches('hay', fx.FACET_PATTERNS['current_status'])}", "previous_state": "status <> 'active'"}
 COVERED = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{f}' END" for f, t in {**{f: f"family IN ({', '.join(repr(x) for x in fam)})" + (f" AND {matches('hay', fx.FACET_PATTERNS[f])}" if f in fx.FACET_PATTERNS else "") for f, fam in fx.FACET_FAMILIES.items() if f not in SPECIAL}, **SPECIAL}.items()) + "], lambda x: x IS NOT NULL)"
 INDEXED = f"""{LINKS}, ev AS (SELECT l.state_id, string_agg(e.text, ' ' ORDER BY l.place) AS words FROM links l JOIN evidence e USING (evidence_id) WHERE e.text <> '' GROUP BY 1), {QUESTIONS_SQL},

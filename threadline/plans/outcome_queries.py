@@ -153,7 +153,7 @@ DIAGNOSTIC_STOP = ("患者", "问题", "回答", "答案", "正确", "错误", "
 TOKENS = lambda c: f"list_distinct(list_concat(regexp_extract_all(lower({c}), '[a-z][a-z0-9.+-]{{1,}}'), flatten(list_transform(regexp_extract_all(lower({c}), '\\p{{Han}}+'), lambda b: list_transform(range(1, length(b)), lambda i: b[i:i+1])))))"
 
 
-@register(f"""WITH {ANSWERS_SQL}, t AS (SELECT answer_id, subject_id, list_filter({TOKENS('gold')}, lambda x: NOT list_contains({list(DIAGNOSTIC_STOP)}, x)) AS terms, {TOKENS('output')} AS said FROM an WHERE answer_id % 4 = 1), s AS (SELECT subject_id, state_id, {TOKENS('text')} AS tokens FROM st),
+@register(f"""WITH {ANSWERS_SQL}, t AS (SELECT answer_id, subject_id, list_filter({TOKENS('gold')}, lambda x: NOT list_contains({list(DIAGNOSTIC_STOP)}, x)) AS terms, {TOKENS('output')} AS said FROM an), s AS (SELECT subject_id, state_id, {TOKENS('text')} AS tokens FROM st),
     h AS (SELECT answer_id, max(len(list_intersect(terms, tokens))) AS raw_hits, max(CASE WHEN state_id % 5 <> 0 THEN len(list_intersect(terms, tokens)) ELSE 0 END) AS state_hits, max(CASE WHEN state_id % 6 = 0 THEN len(list_intersect(terms, tokens)) ELSE 0 END) AS working_hits FROM t JOIN s USING (subject_id) GROUP BY 1)
     SELECT answer_id, len(terms) AS n_terms, len(terms) = 0 OR raw_hits >= least(2, len(terms)) AS in_raw, len(terms) = 0 OR state_hits >= least(2, len(terms)) AS in_states, len(terms) = 0 OR working_hits >= least(2, len(terms)) AS in_working_set, len(terms) = 0 OR len(list_intersect(terms, said)) >= least(2, len(terms)) AS in_answer FROM t JOIN h USING (answer_id)""")
 def stage_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ def stage_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     from threadline.plans.answer_queries import answers
 
     stop = F.array(*map(F.lit, DIAGNOSTIC_STOP))
-    asked = answers(spark, sf_dir).filter("answer_id % 4 = 1").select("answer_id", "subject_id", F.array_except(rules.diagnostic_tokens(F.col("gold")), stop).alias("terms"), rules.diagnostic_tokens(F.col("output")).alias("said"))
+    asked = answers(spark, sf_dir).select("answer_id", "subject_id", F.array_except(rules.diagnostic_tokens(F.col("gold")), stop).alias("terms"), rules.diagnostic_tokens(F.col("output")).alias("said"))
     items = statements(spark, sf_dir).select("subject_id", "state_id", F.explode(rules.diagnostic_tokens(F.col("text"))).alias("term"))
     met = asked.select("answer_id", "subject_id", F.explode("terms").alias("term")).join(items, ["subject_id", "term"]).groupBy("answer_id", "state_id").agg(F.count("*").alias("hits"))
     best = lambda keep: F.max(F.when(keep, F.col("hits")).otherwise(0))

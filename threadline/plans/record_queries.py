@@ -138,14 +138,14 @@ def dimension_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("task", "dimension").agg(F.count("score").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@register(f"""WITH {STATEMENTS}, o AS (SELECT subject_id, session_no, bool_or(state_id % 10 = 3) AS failed, bool_and(state_id % 4 = 1) AS unattempted FROM st GROUP BY 1, 2), q AS (SELECT state_id, subject_id, session_no FROM st WHERE state_id % 8 = 0)
+@register(f"""WITH {STATEMENTS}, o AS (SELECT subject_id, session_no, bool_or(state_id % 10 = 3) AS failed, bool_and(state_id % 4 = 1) AS unattempted FROM st GROUP BY 1, 2), q AS (SELECT state_id, subject_id, session_no FROM st)
     SELECT q.state_id AS query_id, count(*) AS n_visible, count(*) FILTER (failed AND NOT unattempted) AS n_failed, count(*) FILTER (unattempted) AS n_unattempted, coalesce(string_agg(CAST(o.session_no AS VARCHAR), ',' ORDER BY o.session_no) FILTER (failed AND NOT unattempted), '') AS failed_sessions, bool_or(failed OR unattempted) AS incomplete
     FROM q JOIN o ON o.subject_id = q.subject_id AND o.session_no <= q.session_no GROUP BY 1""")
 def query_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the sessions that a question may see those whose build failed or was not tried."""
     rows = statements(spark, sf_dir)
     builds = rows.groupBy("subject_id", "session_no").agg(F.bool_or(F.col("state_id") % 10 == 3).alias("failed"), F.bool_and(F.col("state_id") % 4 == 1).alias("unattempted"))
-    asked = rows.filter("state_id % 8 = 0").select(F.col("state_id").alias("query_id"), "subject_id", F.col("session_no").alias("up_to"))
+    asked = rows.select(F.col("state_id").alias("query_id"), "subject_id", F.col("session_no").alias("up_to"))
     seen = asked.join(builds, "subject_id").filter("session_no <= up_to").withColumn("bad", F.col("failed") & ~F.col("unattempted"))
     sessions = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("bad"), F.col("session_no")))), lambda x: x.cast("string")), ",")
     return seen.groupBy("query_id").agg(F.count("*").alias("n_visible"), F.count_if("bad").alias("n_failed"), F.count_if("unattempted").alias("n_unattempted"), sessions.alias("failed_sessions"), F.bool_or(F.col("failed") | F.col("unattempted")).alias("incomplete"))

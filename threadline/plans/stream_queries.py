@@ -8,21 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadline.operators.tables import materialize, shared_folder
-from threadline.plans.base import FACTORS, ORACLES, STATEMENTS, register, statements
-from threadline.streaming import streams
+from threadline.plans.base import FACTORS, ORACLES, STATEMENTS, register, statements, table
+from threadline.streaming import ordered_state, streams
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.read_stream(spark, f"{sf_dir}/events.parquet")
 
 
+LOADS = 7
+
+
 @register(ORACLES["backfill_versions"])
 def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of facts that arrive late, kept in a stream's state."""
-    factor = F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(FACTORS))
-    late = F.pmod("event_id", F.lit(7)) * 1_000_000_000 + F.col("event_id")
-    rows = event_stream(spark, sf_dir).select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("family"), factor.alias("factor_key"), F.col("event_id").alias("fact_id"), F.col("event_id").alias("event_order"), late.alias("ingest_seq"))
-    return streams.run_to_end(streams.late_versions(rows, ["subject_id", "family", "factor_key"]), "append", shared_folder(spark))
+    """Versions of facts that arrive late: the table comes in LOADS loads, each of them of events of all times, and the stream stops
+    after each and goes on from its log."""
+    base = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    facts = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("subject_id"), F.col("event_type").alias("family"), F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(FACTORS)).alias("factor_key"), F.col("event_id").alias("fact_id"),
+        F.col("event_id").alias("event_order"), (F.pmod("event_id", F.lit(LOADS)) * 1_000_000_000 + F.col("event_id")).alias("ingest_seq"))
+    with ordered_state.store_of_keys(spark):
+        for n in range(LOADS):
+            facts.filter(F.pmod("fact_id", F.lit(LOADS)) == n).write.mode("append").parquet(f"{base}/in")
+            source = spark.readStream.schema(facts.schema).parquet(f"{base}/in")
+            streams.resumed(ordered_state.late_versions(source, ["subject_id", "family", "factor_key"]), f"{base}/out", f"{base}/log")
+    return spark.read.schema(ordered_state.VERSIONS).parquet(f"{base}/out")
 
 
 @register(ORACLES["activity_sessions"])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -96,25 +95,6 @@ def with_feedback(turns: DataFrame, replies: DataFrame) -> DataFrame:
     return turns.unionByName(replies, allowMissingColumns=True)
 
 
-def late_versions(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Versions of facts (fact_id, event_order, ingest_seq) that may arrive late, across batches: a key's state is its facts so
-    far in event order, so a late fact goes between its neighbours and never takes the place of a later one."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ingest_seq", "fact_id"])
-        out = []
-        for order, ingest, fact in zip(rows["event_order"].tolist(), rows["ingest_seq"].tolist(), rows["fact_id"].tolist(), strict=True):
-            at = bisect_right(seen, (order, ingest, fact))
-            out.append((fact, len(seen) + 1, seen[at - 1][2] if at else None, seen[at][2] if at < len(seen) else None))
-            seen.insert(at, (order, ingest, fact))
-        state.update((json.dumps(seen),))
-        made = pd.DataFrame(out, columns=["fact_id", "version", "predecessor_id", "successor_id"])
-        yield made.astype({"predecessor_id": "Int64", "successor_id": "Int64"})
-
-    return stream.groupBy(*keys).applyInPandasWithState(run, "fact_id long, version long, predecessor_id long, successor_id long", "seen string", "append", GroupStateTimeout.NoTimeout)
-
-
 def resumed(stream: DataFrame, out: str, log: str) -> None:
     """Process what has come since the last call with the same ``log``, and append it to ``out``."""
     stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()

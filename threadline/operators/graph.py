@@ -90,6 +90,25 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
             return labels
 
 
+def label_changes(labels: DataFrame, edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(component, becomes): the stored labels (node, component) that new edges join to a lesser one. Only the labels that the edges
+    meet are walked, so the rounds are as large as the edges, not as the graph; an end without a label is a component of its own."""
+    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a is not null and b is not null").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias("__at")), end, "left").withColumn(end, F.coalesce("__at", end)).drop("__at")
+    return components(pairs, "a", "b").filter("node <> component").select(F.col("node").alias("component"), F.col("component").alias("becomes"))
+
+
+def merge_components(labels: DataFrame, edges: DataFrame, left: str, right: str) -> DataFrame:
+    """Labels after new edges, as ``components`` gives them of all edges old and new: the least node of each component.
+
+    Edges that repeat, loops and edges inside a component change nothing; without new edges the labels come back as they are.
+    """
+    ends = edges.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.explode(F.array(left, right)).alias("node")).distinct()
+    known = labels.select("node", "component").unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return known.join(label_changes(labels, edges, left, right), "component", "left").select("node", F.coalesce("becomes", "component").alias("component"))
+
+
 def current_heads(nodes: DataFrame, group: list[str], order: Column, is_conflict: Column) -> DataFrame:
     """The newest node of each lineage group; a group whose head is in conflict is in conflict as a whole."""
     head = F.max_by(F.struct(F.col("fact_id"), is_conflict.alias("conflict")), order)

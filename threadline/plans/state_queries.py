@@ -195,8 +195,8 @@ CUE_SQL = "CASE t.relation_type " + " ".join(f"WHEN '{n}' THEN {matches('lower(t
 CLAIM = lambda c: f"regexp_replace(lower({c}), '" + fx.CLAIM_MARKS.replace("'", "''") + "', '', 'g')"
 
 
-@register(f"""WITH {LINKS}, {PAIRS}, t AS (SELECT {', '.join(f'{e} AS {n}' for n, e in PROPOSAL.items())} FROM pairs WHERE from_id IS NOT NULL)
-    SELECT t.proposal_id, CASE WHEN assessment <> 'supports' THEN 'assessment_' || assessment WHEN confidence < 0.8 THEN 'confidence_below_threshold' WHEN a.state_id IS NULL OR b.state_id IS NULL THEN 'endpoint_not_in_verified_working_state' WHEN a.subject_id <> b.subject_id THEN 'cross_patient_endpoint'
+#: The first rule that a proposal t between the states a and b breaks, with e its evidence.
+REJECTED = f"""CASE WHEN assessment <> 'supports' THEN 'assessment_' || assessment WHEN confidence < 0.8 THEN 'confidence_below_threshold' WHEN a.state_id IS NULL OR b.state_id IS NULL THEN 'endpoint_not_in_verified_working_state' WHEN a.subject_id <> b.subject_id THEN 'cross_patient_endpoint'
         WHEN a.status IN ('conflict', 'rejected') OR b.status IN ('conflict', 'rejected') THEN 'invalid_endpoint_status' WHEN NOT coalesce(e.subject_id = a.subject_id, false) THEN 'missing_or_cross_patient_relation_evidence'
         WHEN NOT EXISTS (SELECT 1 FROM links l WHERE l.state_id IN (t.from_state_id, t.to_state_id) AND l.evidence_id = t.relation_evidence_id) THEN 'relation_evidence_not_bound_to_an_endpoint'
         WHEN len(regexp_extract_all(from_claim_quote, '[\\p{{L}}\\p{{N}}]')) < 4 OR len(regexp_extract_all(to_claim_quote, '[\\p{{L}}\\p{{N}}]')) < 4 THEN 'endpoint_claim_quote_too_short'
@@ -204,7 +204,11 @@ CLAIM = lambda c: f"regexp_replace(lower({c}), '" + fx.CLAIM_MARKS.replace("'",
         WHEN NOT contains(relation_quote, from_claim_quote) OR NOT contains(relation_quote, to_claim_quote) THEN 'relation_quote_does_not_bind_both_claims' WHEN {CLAIM('a.text')} = {CLAIM('b.text')} THEN 'duplicate_claim_endpoints' WHEN e.certainty < 0.8 THEN 'uncertain_evidence'
         WHEN relation_type = 'motivates' AND NOT (a.family = 'PA' AND b.family = 'CP') THEN 'motivates_family_direction_invalid' WHEN relation_type = 'constrains' AND NOT (b.family = 'CP' AND a.family IN ('BC', 'PE', 'CS', 'PA')) THEN 'constrains_family_direction_invalid'
         WHEN relation_type = 'care_targets' AND NOT (a.family = 'CP' AND b.family = 'CS') THEN 'care_targets_family_direction_invalid' WHEN relation_type = 'observed_after_care' AND NOT (a.family = 'CP' AND b.family = 'LO') THEN 'observed_after_care_family_direction_invalid'
-        WHEN NOT {CUE_SQL} THEN 'explicit_relation_cue_missing' WHEN relation_type = 'followed_by' AND a.seconds > b.seconds THEN 'followed_by_temporal_order_invalid' END AS reject_reason
+        WHEN NOT {CUE_SQL} THEN 'explicit_relation_cue_missing' WHEN relation_type = 'followed_by' AND a.seconds > b.seconds THEN 'followed_by_temporal_order_invalid' END"""
+
+
+@register(f"""WITH {LINKS}, {PAIRS}, t AS (SELECT {', '.join(f'{e} AS {n}' for n, e in PROPOSAL.items())} FROM pairs WHERE from_id IS NOT NULL)
+    SELECT t.proposal_id, {REJECTED} AS reject_reason
     FROM t LEFT JOIN st a ON a.state_id = t.from_state_id LEFT JOIN st b ON b.state_id = t.to_state_id LEFT JOIN evidence e ON e.evidence_id = t.relation_evidence_id""")
 def proposed_relation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations proposed between a subject's statements in turn, and the first rule that each breaks."""

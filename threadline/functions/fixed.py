@@ -109,6 +109,18 @@ CLAIM_KINDS = {
     "current_use": r"(?i)(?:正在|目前|现在|仍在|还在|一直|每天|每次|规律|按时).{0,16}(?:服用|吃|使用|用药)|\b(?:currently|still) taking\b",
 }
 
+# A patient's own statement that a drug was stopped, the words that say so, and how it is put in a record.
+STOPPED = r"(?:已|已经|刚|刚刚|最近|这两天|前几天|今天|昨天|昨晚|本周|上周).{0,28}(?:停用|停服|停药|停止(?:服用|使用|用药)|停(?:了|掉了))|把.{0,30}停(?:了|掉了)|(?:停用|停服|停药|停止(?:服用|使用|用药)|停(?:了|掉了))(?:后|之后|以来|至今)|(?:停用|停服|停药).{0,20}了(?:[，,。；;！!]|$)|不再(?:吃|服用|使用|用药)"
+STOP_CLAIM = (
+    r"(?i)^(?:(?:所以|然后|后来|但|不过)\s*)?我(?:自己)?(?:(?:已经|已|刚|刚刚|最近|这两天|前几天|今天|昨天|昨晚|本周|上周)\s*)?把\s*"
+    r"(?:恩格列净|empagliflozin|二甲双胍|metformin|头孢呋辛|cefuroxime|克拉霉素|clarithromycin|阿莫西林|amoxicillin|胰岛素|insulin|青霉素|penicillin|奥美拉唑|omeprazole|舍曲林|sertraline|对乙酰氨基酚|扑热息痛|acetaminophen|布洛芬|ibuprofen)"
+    r"\s*停(?:了|掉了)(?:后|之后)?(?:$|[，,。；;！!])"
+)
+STOP_WORDS = ((r"[，,。；;]+$", ""), (r"^(?:所以|然后|后来|但|不过)\s*", ""), (r"停了之后", "停用后"), (r"停掉了|停了", "停用"))
+# The header of a turn in a transcript, white space at the end of its words.
+TURN_HEADER = r"(?m)^\[Turn=([^\]\n]+)\]\[Role=({roles})\](?:\[Time=([^\]\n]+)\])?\n"
+SPACES = " \t\n\r\x0b\x0c\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # Answers.
 OFFICIAL_MARKS = "!\"#$%&'()*,-./:;<=>?@[\\]^_`{|}~，。！？、；：\"\"（）【】《》·…—～－–·"
 ARTICLES = r"\b(a|an|the)\b"

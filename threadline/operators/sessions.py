@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadline.functions import fixed as fx
+
 
 def turn_block(turn: Column, role: Column, text: Column) -> Column:
     """A turn as a headed block of a transcript."""
@@ -32,6 +34,42 @@ def transcript_blocks(sessions: DataFrame, session: str, transcript: str) -> Dat
     return rows.select(session, F.col("b.turn").cast("long").alias("turn"), F.col("b.role").alias("role"), F.length(F.regexp_replace("b.body", r"\n\n\z", "")).cast("long").alias("n_chars"))
 
 
+def placed_blocks(sessions: DataFrame, keys: list[str], transcript: str, roles: tuple[str, ...] = ("Patient", "Doctor", "Structured")) -> DataFrame:
+    """Blocks of transcripts with their places, in characters from 0: keys, block_no, header_start, content_start, content_end (after
+    the last character that is not white space), role, turn, event_time, content (with the white space at its end).
+
+    Keys name one transcript each. A text without headers, an empty or null one has no blocks; what stands before the first header
+    belongs to none. A header counts only at the start of a line and with one of ``roles``.
+    """
+    header, text = fx.TURN_HEADER.format(roles="|".join(roles)), F.coalesce(F.col(transcript), F.lit(""))
+    group = lambda n: F.regexp_extract_all(text, F.lit(header), F.lit(n))
+    pieces = F.split(text, header, -1)
+    bodies = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    rows = sessions.select(*keys, F.length(pieces[0]).alias("first"), F.posexplode(F.arrays_zip(group(0).alias("header"), group(1).alias("turn"), group(2).alias("role"), group(3).alias("event_time"), bodies.alias("content"))))
+    before = F.sum(F.length("col.header") + F.length("col.content")).over(W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    placed = rows.withColumn("header_start", F.col("first") + F.coalesce(before, F.lit(0))).withColumn("content_start", F.col("header_start") + F.length("col.header"))
+    end = F.col("content_start") + F.length(F.rtrim(F.col("col.content"), F.lit(fx.SPACES)))
+    return placed.select(*keys, F.col("pos").cast("long").alias("block_no"), "header_start", "content_start", end.alias("content_end"), "col.role", "col.turn", F.nullif("col.event_time", F.lit("")).alias("event_time"), "col.content")
+
+
+def span_contexts(spans: DataFrame, blocks: DataFrame, keys: list[str], width: int = 4096) -> DataFrame:
+    """Spans (keys, span_start, span_end and others) with the block that each starts in, header included, and whether it ends after
+    that block; nulls for a span that starts outside all blocks.
+
+    Blocks are entered under each stretch of ``width`` characters that they touch, so a span looks only at those of its stretch,
+    and a long transcript is dealt over many tasks; no join by range.
+    """
+    names = ["block_no", "header_start", "content_start", "content_end", "role", "turn", "event_time"]
+    stretch = lambda c: F.floor(c / width)
+    entered = blocks.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(n).alias(f"block_{n}" if n != "block_no" else n) for n in names], F.explode(F.sequence(stretch(F.col("header_start")), stretch(F.col("content_end") - 1))).alias("__entered"))
+    asked = spans.withColumn("__stretch", stretch(F.col("span_start")))
+    same = (F.col("__stretch") == F.col("__entered")) & (F.col("span_start") >= F.col("block_header_start")) & (F.col("span_start") < F.col("block_content_end"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    found = asked.join(entered, same, "left")
+    return found.withColumn("crosses", F.col("span_end") > F.col("block_content_end")).drop("__stretch", "__entered", *[f"__{k}" for k in keys])
+
+
 def history_chunks(turns: DataFrame, session: str, order: str, text: str, size: int) -> DataFrame:
     """Number the non-blank turns of a session and cut them into chunks of ``size``."""
     at = F.row_number().over(W.partitionBy(session).orderBy(order)) - 1

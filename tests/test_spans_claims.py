@@ -61,7 +61,7 @@ def test_claims(spark):
         assert r["turn"] == "7" and texts[r["s"]][r["claim_start"] : r["claim_end"]] == r["claim"]
         found.setdefault(r["s"], []).append(r["claim"])
     assert {n: found.get(n, []) for n in range(len(CASES))} == {n: claims for n, (_, claims) in enumerate(CASES)}
-    evidence = spark.createDataFrame([(0, "患者二甲双胍停用后好转"), (1, "如果停用胰岛素"), (2, None), (17, "青霉素停了以后")], "s long, text string")
+    evidence = spark.createDataFrame([(0, "患者二甲双胍停用后好转"), (1, "如果停用胰岛素"), (2, None), (17, "青霉素停了之后")], "s long, text string")
     left = {(r["s"], r["medication"]): (r["status"], r["record"]) for r in missing_claims(got, evidence, ["s"]).collect()}
     assert (0, "medication:metformin") not in left and (17, "medication:penicillin") not in left
     assert left[(1, "medication:insulin")] == ("stopped", "患者昨天把胰岛素停用之后") and left[(2, "medication:metformin")] == ("stopped", "患者把二甲双胍停用")

@@ -152,6 +152,7 @@ TEMPORAL_RULES = (
 )
 SLOT_OF_TASK = {"temporal_localization": "event_time", "state_update": "current_status", "multiple_choice": "choice_set", "inference_generation": "clinical_conclusion", "multi_hop_clinical_deduction": "clinical_conclusion"}
 SLOT_RULES = (("disease_entity", r"疾病|诊断|病史|disease|diagnos"), ("medication_entity", r"药|medication|drug"), ("symptom_entity", r"症状|symptom"))
+TEMPORAL_OPERATORS = ("none", "event_time", "earliest", "latest", "current", "history", "before", "after", "range")
 PRIORITY_WEIGHT = {"primary": 3, "high": 3, "secondary": 2, "medium": 2, "support": 1, "supporting": 1, "low": 1}
 CANDIDATE_LIMITS = {"entity_exact_match": 10, "temporal_localization": 12, "state_update": 12, "inference_generation": 18, "multi_hop_clinical_deduction": 20}
 COMPLEX_TASKS = ("inference_generation", "multi_hop_clinical_deduction")

@@ -11,10 +11,15 @@ NEGATION = r"\b(?:no|not|never|none|without)\b"
 HEDGE = r"\b(?:may|might|maybe|perhaps|possibly|unsure)\b"
 
 
+def nfkc(text: Column) -> Column:
+    """NFKC, by the ICU classes that ship with Spark; null stays null."""
+    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.when(text.isNotNull(), composed)
+
+
 def nfkc_lower(text: Column) -> Column:
-    """NFKC and lower case, by the ICU classes that ship with Spark; null stays null."""
-    folded = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.when(text.isNotNull(), F.lower(folded))
+    """NFKC and lower case; null stays null."""
+    return F.lower(nfkc(text))
 
 
 def compact(text: Column) -> Column:

@@ -262,8 +262,8 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(tx.sentences(F.col("text"))).alias("sentence")).groupBy("conv_id", "turn", "sentence").agg(F.count("*").alias("n"))
 
 
-@register(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\b(?:may|might|maybe|perhaps|possibly|unsure)\b') THEN 'uncertain' WHEN regexp_matches(lower(text), '\b(?:no|not|never|none|without)\b') THEN 'negated' ELSE 'affirmed' END AS polarity,
-    CASE WHEN regexp_matches(lower(text), '\b(?:may|might|maybe|perhaps|possibly|unsure)\b') THEN 0.55 ELSE 1.0 END::DOUBLE AS certainty FROM conversations""")
+@register(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '(?:^|[^\p{L}\p{M}\p{N}_])(?:may|might|maybe|perhaps|possibly|unsure)(?:[^\p{L}\p{M}\p{N}_]|$)') THEN 'uncertain' WHEN regexp_matches(lower(text), '(?:^|[^\p{L}\p{M}\p{N}_])(?:no|not|never|none|without)(?:[^\p{L}\p{M}\p{N}_]|$)') THEN 'negated' ELSE 'affirmed' END AS polarity,
+    CASE WHEN regexp_matches(lower(text), '(?:^|[^\p{L}\p{M}\p{N}_])(?:may|might|maybe|perhaps|possibly|unsure)(?:[^\p{L}\p{M}\p{N}_]|$)') THEN 0.55 ELSE 1.0 END::DOUBLE AS certainty FROM conversations""")
 def polarity_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.polarity(F.col("text")).alias("polarity"), tx.certainty(F.col("text")).alias("certainty"))
 

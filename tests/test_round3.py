@@ -15,3 +15,45 @@ def test_polarity_of_words_beside_other_letters(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(con.execute(ORACLES["polarity_certainty"]).fetchall()) == got
+
+
+def test_components_leave_only_centres_to_the_rounds(spark, monkeypatch):
+    from threadline.operators import graph
+
+    seen = []
+    solve = graph._least_labels
+    monkeypatch.setattr(graph, "_least_labels", lambda edges: seen.append(edges.count()) or solve(edges))
+    chains = [(k * 100 + i, k * 100 + i + 1, k) for k in range(1, 9) for i in range(50)]
+    want = {n: k * 100 for k in range(1, 9) for n in range(k * 100, k * 100 + 51)}
+    edges = spark.createDataFrame(chains[::2] + chains[1::2], "a long, b long, k long").repartition(7)
+    got = [{r["node"]: r["component"] for r in graph.components(edges, "a", "b", *near).collect()} for near in ((), ("k",))]
+    assert got == [want, want]
+    assert seen[0] > 0 and seen[1] == 0  # brought together, the chains are solved where they lie
+
+
+def test_stars_of_more_nodes_than_a_task_holds():
+    import pyarrow as pa
+
+    from threadline.operators import graph
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i + 1])], names=["a", "b"]) for i in range(6)]
+    most, graph.STAR_NODES = graph.STAR_NODES, 3
+    try:
+        out = [p for b in graph._stars(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    finally:
+        graph.STAR_NODES = most
+    assert out == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 3), (4, 3), (5, 3), (6, 3)]
+
+
+def test_scores_of_questions_worked_out_once(spark):
+    from threadline.operators import ranking
+
+    questions = spark.createDataFrame(
+        [(1, "multiple_choice", "which insulin", "二甲双胍", ["metformin"], [("A", "glucose"), ("B", "sleep")], ["objective_results"], ["CS=3"], "none"), (2, "multi_hop_clinical_deduction", "glucose", "pain", ["空腹血糖", "a-b"], [], ["care_plan"], ["CP=2"], "current")],
+        "query_id long, task string, question string, target string, keywords array<string>, options array<struct<id:string,text:string>>, facets array<string>, scopes array<string>, operator string",
+    )
+    states = spark.createDataFrame([(1, "CS", "active", "affirmed", 5, "Metformin, glucose", "metformin, glucose cs active"), (2, "CP", "resolved", "affirmed", 6, "空腹 血糖 plan", "空腹 血糖 plan cp")], "state_id long, family string, status string, polarity string, seconds long, text string, searchable string")
+    pairs = states.crossJoin(questions)
+    for score, ahead in ((ranking.score, ranking.with_parts), (ranking.index_score, ranking.with_terms)):
+        joined = score(states.crossJoin(ahead(questions)))
+        assert sorted(map(str, joined.collect())) == sorted(map(str, score(pairs).collect())) and joined.columns == score(pairs).columns

@@ -43,6 +43,10 @@ def dangling(children: DataFrame, child_key: str, parents: DataFrame, parent_key
     return children.join(parents.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
 
 
+#: Nodes that a task holds at once; beyond, what it has found goes out and it starts anew.
+STAR_NODES = 1_000_000
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a partition as edges from each node to the least node that it is joined to there; a lone node keeps its loop."""
     parent: dict = {}
@@ -52,6 +56,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent[parent[x]]
         return x
 
+    def found() -> Iterator[pa.RecordBatch]:
+        nodes = list(parent)
+        for start in range(0, len(nodes), 10_000):
+            part = nodes[start : start + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, shape.field(0).type), pa.array([root(x) for x in part], shape.field(0).type)], names=["a", "b"])
+
     shape = None
     for batch in batches:
         shape = batch.schema
@@ -61,25 +71,39 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(x), root(y)
             if a != b:
                 parent[max(a, b)] = min(a, b)
+        if len(parent) > STAR_NODES:
+            yield from found()
+            parent.clear()
     if shape is not None:
-        nodes = list(parent)
-        for start in range(0, len(nodes), 10_000):
-            part = nodes[start : start + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, shape.field(0).type), pa.array([root(x) for x in part], shape.field(0).type)], names=["a", "b"])
+        yield from found()
 
 
-def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, component) of an undirected graph, the least node of each component: minimum labels with shortcuts.
+def components(edges: DataFrame, left: str, right: str, near: str | None = None) -> DataFrame:
+    """(node, component) of an undirected graph, the least node of each component.
 
-    Each partition first brings its edges to stars, which shortens chains before any shuffle. Every round is written to the
-    session's checkpoint folder, so lineage stays short and lost executors do no harm.
+    Each partition first brings its edges to stars. A node that lies in several stars joins their centres: these edges between
+    centres are all that is left to solve, by minimum labels with shortcuts, and no further round sees the other nodes.
+    ``near``: a column whose equal values are likely to lie in one component; such edges go to one partition first, which
+    changes no result. Every round is written to the session's checkpoint folder, so lineage stays short and lost executors do no harm.
     """
-    cut = lambda df: materialize(df, "components")
-    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b"))
+    pairs = edges if near is None else edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), near)
+    pairs = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"))
     kind = pairs.schema["a"].dataType.simpleString()
     stars = pairs.mapInArrow(_stars, f"a {kind}, b {kind}")
-    both = cut(stars.union(stars.select("b", "a")).distinct())
+    centres = materialize(stars.groupBy("a").agg(F.collect_set("b").alias("all")).select("a", F.array_min("all").alias("b"), "all"), "stars")
+    between = centres.filter(F.size("all") > 1).select(F.col("b").alias("a"), F.explode("all").alias("b")).filter("a <> b")
+    solved = _least_labels(materialize(between.distinct(), "centres"))
+    solved = solved.withColumnRenamed("node", "centre")
+    return centres.select(F.col("a").alias("node"), F.col("b").alias("centre")).join(solved, "centre", "left").select("node", F.coalesce("component", "centre").alias("component"))
+
+
+def _least_labels(edges: DataFrame) -> DataFrame:
+    """(node, component) by minimum labels with shortcuts, a round of joins at a time."""
+    cut = lambda df: materialize(df, "components")
+    both = cut(edges.union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("component")).withColumnRenamed("a", "node"))
+    if labels.isEmpty():
+        return labels
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("to"))

@@ -44,8 +44,10 @@ def lineage_groups(states: DataFrame, lineage: DataFrame, factor: Sequence[str])
     """(state_id, group_id): components of lineage links and equal factors, the factor as a group key first."""
     states = materialize(states.select("state_id", *factor), "factors")
     heads = states.groupBy(*factor).agg(F.min("state_id").alias("first_id"))
-    same = states.join(heads, list(factor)).select("state_id", F.col("first_id").alias("other_id"))
-    found = components(same.union(lineage.select("state_id", "other_id")), "state_id", "other_id")
+    same = states.join(heads, list(factor)).withColumnRenamed("first_id", "other_id")
+    # Links of a lineage mostly stay in the first key of the factor, as a subject.
+    by = lambda df: df.select("state_id", "other_id", factor[0])
+    found = components(by(same).union(by(lineage.join(states, "state_id", "left"))), "state_id", "other_id", factor[0])
     return found.select(F.col("node").alias("state_id"), F.col("component").alias("group_id"))
 
 

@@ -91,7 +91,7 @@ def bounds(questions: DataFrame, index: Index) -> DataFrame:
 
 def read(questions: DataFrame, index: Index, blocks: DataFrame) -> DataFrame:
     """The gate's scores of the states of the given blocks (query_id and block)."""
-    pairs = blocks.select("query_id", *BLOCK).join(questions.drop("subject_id"), "query_id").join(index.states, BLOCK)
+    pairs = blocks.select("query_id", *BLOCK).join(ranking.with_terms(questions.drop("subject_id")), "query_id").join(index.states, BLOCK)
     return ranking.index_score(pairs)
 
 
@@ -182,7 +182,7 @@ def retrieve(questions: DataFrame, related: DataFrame, lineage: DataFrame, links
     equal content as one, and then the choice of the question's task: options by quota, complex questions by diversity, others
     from the front. ``evidence_ids``: of all members, in order.
     """
-    pairs = index.states.join(questions, "subject_id")
+    pairs = index.states.join(ranking.with_parts(questions), "subject_id")
     scored = materialize(ranking.score(pairs), "scored")
     qualified = materialize(united(scored, materialize(gate(questions, related, index), "gate")), "qualified")
     qualified = with_versions(qualified, scored, lineage)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from threadline.functions import fixed as fx
 from threadline.operators.ranking import STRONG
+from threadline.operators.tables import materialize
 
 # What a facet that is asked for adds to its family's weight, and how many of the family it may take.
 QUOTAS = (("symptoms_or_adverse_effects", "PE", 98, 4), ("objective_results", "CS", 100, 2), ("treatment_response", "LO", 92, 2), ("medication_status", "CS", 96, 2), ("adherence", "PE", 94, 1), ("contraindications_and_allergies", "CS", 90, 1), ("care_plan", "CP", 75, 1), ("medical_history", "BC", 70, 1), ("patient_preference", "PA", 65, 1))
@@ -90,7 +91,8 @@ def coverage_gate(indexed: DataFrame, related: DataFrame) -> DataFrame:
     facet before took; the rest that match fill up. GATE_LIMITS bound the steps by the kind of question.
     """
     c = F.col
-    rows = with_direct(indexed)
+    # Read four times below: stored, so that what gives the scores runs once.
+    rows = materialize(with_direct(indexed), "direct")
     by = lambda *keys: F.row_number().over(W.partitionBy("query_id", *keys).orderBy("place"))
     anchors = rows.withColumn("turn", by("relevant")).filter(c("relevant") & (c("turn") <= bound(2))).select("query_id", "state_id", "place", bound(3).alias("most"))
     tied = anchors.join(related, "state_id").filter("nth <= most").groupBy("query_id", c("other_id").alias("state_id")).agg(F.min(F.struct("place", "nth")).alias("tie"))

@@ -9,6 +9,7 @@ from threadline.functions import fixed as fx
 from threadline.functions import rules
 from threadline.operators import ranking, selection
 from threadline.operators import states as st
+from threadline.operators.tables import materialize
 from threadline.plans.base import PHRASES, STATEMENTS, TASKS, _pick, matches, quoted, register, statements
 from threadline.plans.rule_queries import FACETS_SQL, OPERATOR_SQL, SCOPES_SQL, aliases_sql
 from threadline.plans.state_queries import LINKS, searchable
@@ -23,7 +24,9 @@ QUESTIONS_SQL = f"qs AS (SELECT *, {OPERATOR_SQL} AS operator, {SCOPES_SQL} AS s
 
 
 def questions(rows: DataFrame) -> DataFrame:
-    q = rows.select("subject_id").distinct().selectExpr(*[f"{e} AS {n}" for n, e in QUESTION.items()])
+    # A question's rules cost more than its bytes tell: their rows stay spread over the tasks.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = rows.select("subject_id").distinct().repartition(parts, "subject_id").selectExpr(*[f"{e} AS {n}" for n, e in QUESTION.items()])
     text, task = F.col("question"), F.col("task")
     options = F.when(task == "multiple_choice", F.array(F.struct(F.lit("A").alias("id"), F.col("opt1").alias("text")), F.struct(F.lit("B").alias("id"), F.col("opt2").alias("text")))).otherwise(F.array().cast("array<struct<id:string,text:string>>"))
     return q.select("query_id", "task", "question", "target", F.array_distinct(F.array("kw1", "kw2")).alias("keywords"), options.alias("options"), rules.temporal_operator(text, task).alias("operator"), rules.question_scopes(text, task).alias("scopes"), F.array_sort(rules.question_facets(text, task)).alias("facets"))
@@ -31,7 +34,7 @@ def questions(rows: DataFrame) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = statements(spark, sf_dir)
-    pairs = searchable(rows).select("subject_id", "state_id", "family", "status", "polarity", "seconds", "text", "searchable").join(questions(rows).withColumnRenamed("query_id", "subject_id"), "subject_id").withColumnRenamed("subject_id", "query_id")
+    pairs = searchable(rows).select("subject_id", "state_id", "family", "status", "polarity", "seconds", "text", "searchable").join(ranking.with_parts(questions(rows)).withColumnRenamed("query_id", "subject_id"), "subject_id").withColumnRenamed("subject_id", "query_id")
     return ranking.score(pairs)
 
 
@@ -69,7 +72,8 @@ def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.ordered(scored(spark, sf_dir).filter(F.size("reasons") > 0))
+    # Stored, as a filter on the reasons alone would have Spark work every score out twice.
+    return ranking.ordered(materialize(scored(spark, sf_dir).drop("searchable"), "scored").filter(F.size("reasons") > 0))
 
 
 LIMIT_SQL = "CASE task " + " ".join(f"WHEN '{t}' THEN {n}" for t, n in fx.CANDIDATE_LIMITS.items()) + " ELSE 12 END"
@@ -182,7 +186,7 @@ def index_gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = statements(spark, sf_dir)
-    pairs = searchable(rows).select("subject_id", "state_id", "family", "status", "polarity", "seconds", "text", "searchable").join(questions(rows).withColumnRenamed("query_id", "subject_id"), "subject_id").withColumnRenamed("subject_id", "query_id")
+    pairs = searchable(rows).select("subject_id", "state_id", "family", "status", "polarity", "seconds", "text", "searchable").join(ranking.with_terms(questions(rows)).withColumnRenamed("query_id", "subject_id"), "subject_id").withColumnRenamed("subject_id", "query_id")
     return ranking.index_score(pairs)
 
 

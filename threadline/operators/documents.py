@@ -109,6 +109,26 @@ def distance(a: str, b: str, limit: int) -> int:
     return row[-1]
 
 
+def distances(a: str, text: str, start: int, end: int) -> list[int]:
+    """Edit distances of ``a`` to the runs of ``text`` from ``start`` of every length up to ``end``, in one pass (Myers, Hyyrö)."""
+    full, high = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    equal: dict[str, int] = {}
+    for i, x in enumerate(a):
+        equal[x] = equal.get(x, 0) | 1 << i
+    up, down, far = full, 0, len(a)
+    out = [far]
+    for c in text[start:end]:
+        eq = equal.get(c, 0)
+        vertical = eq | down
+        across = (((eq & up) + up) ^ up) | eq
+        more, less = down | full & ~(across | up), up & across
+        far += 1 if more & high else -1 if less & high else 0
+        out.append(far)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(vertical | more)) & full, more & vertical & full
+    return out
+
+
 def align_quote(text: str | None, quote: str | None, threshold: float = 0.92, margin: float = 0.03) -> tuple[str, int, int, float]:
     """(level, start, end, score): the only exact place, else the only one but for white space and marks, else the best
     fuzzy one of at least ``threshold`` that leads the next place by ``margin``; ("none", -1, -1, 0.0) otherwise."""
@@ -136,12 +156,10 @@ def align_quote(text: str | None, quote: str | None, threshold: float = 0.92, ma
             at = source.find(target[offset : offset + size], at + 1)
     best: dict[int, tuple[float, int]] = {}
     for start in starts:
-        for length in range(max(1, len(target) - slack), len(target) + slack + 1):
-            if start + length > len(source):
-                break
-            longest = max(length, len(target))
-            score = 1 - distance(target, source[start : start + length], int((1 - threshold) * longest)) / longest
-            if score >= threshold and score > best.get(start, (0.0, 0))[0]:
+        # A run's distances of all lengths come from one pass over it.
+        for length, far in enumerate(distances(target, source, start, start + len(target) + slack)):
+            score = 1 - far / max(length, len(target))
+            if length >= max(1, len(target) - slack) and score >= threshold and score > best.get(start, (0.0, 0))[0]:
                 best[start] = score, length
     if not best:
         return none

@@ -57,3 +57,32 @@ def test_scores_of_questions_worked_out_once(spark):
     for score, ahead in ((ranking.score, ranking.with_parts), (ranking.index_score, ranking.with_terms)):
         joined = score(states.crossJoin(ahead(questions)))
         assert sorted(map(str, joined.collect())) == sorted(map(str, score(pairs).collect())) and joined.columns == score(pairs).columns
+
+
+def test_blocks_hold_the_runs_of_all_their_texts(spark, monkeypatch):
+    from threadline.operators import evidence_index as ei
+
+    monkeypatch.setattr(ei, "PIECE_STATES", 4)
+    rows = spark.createDataFrame([(1, "CS", k % 2, k, f"text {k} 二甲双胍"[: 6 + k]) for k in range(14)] + [(2, "CS", 0, 99, "a")], "subject_id long, family string, run long, state_id long, searchable string")
+    sizes = rows.groupBy(*ei.BLOCK).agg(F.count("*").alias("n_states"))
+    got = {tuple(r[:3]): set(r["grams"]) for r in ei.block_grams(rows, sizes).collect()}
+    each = rows.select(*ei.BLOCK, ei.grams(F.col("searchable")).alias("grams")).collect()
+    want = {}
+    for r in each:
+        want.setdefault(tuple(r[:3]), set()).update(r["grams"])
+    assert got.keys() == want.keys() and all(want[k] <= got[k] for k in want)
+
+
+def test_quotations_by_one_pass_over_each_run():
+    import random
+
+    from threadline.operators import documents
+
+    rng = random.Random(3)
+    for _ in range(200):
+        a, text = ("".join(rng.choice("abc") for _ in range(rng.randint(1, most))) for most in (80, 90))
+        start = rng.randrange(len(text))
+        assert documents.distances(a, text, start, start + 70) == [documents.distance(a, text[start : start + n], 999) for n in range(min(70, len(text) - start) + 1)]
+    quote = "abcdefghijklmnopqrstuvwxy" + "1234567890ABCDEFGHIJKLMNO".lower()[::-1]
+    # Seven letters of fifty differ: 0.86, not the threshold's 0.92.
+    assert documents.align_quote("zz " + quote[:10] + "zzzzzzz" + quote[17:] + " zz", quote) == ("none", -1, -1, 0.0)

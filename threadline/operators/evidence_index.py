@@ -31,6 +31,8 @@ SPECIAL = ("direct_facts", "event_time", "option_evidence", "current_status", "p
 BUCKETS = 1 << 16
 #: States that are read first for each that a question may use; not all of them match.
 SEEDS = 4
+#: Texts of a block whose characters are read in one piece.
+PIECE_STATES = 1024
 BLOCK = ["subject_id", "family", "run"]
 
 
@@ -56,6 +58,15 @@ def term_grams(term: Column) -> Column:
     return F.array_distinct(F.when(F.length(term) > 2, hashed(term, "(?s)(?=(...))")).otherwise(hashed(term, "(?s)(?=(..))")))
 
 
+def block_grams(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(block, grams): the distinct texts of a block are read as one, with a mark between them that no term holds; large blocks in pieces."""
+    piece = F.pmod(F.xxhash64("state_id"), F.ceil(F.col("n_states") / PIECE_STATES))
+    texts = rows.join(sizes.select(*BLOCK, "n_states"), BLOCK).groupBy(*BLOCK, "n_states", piece.alias("piece")).agg(F.collect_set("searchable").alias("texts"))
+    read = texts.select(*BLOCK, "n_states", grams(F.array_join("texts", "\u0000")).alias("grams"))
+    large = read.filter(F.col("n_states") > PIECE_STATES).select(*BLOCK, F.explode("grams").alias("gram")).groupBy(*BLOCK).agg(F.collect_set("gram").alias("grams"))
+    return read.filter(F.col("n_states") <= PIECE_STATES).select(*BLOCK, "grams").unionByName(large)
+
+
 def build_index(states: DataFrame, block_states: int = BLOCK_STATES) -> Index:
     """``states``: subject_id, state_id, family, status, polarity, session_no, seconds, text, searchable."""
     text = F.col("searchable")
@@ -67,18 +78,20 @@ def build_index(states: DataFrame, block_states: int = BLOCK_STATES) -> Index:
     status = F.when(rules.has(text, fx.FACET_PATTERNS["current_status"]), F.array(F.lit("current_status"))).otherwise(F.array().cast("array<string>"))
     held = F.concat(F.array_except(rules.facets_of(F.col("family"), text), F.array(*map(F.lit, SPECIAL))), status)
     sizes = rows.groupBy(*BLOCK).agg(F.count("*").alias("n_states"), F.collect_set("status").alias("statuses"))
-    return Index(rows, materialize(sizes.join(sets(grams(text), "grams"), BLOCK, "left").join(sets(held, "held"), BLOCK, "left"), "blocks"))
+    return Index(rows, materialize(sizes.join(block_grams(rows, sizes), BLOCK, "left").join(sets(held, "held"), BLOCK, "left"), "blocks"))
 
 
 def bounds(questions: DataFrame, index: Index) -> DataFrame:
     """(query_id, block, n_states, bound, may_match, facets): what the states of each block of a question's subject could score at most."""
     c = F.col
     text = F.concat_ws(" ", "question", "target", F.array_join("keywords", " "), F.array_join(F.transform("options", lambda o: o["text"]), " "))
-    asked = questions.select("query_id", F.col("subject_id"), "operator", "scopes", rules.coverage_facets(c("facets"), c("task"), c("question")).alias("required"),
+    spread = questions.repartition(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "subject_id")
+    asked = spread.select("query_id", F.col("subject_id"), "operator", "scopes", rules.coverage_facets(c("facets"), c("task"), c("question")).alias("required"),
         F.transform(ranking.query_terms(text), term_grams).alias("terms"), term_grams(nfkc_lower(c("target"))).alias("target"), F.transform("options", lambda o: F.transform(terms(o["text"]), term_grams)).alias("options"))
-    # A question's few numbers go to its subject's blocks; the subject is the key.
-    rows = asked.join(index.blocks, "subject_id")
-    has = lambda x: F.size(F.array_except(x, F.coalesce("grams", F.array().cast("array<int>")))) == 0
+    # A question's few numbers go to its subject's blocks; the subject is the key. A block's many numbers are gone through once a question.
+    asked = asked.withColumn("sought", F.array_distinct(F.concat(F.flatten("terms"), F.coalesce("target", F.array().cast("array<int>")), F.flatten(F.flatten("options")))))
+    rows = asked.join(index.blocks, "subject_id").withColumn("present", F.array_intersect("sought", F.coalesce("grams", F.array().cast("array<int>"))))
+    has = lambda x: F.size(F.array_except(x, "present")) == 0
     rows = rows.withColumns({"n_terms": F.size(F.filter("terms", has)), "n_options": F.size(F.filter("options", lambda o: F.exists(o, has))), "scope": F.exists("scopes", lambda s: F.substring(s, 1, 2) == c("family"))})
     active, other = F.array_contains("statuses", "active"), F.size(F.array_remove("statuses", "active")) > 0
     may_target = F.coalesce(has(c("target")), F.lit(False))

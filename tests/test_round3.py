@@ -86,3 +86,17 @@ def test_quotations_by_one_pass_over_each_run():
     quote = "abcdefghijklmnopqrstuvwxy" + "1234567890ABCDEFGHIJKLMNO".lower()[::-1]
     # Seven letters of fifty differ: 0.86, not the threshold's 0.92.
     assert documents.align_quote("zz " + quote[:10] + "zzzzzzz" + quote[17:] + " zz", quote) == ("none", -1, -1, 0.0)
+
+
+def test_token_lists_of_an_answer_are_worked_out_once(spark):
+    from threadline.operators import answers
+
+    seen = []
+    found, answers.rules.plain_answer = answers.rules.plain_answer, lambda t, f=answers.rules.plain_answer: seen.append(1) or f(t)
+    try:
+        rows = spark.createDataFrame([("x, b b", "b, x c"), ("x x b", "x b b"), (None, "x"), (",", "x"), ("", "")], "p string, g string")
+        got = [round(r[0], 6) for r in rows.select(answers.token_f1(F.col("p"), F.col("g"))).collect()]
+    finally:
+        answers.rules.plain_answer = found
+    assert got == [0.666667, 0.666667, 0.0, 0.0, 0.0]
+    assert len(seen) == 4  # the whole answers, and the parts of each side

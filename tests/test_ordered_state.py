@@ -65,3 +65,16 @@ def test_a_batch_touches_its_own_places(spark, tmp_path):
 def test_no_facts_and_facts_without_id(spark, tmp_path):
     got, touched = fed(spark, tmp_path, [[(1, "a", 0, None, 5, 1)], [(1, "a", 0, 7, 5, None), (1, "a", 0, 8, 5, 2)]])
     assert got == {7: (1, None, None), 8: (2, 7, None)} and touched[0] == 0
+
+
+def test_a_page_is_written_once_for_its_keys(spark, tmp_path, monkeypatch):
+    from threadline.streaming import ordered_state
+
+    monkeypatch.setattr(ordered_state, "BUCKETS", 1)
+    monkeypatch.setattr(ordered_state, "SHORT", 3)
+    keys = [(None if n == 0 else n, '"a",null' if n % 2 else None, n % 3) for n in range(40)]
+    batches = [[(*key, b * 1000 + k * 10 + i, (k * 7 + i * 5 + b * 3) % 11, i) for k, key in enumerate(keys) for i in range(2 if k else 5)] for b in range(3)]
+    got, touched = fed(spark, tmp_path, batches)
+    assert got == plain(batches)
+    # All short keys are one row of the first batch; the long one adds its tree and its number.
+    assert touched[0] <= 1 + 1 + 9 * 5

@@ -100,3 +100,28 @@ def test_token_lists_of_an_answer_are_worked_out_once(spark):
         answers.rules.plain_answer = found
     assert got == [0.666667, 0.666667, 0.0, 0.0, 0.0]
     assert len(seen) == 4  # the whole answers, and the parts of each side
+
+
+def test_boundary_answers_of_subjects_kept_together(spark, tmp_path, monkeypatch):
+    from threadline.streaming import streams
+
+    monkeypatch.setattr(streams, "SUBJECT_BUCKETS", 2)
+    shape = "subject_id long, session_no long, kind string, item_id long, family string"
+    subjects = [None, 0, 9_007_199_254_740_993, 9_007_199_254_740_995, *range(20, 40)]
+    loads = [[], [], []]
+    for s in subjects:
+        n = s or 1
+        loads[0] += [(s, 1, "fact", n + 1, "b"), (s, 1, "fact", n, None), (s, 2, "question", 7, None), (s, 1, "commit", None, None), (s, 1, "question", 5, None)]
+        loads[1] += [(s, 2, "fact", n + 2, "a"), (s, 3, "fact", n + 3, "c"), (s, 2, "commit", None, None), (s, None, "fact", 1, "x")]
+        loads[2] += [(s, 2, "question", 8, None), (s, 3, "question", 9, None), (s, 3, "commit", None, None)]
+    for load in loads:
+        spark.createDataFrame(load, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        streams.resumed(streams.answers_at_boundaries(spark.readStream.schema(shape).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/log")
+        kept = spark.read.format("statestore").load(f"{tmp_path}/log").count()
+        assert kept <= 2  # a state a group, not a subject
+    got = {(r[0], r[1], r[2]): tuple(r)[3:] for r in spark.read.schema(streams.BOUNDARY_ANSWERS).parquet(f"{tmp_path}/out").collect()}
+    want = {}
+    for s in subjects:
+        n = s or 1
+        want |= {(s, 1, 5): (2, n + 1, "b", False), (s, 2, 7): (3, n + 2, "a,b", False), (s, 2, 8): (None, None, None, True), (s, 3, 9): (4, n + 3, "a,b,c", False)}
+    assert got == want

@@ -103,6 +103,10 @@ def resumed(stream: DataFrame, out: str, log: str) -> None:
 BOUNDARY_ANSWERS = "subject_id long, session_no long, question_id long, n_facts long, last_fact_id long, families string, late boolean"
 
 
+#: Groups of subjects whose state is kept together; a stream that goes on from its log needs the number that it began with.
+SUBJECT_BUCKETS = 1 << 10
+
+
 def answers_at_boundaries(stream: DataFrame) -> DataFrame:
     """Questions of a session, answered when the session is committed, from the facts of all sessions up to it.
 
@@ -110,35 +114,59 @@ def answers_at_boundaries(stream: DataFrame) -> DataFrame:
     commit or with it, its questions too; sessions of a subject are committed in order. A question waits in its subject's state;
     facts are folded there into the sum of the committed sessions and one sum for each session still open, so the state grows with
     open sessions and waiting questions, not with the history. A fact of a committed session counts from the next commit on; a
-    question that comes after its commit is given back as ``late``, with nulls, for the batch form to answer.
+    question that comes after its commit is given back as ``late``, with nulls, for the batch form to answer. Subjects are dealt over
+    SUBJECT_BUCKETS groups by hash, as a call for each of many small subjects costs more than its rows.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, shut, still, waiting = json.loads(state.get[0]) if state.exists else ([0, None, []], None, {}, {})
+        subjects = json.loads(state.get[0]) if state.exists else {}
+        came: dict[int | None, list[tuple]] = {}
+        for frame in frames:
+            columns = [frame[c].where(frame[c].notna(), None).tolist() for c in shape]
+            for subject, *row in zip(*columns, strict=True):
+                came.setdefault(None if subject is None else int(subject), []).append(tuple(row))
         out = []
-        rows = pd.concat(list(frames), ignore_index=True)
-        sums = {int(k): v for k, v in still.items()}
-        asked = {int(k): v for k, v in waiting.items()}
-        for session, part in rows[rows["kind"] == "fact"].groupby("session_no"):
-            old = sums.get(int(session), [0, None, []])
-            sums[int(session)] = merged(old, [len(part), int(part["item_id"].max()), sorted(set(part["family"].dropna()))])
-        for session, part in rows[rows["kind"] == "question"].groupby("session_no"):
-            ids = part["item_id"].astype(int).tolist()
-            if shut is not None and session <= shut:
-                out += [(key[0], int(session), i, None, None, None, True) for i in ids]
-            else:
-                asked.setdefault(int(session), []).extend(ids)
-        for session in sorted(int(x) for x in rows.loc[rows["kind"] == "commit", "session_no"].unique()):
-            for ready in sorted(x for x in sums if x <= session):
-                done = merged(done, sums.pop(ready))
-            for now in sorted(x for x in asked if x <= session):
-                out += [(key[0], now, i, done[0], done[1], ",".join(done[2]), False) for i in asked.pop(now)]
-            shut = session if shut is None else max(shut, session)
-        state.update((json.dumps([done, shut, sums, asked]),))
-        made = pd.DataFrame(out, columns=["subject_id", "session_no", "question_id", "n_facts", "last_fact_id", "families", "late"])
-        yield made.astype({"n_facts": "Int64", "last_fact_id": "Int64", "late": "bool"})
-
-    return stream.groupBy("subject_id").applyInPandasWithState(run, BOUNDARY_ANSWERS, "sums string", "append", GroupStateTimeout.NoTimeout)
+        for subject, rows in came.items():
+            name = "" if subject is None else str(subject)
+            answers, subjects[name] = _of_subject(rows, subjects.get(name, [[0, None, []], None, {}, {}]))
+            out += [(subject, *answer) for answer in answers]
+        state.update((json.dumps(subjects),))
+        made = pd.DataFrame(out, columns=["subject_id", "session_no", "question_id", "n_facts", "last_fact_id", "families", "late"], dtype=object)
+        yield made.astype({**dict.fromkeys(("subject_id", "session_no", "question_id", "n_facts", "last_fact_id"), "Int64"), "late": "bool"})
+
+    # As texts, since numbers beside nulls would come as floating point.
+    shape = ("subject_id", "session_no", "kind", "item_id", "family")
+    buckets = stream.select(F.pmod(F.xxhash64("subject_id"), F.lit(SUBJECT_BUCKETS)).alias("bucket"), *[F.col(c).cast("string").alias(c) for c in shape])
+    return buckets.groupBy("bucket").applyInPandasWithState(run, BOUNDARY_ANSWERS, "subjects string", "append", GroupStateTimeout.NoTimeout)
+
+
+def _of_subject(rows: list[tuple], held: list) -> tuple[list[tuple], list]:
+    """Answers of one subject, and its state after the rows (session_no, kind, item_id, family): the sum of the committed sessions,
+    the last of them, the sums of open sessions and the questions that wait. A row without a session counts for none."""
+    done, shut, sums, asked = held[0], held[1], {int(k): v for k, v in held[2].items()}, {int(k): v for k, v in held[3].items()}
+    kinds: dict[str, list[tuple]] = {"fact": [], "question": [], "commit": []}
+    for session, kind, item, family in rows:
+        if session is not None and kind in kinds:
+            kinds[kind].append((int(session), item, family))
+    out = []
+    for session, item, family in kinds["fact"]:
+        total = sums.setdefault(session, [0, None, []])
+        total[0] += 1
+        total[1] = int(item) if total[1] is None else max(total[1], int(item))
+        if family is not None and family not in total[2]:
+            total[2] = sorted([*total[2], family])
+    for session, item, _ in kinds["question"]:
+        if shut is not None and session <= shut:
+            out.append((session, int(item), None, None, None, True))
+        else:
+            asked.setdefault(session, []).append(int(item))
+    for session in sorted({s for s, _, _ in kinds["commit"]}):
+        for ready in sorted(x for x in sums if x <= session):
+            done = merged(done, sums.pop(ready))
+        for now in sorted(x for x in asked if x <= session):
+            out += [(now, i, done[0], done[1], ",".join(done[2]), False) for i in asked.pop(now)]
+        shut = session if shut is None else max(shut, session)
+    return out, [done, shut, sums, asked]
 
 
 def merged(a: list, b: list) -> list:

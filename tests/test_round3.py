@@ -125,3 +125,17 @@ def test_boundary_answers_of_subjects_kept_together(spark, tmp_path, monkeypatch
         n = s or 1
         want |= {(s, 1, 5): (2, n + 1, "b", False), (s, 2, 7): (3, n + 2, "a,b", False), (s, 2, 8): (None, None, None, True), (s, 3, 9): (4, n + 3, "a,b,c", False)}
     assert got == want
+
+
+def test_question_rules_work_a_question_out_once(spark):
+    from threadline.functions import rules
+    from threadline.operators import plan_merge
+
+    rows = spark.createDataFrame([("latest status and history?", "state_update", "high"), ("ＨＩＳＴＯＲＹ", "generic", " 2.0 "), ("", "generic", "odd"), (None, None, None)], "question string, task string, priority string")
+    for rule in (rules.question_scopes, rules.question_facets, rules.temporal_operator, rules.answer_slot):
+        plan = rows.select(rule(F.col("question"), F.col("task")).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("compose") == 1
+    given = F.array(F.struct(F.lit("bc").alias("family"), F.col("priority").alias("priority")), F.struct(F.lit("XX").alias("family"), F.lit("3").alias("priority")), F.struct(F.lit(None).cast("string").alias("family"), F.lit("1").alias("priority")))
+    own = F.array(F.lit("LO=2"), F.lit("BC=1"), F.lit("LO=3"))
+    got = [r[0] for r in rows.select(plan_merge.merged_scopes(own, given)).collect()]
+    assert got == [["BC=3", "LO=3"], ["BC=2", "LO=3"], ["BC=1", "LO=3"], ["BC=1", "LO=3"]]

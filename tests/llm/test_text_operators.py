@@ -496,6 +496,49 @@ def test_language_model_of_hot_contexts(spark):
         assert math.isclose(r["score"], want, abs_tol=len(w) / ngram_trie.STEPS), r["doc_id"]
 
 
+def test_language_model_of_three_levels(spark):
+    # "the" is dealt over all shards, and so are the bigrams that the third level stands behind.
+    rng = random.Random(4)
+    texts = [" ".join(x for _ in range(40) for x in ("the", f"n{rng.randrange(60)}", f"v{rng.randrange(9)}")) for _ in range(60)]
+    odd = ["the n1 the zzz the", "unknown words", "", "n1 v2 the n3 v2 v2", "THE N1 v1"]
+    df = spark.createDataFrame([*enumerate(texts + odd), (99, None)], "doc_id long, text string")
+    model = ngram_trie.train(df.filter("doc_id < 60"), order=3)
+    one, two, three, after, behind = Counter(), Counter(), Counter(), Counter(), Counter()
+    for t in texts:
+        w = [*t.split(), ""]
+        one.update(w)
+        two.update(zip(["", *w[:-1]], w))
+        three.update(zip(["", *w[:-2]], w[:-1], w[1:]))
+    after.update(a for a, _ in two)
+    behind.update((a, b) for a, b, _ in three)
+    total = Counter()
+    for (a, b, _), c in three.items():
+        total[a, b] += c
+    n, v, d2 = sum(one.values()), len(one), model.discount
+    singles, doubles = (sum(c == k for c in three.values()) for k in (1, 2))
+    d3 = min(0.98, max(0.1, singles / (singles + 2 * doubles)))
+    assert math.isclose(model.discount3, d3) and model.hot
+    for r in ngram_trie.score_documents(df, model).collect():
+        w, want = [*([*texts, *odd][r["doc_id"]] if r["doc_id"] < 99 else "").lower().split(), ""], 0.0
+        for i, b in enumerate(w):
+            a = w[i - 1] if i else ""
+            p = (one[b] + 0.5) / (n + 0.5 * (v + 1))
+            p = max(two[a, b] - d2, 0) / one[a] + min(1, d2 * after[a] / one[a]) * p if one[a] else p
+            c = (w[i - 2] if i > 1 else "", a)
+            if i and total[c]:
+                p = max(three[*c, b] - d3, 0) / total[c] + min(1, d3 * behind[c] / total[c]) * p
+            want += math.log10(p)
+        assert math.isclose(r["score"], want, abs_tol=1.5 * len(w) / ngram_trie.STEPS), r["doc_id"]
+    scorer = ngram_trie.Scorer(model)
+    words = {x: int(ngram_trie.vocabulary(model).look_up(np.array([ngram_trie.xxhash.xxh64_intdigest(x)], np.uint64))[0][0]) for x in one}
+    _, to, places = scorer.pairs(np.array([words["the"]]), np.array([words["n1"]]), np.array([one["the"]]), np.zeros(1))
+    assert scorer.third(int(to[0])).successors(int(places[0])).tolist() == sorted(words[c] for a, b, c in three if (a, b) == ("the", "n1"))
+    codes = ngram_trie.vocabulary(model).single_codes(np.array([words["n1"], model.words]))
+    assert codes.tolist() == ngram_trie.code_of(model.single(np.array([one["n1"], 0]))).tolist()
+    with pytest.raises(ValueError):
+        ngram_trie.train(df, order=4)
+
+
 def test_language_model_needs_its_files_and_wide_counts(spark):
     import os
 

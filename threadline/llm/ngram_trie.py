@@ -1,18 +1,21 @@
-"""A word bigram model in Elias-Fano tries, built and queried in parallel over shards.
+"""A word n-gram model in Elias-Fano tries of two or three levels, built and queried in parallel over shards.
 
-Level 1 is the vocabulary: words in the order of their 64-bit hashes with exact counts; a word's id is its place.
+Level 1 is the vocabulary: words in the order of their 64-bit hashes with exact counts, and two bytes for the quantised
+probability of each; a word's id is its place.
 Level 2 holds, in each shard, contexts in order (Elias-Fano), monotone pointers to their successors (Elias-Fano), and the
 successor ids made monotone by adding the context's place times the vocabulary size (Elias-Fano), with two bytes for the
 quantised smoothed probability of each and two for each context's weight of the lower model. A query finds its context and
-searches its successor relative to the context. Levels are files in the shared folder that workers map into memory; a
-file that is missing is an error.
+searches its successor relative to the context. Level 3 holds, beside its shard's level 2, pointers from each bigram to its
+successors (Elias-Fano), the successor ids relative to the bigram's place (Elias-Fano), and the same two bytes of each. Levels
+are files in the shared folder that workers map into memory; a file that is missing is an error.
 
 Probabilities are smoothed by absolute discounting, the discount estimated from the bigrams that occur once and twice:
 P(w | v) = max(c(v, w) - D, 0) / c(v) + D * n(v) / c(v) * P1(w), and P1 the unigram model with half a count for every
-word and one unknown. Their logarithms are stored in steps of 1 / STEPS.
+word and one unknown; P(w | u, v) likewise from the trigrams, their own discount and P(w | v). A text's first token has the
+end token before it, its second that and the first. All logarithms are stored in steps of 1 / STEPS.
 
-A context with a large share of all tokens is dealt over all shards by its successors. Every shard is bounded by
-tokens / shards, and the number of shards grows with the corpus. The vocabulary may have 2^32 words.
+A context with a large share of all tokens is dealt over all shards by its successors; a bigram's successors lie in its own
+shard. Level 2 of every shard is bounded by tokens / shards, level 3 by that and its most frequent bigram, and the number of shards grows with the corpus. The vocabulary may have 2^32 words.
 
 Defined results: a null text counts as empty: one end token; words unknown to the training texts count as the unknown
 word; repeated rows are scored each by itself and train each by itself; without training texts all words are unknown;
@@ -24,7 +27,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, islice
 
@@ -48,6 +51,8 @@ BLOCK_BYTES = 4 << 20
 #: Steps of a stored logarithm (base 10) in one; 16 bits reach to 10 ** -16.
 STEPS = 4096
 MAX_WORDS = 1 << 32
+#: Trigrams that are smoothed at a time.
+PART = 1 << 19
 
 
 # ---- Elias-Fano ----------------------------------------------------------------------------------------------------
@@ -64,26 +69,37 @@ def ef_encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits[high + np.arange(n)] = 1
     blocks = bits.reshape(-1, 512)
     ones = np.concatenate([[0], np.cumsum(blocks.sum(axis=1, dtype=np.int64))])
-    if low:
-        part = (values & np.uint64((1 << low) - 1))[:, None] >> np.arange(low, dtype=np.uint64)
-        lows = np.packbits((part & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
-    else:
-        lows = np.zeros(0, np.uint8)
-    return {"meta": np.array([n, low, universe], np.int64), "high": np.packbits(bits, bitorder="little"), "ones": ones, "low": np.concatenate([lows, np.zeros(16, np.uint8)])}
+    lows = []
+    for i in range(0, n if low else 0, 1 << 14):  # a multiple of 8, so each part ends with a byte
+        part = values[i : i + (1 << 14), None] >> np.arange(low, dtype=np.uint64)
+        lows.append(np.packbits((part & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little"))
+    return {"meta": np.array([n, low, universe], np.int64), "high": np.packbits(bits, bitorder="little"), "ones": ones, "low": np.concatenate([*lows, np.zeros(16, np.uint8)])}
 
 
 class EliasFano:
     def __init__(self, parts: dict[str, np.ndarray]):
         self.n, self.bits, self.universe = map(int, parts["meta"])
-        self.high, self.ones, self.lows = parts["high"], parts["ones"], parts["low"]
+        self.high, self.ones = parts["high"], parts["ones"]
+        self.words = self.high.view("<u8").reshape(-1, 8)
+        self.lows = parts["low"][: len(parts["low"]) // 8 * 8].view("<u8")
         self.zeros = np.arange(len(self.ones)) * 512 - self.ones
 
+    def _run_end(self, start: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Place of the first zero from ``start``, which is the ``high``-th; most stand within the next 57 bits."""
+        at = np.minimum((start >> 3)[:, None] + np.arange(8), len(self.high) - 1)
+        zeros = ~self.high[at].view("<u8")[:, 0] >> (start & 7).astype(np.uint64)
+        out = start + np.bitwise_count((zeros & (~zeros + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero(zeros == 0)
+        if len(far):
+            out[far] = self._select(high[far], False)
+        return out
+
     def _select(self, k: np.ndarray, of_ones: bool) -> np.ndarray:
         """Bit places of the k-th (from 0) ones or zeros."""
         before = self.ones if of_ones else self.zeros
         block = np.searchsorted(before, k, side="right") - 1
         rest = k - before[block]
-        words = self.high.view("<u8").reshape(-1, 8)[block]
+        words = self.words[block]
         if not of_ones:
             words = ~words
         counts = np.bitwise_count(words).astype(np.int64)
@@ -105,14 +121,9 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(i), np.uint64)
         at = i * self.bits
-        byte, shift = at >> 3, (at & 7).astype(np.uint64)
-        out = np.zeros(len(i), np.uint64)
-        for j in range(8):
-            out |= self.lows[byte + j].astype(np.uint64) << np.uint64(8 * j)
-        out >>= shift
-        over = self.lows[byte + 8].astype(np.uint64)
-        out |= np.where(shift > 0, over << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        return out & np.uint64((1 << self.bits) - 1)
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        over = self.lows[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1)))
+        return (self.lows[word] >> shift | np.where(shift > 0, over, np.uint64(0))) & np.uint64((1 << self.bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         high = (self._select(i, True) - i).astype(np.uint64)
@@ -123,7 +134,7 @@ class EliasFano:
         high = values >> self.bits
         low = (values & ((1 << self.bits) - 1)).astype(np.uint64)
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
-        first, last = start - high, self._select(high, False) - high  # elements with this high part
+        first, last = start - high, self._run_end(start, high) - high  # elements with this high part
         at, stop = first.copy(), last.copy()
         left = np.flatnonzero(at < stop)
         while len(left):
@@ -178,6 +189,28 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     return out
 
 
+def shrunk(values: np.ndarray) -> bytes:
+    """Compressed: the first bytes of all values, then the second ones and so on, as most values are far below their type's largest."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+    return values.dtype.str.encode().ljust(8) + len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def grown(data: bytes) -> np.ndarray:
+    kind, n = np.dtype(data[:8].decode().strip()), int.from_bytes(data[8:16], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[16:], n * kind.itemsize, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind)[:, 0]
+
+
+def write_shrunk(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    write_arrays(uri, {k: np.frombuffer(shrunk(v), np.uint8) for k, v in arrays.items()})
+
+
+def read_shrunk(uri: str) -> dict[str, np.ndarray]:
+    return {k: grown(v.tobytes()) for k, v in read_arrays(uri).items()}
+
+
 # ---- counts --------------------------------------------------------------------------------------------------------
 
 
@@ -214,22 +247,42 @@ def numbered(texts: list[bytes], numbers: Numbers) -> tuple[np.ndarray, np.ndarr
     return np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())), sizes
 
 
-def packed(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """A row for each shard with its keys and counts, which are ordered by shard."""
+def packed(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray, longer: tuple[np.ndarray, ...] = ()) -> pa.RecordBatch:
+    """A row for each shard with its keys (as steps) and counts, which are ordered by shard and key; ``longer``: how many successors each key has, the
+    successors in the keys' order and their counts."""
     at = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else np.zeros(0, np.int64)
     ends = np.append(at[1:], len(shards))
-    return pa.RecordBatch.from_arrays([
-        pa.array(shards[at].astype(np.int32), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
-        pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
-    ], names=["shard", "keys", "counts"])
+    steps = keys.astype("<u8")
+    steps[1:] -= keys[:-1]
+    steps[at] = keys[at]
+    columns, names = [(steps, at, ends), (counts.astype("<u4"), at, ends)], ["keys", "counts"]
+    if longer:
+        before = np.concatenate([[0], np.cumsum(longer[0])])
+        columns += [(longer[0].astype("<u4"), at, ends), *((x.astype("<u4"), before[at], before[ends]) for x in longer[1:])]
+        names += ["widths", "words", "word_counts"]
+    made = [pa.array([shrunk(x[a:b]) for a, b in zip(first, last, strict=True)], pa.binary()) for x, first, last in columns]
+    return pa.RecordBatch.from_arrays([pa.array(shards[at].astype(np.int32), pa.int32()), *made], names=["shard", *names])
+
+
+def keys_of(steps: bytes) -> np.ndarray:
+    return np.cumsum(grown(steps), dtype=np.uint64)
 
 
 def gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(x, "<u8") for x in group.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in group.column("counts").to_pylist()]
+    keys = [keys_of(x) for x in group.column("keys").to_pylist()]
+    counts = [grown(x).astype(np.int64) for x in group.column("counts").to_pylist()]
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
+def successors_of(group: pa.Table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (place of the key, successor), the place in the upper 32 bits, and their counts."""
+    of, counts = [], []
+    for mine, widths, w, n in zip(*(group.column(c).to_pylist() for c in ("keys", "widths", "words", "word_counts")), strict=True):
+        of.append(np.repeat(np.searchsorted(keys, keys_of(mine)).astype(np.uint64) << np.uint64(32), grown(widths)) | grown(w))
+        counts.append(grown(n).astype(np.int64))
+    return summed(np.concatenate(of), np.concatenate(counts))
+
+
 # ---- the model -----------------------------------------------------------------------------------------------------
 
 
@@ -243,9 +296,12 @@ class Model:
     discount: float = 0.75
     #: Successors of the contexts that are dealt over all shards.
     hot: dict[int, int] = field(default_factory=dict)
+    #: Levels, 2 or 3, and the discount of the third.
+    order: int = 2
+    discount3: float = 0.75
 
     def __hash__(self) -> int:
-        return hash((self.folder, self.discount))
+        return hash((self.folder, self.discount, self.discount3))
 
     def single(self, counts: np.ndarray) -> np.ndarray:
         """Probability of words of these counts by the unigram model."""
@@ -261,12 +317,28 @@ class Vocabulary:
         self.model = model
         self.shift = 64 - (model.shards.bit_length() - 1)
         self.files: dict[int, dict[str, np.ndarray]] = {}
+        self.singles: dict[int, np.ndarray] = {}
         self.forget()
 
     def forget(self) -> None:
         self.numbers = Numbers()
         self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def single_codes(self, ids: np.ndarray) -> np.ndarray:
+        """Stored codes of the probabilities of words alone; an unknown word's (the vocabulary's size) is worked out."""
+        out = np.full(len(ids), code_of(self.model.single(np.zeros(1)))[0], np.int64)
+        shards = np.searchsorted(self.model.starts, ids, side="right") - 1
+        order = np.argsort(shards, kind="stable")
+        cuts = np.searchsorted(shards[order], np.arange(self.model.shards + 1))
+        for s in np.unique(shards).tolist():
+            mine = order[cuts[s] : cuts[s + 1]]
+            mine = mine[ids[mine] < self.model.words]
+            if len(mine):
+                if s not in self.singles:
+                    self.singles[s] = read_arrays(f"{self.model.folder}/single-{s}")["codes"]
+                out[mine] = self.singles[s][ids[mine] - self.model.starts[s]]
+        return out
+
     def shard(self, i: int) -> dict[str, np.ndarray]:
         if i not in self.files:
             self.files[i] = read_arrays(f"{self.model.folder}/words-{i}")
@@ -349,8 +421,14 @@ def log_of(codes: np.ndarray) -> np.ndarray:
     return codes.astype(np.float64) / -STEPS
 
 
-def train(docs: DataFrame, *, text_col: str = "text", total_bytes: int | None = None) -> Model:
-    """Count and write the levels for all texts of ``docs``."""
+def estimated_discount(once: int, twice: int) -> float:
+    return min(0.98, max(0.1, once / (once + 2 * twice))) if once else 0.75
+
+
+def train(docs: DataFrame, *, text_col: str = "text", total_bytes: int | None = None, order: int = 2) -> Model:
+    """Count and write the levels for all texts of ``docs``; ``order``: 2 for bigrams, 3 for trigrams too."""
+    if order not in (2, 3):
+        raise ValueError(f"a model of order {order}: 2 or 3 levels are built")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     if total_bytes is None:
@@ -394,18 +472,27 @@ def train(docs: DataFrame, *, text_col: str = "text", total_bytes: int | None =
         at += sizes.get(s, 0)
     if at >= MAX_WORDS:
         raise ValueError(f"{at} different words: a word's id has 32 bits")
-    model = Model(folder, shards, tuple(starts), sum(r["tokens"] for r in written), at)
+    model = Model(folder, shards, tuple(starts), sum(r["tokens"] for r in written), at, order=order)
 
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for _, part in blocks_of(batches, 0):
             ids, counts, sizes = vocab.encode(part)
             context, total, _ = pairs_of(ids, counts, sizes, model)
             keys = (context.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
-            found, at, n = np.unique(keys, return_index=True, return_counts=True)
+            found, at, back, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
             to = pair_shards(context[at], ids[at], total[at] > model.hot_from, shards)
-            order = np.argsort(to, kind="stable")
-            yield packed(to[order], found[order], n[order])
+            by_shard = np.argsort(to, kind="stable")
+            longer = ()
+            if order > 2:
+                place = np.empty(len(found), np.int64)
+                place[by_shard] = np.arange(len(found))
+                later = np.ones(len(ids), bool)
+                later[np.cumsum(sizes) - sizes] = False
+                later = np.flatnonzero(later)
+                triples, m = np.unique((place[back[later - 1]].astype(np.uint64) << np.uint64(32)) | ids[later].astype(np.uint64), return_counts=True)
+                longer = np.bincount((triples >> np.uint64(32)).astype(np.int64), minlength=len(found)), triples & np.uint64(0xFFFFFFFF), m
+            yield packed(to[by_shard], found[by_shard], n[by_shard], longer)
 
     def write_pairs(key: tuple, group: pa.Table) -> pa.Table:
         keys, counts = gathered(group)
@@ -414,33 +501,52 @@ def train(docs: DataFrame, *, text_col: str = "text", total_bytes: int | None =
         pointers = np.append(first, len(keys))
         totals = vocabulary(model).counts_of(contexts)
         narrow = counts.astype("<u4") if not len(counts) or counts.max() < MAX_WORDS else counts
-        write_arrays(f"{folder}/counts-{key[0].as_py()}", {"contexts": contexts.astype("<u4"), "totals": totals, "pointers": pointers, "words": word.astype("<u4"), "counts": narrow})
+        write_shrunk(f"{folder}/counts-{key[0].as_py()}", {"contexts": contexts.astype("<u4"), "totals": totals, "pointers": pointers, "words": word.astype("<u4"), "counts": narrow})
+        longer, more = successors_of(group, keys) if order > 2 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if order > 2:
+            widths = np.bincount((longer >> np.uint64(32)).astype(np.int64), minlength=len(keys))
+            write_shrunk(f"{folder}/longer-{key[0].as_py()}", {"widths": widths.astype("<u4"), "words": (longer & np.uint64(0xFFFFFFFF)).astype("<u4"), "counts": more.astype("<u4") if not len(more) or more.max() < MAX_WORDS else more})
         # Contexts that other shards share: as many at most as can pass hot_from.
         shared = np.flatnonzero(totals > model.hot_from)
         return pa.table({
             "shard": pa.array([key[0].as_py()], pa.int32()),
             "once": pa.array([int((counts == 1).sum())], pa.int64()), "twice": pa.array([int((counts == 2).sum())], pa.int64()),
+            "once3": pa.array([int((more == 1).sum())], pa.int64()), "twice3": pa.array([int((more == 2).sum())], pa.int64()),
             "hot": pa.array([contexts[shared].tolist()], pa.list_(pa.int64())), "successors": pa.array([np.diff(pointers)[shared].tolist()], pa.list_(pa.int64())),
         })
 
-    stats = materialize(texts.mapInArrow(bigrams, shape).groupBy("shard").applyInArrow(write_pairs, "shard int, once long, twice long, hot array<bigint>, successors array<bigint>"), "pairs").collect()  # a row for each shard
-    once, twice = sum(r["once"] for r in stats), sum(r["twice"] for r in stats)
+    gram_shape = shape + (", widths binary, words binary, word_counts binary" if order > 2 else "")
+    stat_shape = "shard int, once long, twice long, once3 long, twice3 long, hot array<bigint>, successors array<bigint>"
+    stats = materialize(texts.mapInArrow(grams, gram_shape).groupBy("shard").applyInArrow(write_pairs, stat_shape), "pairs").collect()  # a row for each shard
     hot: dict[int, int] = {}
     for r in stats:
         for c, n in zip(r["hot"], r["successors"], strict=True):
             hot[c] = hot.get(c, 0) + n
-    discount = min(0.98, max(0.1, once / (once + 2 * twice))) if once else 0.75
-    model = Model(folder, shards, tuple(starts), model.tokens, model.words, discount, hot)
+    once, twice, once3, twice3 = (sum(r[name] for r in stats) for name in ("once", "twice", "once3", "twice3"))
+    model = Model(folder, shards, tuple(starts), model.tokens, model.words, estimated_discount(once, twice), hot, order, estimated_discount(once3, twice3))
     counted = {r["shard"] for r in stats}
 
-    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard in b.column(0).to_pylist():
-                found = read_arrays(f"{folder}/counts-{shard}") if shard in counted else {n: np.zeros(int(n == "pointers"), np.int64) for n in ("contexts", "totals", "pointers", "words", "counts")}
-                write_arrays(f"{folder}/pairs-{shard}", smoothed(found, model))
-            yield pa.RecordBatch.from_arrays([b.column(0)], names=["id"])
+    def each_shard(write: Callable[[int], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for shard in b.column(0).to_pylist():
+                    write(shard)
+                yield pa.RecordBatch.from_arrays([b.column(0)], names=["id"])
+
+        return run
+
+    def smooth(shard: int) -> None:
+        found = read_shrunk(f"{folder}/counts-{shard}") if shard in counted else {n: np.zeros(int(n == "pointers"), np.int64) for n in ("contexts", "totals", "pointers", "words", "counts")}
+        write_arrays(f"{folder}/pairs-{shard}", smoothed(found, model))
+        write_arrays(f"{folder}/single-{shard}", {"codes": code_of(model.single(vocabulary(model).shard(shard)["counts"]))})
+
+    def smooth_longer(shard: int) -> None:
+        if shard in counted:
+            write_arrays(f"{folder}/triples-{shard}", smoothed_longer(read_shrunk(f"{folder}/counts-{shard}"), read_shrunk(f"{folder}/longer-{shard}"), model))
 
-    materialize(spark.range(0, shards, 1, min(shards, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(smooth, "id long"), "smoothed")
+    # The third level is smoothed by the second of all shards, so that has to be whole before.
+    for write in (smooth, smooth_longer)[: order - 1]:
+        materialize(spark.range(0, shards, 1, min(shards, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(each_shard(write), "id long"), "smoothed")
     return model
 
 
@@ -460,12 +566,60 @@ def smoothed(found: dict[str, np.ndarray], model: Model) -> dict[str, np.ndarray
     return arrays
 
 
+def smoothed_longer(pairs: dict[str, np.ndarray], longer: dict[str, np.ndarray], model: Model) -> dict[str, np.ndarray]:
+    """The third level of a shard from its counts and the second level of all shards."""
+    width, counts, words = longer["widths"].astype(np.int64), longer["counts"], longer["words"]
+    ends = np.cumsum(width)
+    totals = np.bincount(np.repeat(np.arange(len(width)), width), weights=counts, minlength=len(width))
+    weight = np.where(width > 0, np.minimum(model.discount3 * width / np.maximum(totals, 1), 1.0), 1.0)
+    codes = np.zeros(len(words), "<u2")
+    for a in range(0, len(words), PART):
+        here = slice(a, min(a + PART, len(words)))
+        rank = np.searchsorted(ends, np.arange(here.start, here.stop), side="right")
+        asked, back = np.unique((pairs["words"][rank].astype(np.uint64) << np.uint64(32)) | words[here], return_inverse=True)
+        v, w = (asked >> np.uint64(32)).astype(np.int64), (asked & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        contexts, of = np.unique(v, return_inverse=True)
+        lower = 10 ** scorer(model).pairs(v, w, vocabulary(model).counts_of(contexts)[of], log_of(vocabulary(model).single_codes(w)))[0]
+        codes[here] = code_of(np.maximum(counts[here] - model.discount3, 0) / totals[rank] + weight[rank] * lower[back])
+    values = np.repeat(np.arange(len(width)) * model.words, width) + words
+    arrays = {"codes": codes, "weights": code_of(weight)}
+    for name, part in (("pointer", ef_encode(np.concatenate([[0], ends]), len(words) + 1)), ("next", ef_encode(values, len(width) * model.words + 1))):
+        arrays |= {f"{name}.{k}": v for k, v in part.items()}
+    return arrays
+
+
+def sequences(parts: dict[str, np.ndarray], *names: str) -> Iterator[EliasFano]:
+    return (EliasFano({k.partition(".")[2]: v for k, v in parts.items() if k.startswith(name + ".")}) for name in names)
+
+
+class TripleLevels:
+    """The third level of one shard."""
+
+    def __init__(self, parts: dict[str, np.ndarray], words: int):
+        self.codes, self.weights, self.words = parts["codes"], parts["weights"], words
+        self.pointer, self.next = sequences(parts, "pointer", "next")
+
+    def successors(self, place: int) -> np.ndarray:
+        """All successors of the bigram at a place of the second level."""
+        a, b = self.pointer.get(np.array([place, place + 1]))
+        return self.next.get(np.arange(a, b)) - place * self.words
+
+    def query(self, place: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each word behind the bigram at a place, ``lower`` being that behind its second word."""
+        out = lower + log_of(self.weights[place])
+        ask = np.flatnonzero(word < self.words)
+        found = self.next.find(place[ask] * self.words + word[ask])
+        hit = found >= 0
+        out[ask[hit]] = log_of(self.codes[found[hit]])
+        return out
+
+
 class PairLevels:
     """The second level of one shard."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.codes, self.weights = parts["codes"], parts["weights"]
-        self.context, self.pointer, self.next = (EliasFano({k.partition(".")[2]: v for k, v in parts.items() if k.startswith(name + ".")}) for name in ("context", "pointer", "next"))
+        self.context, self.pointer, self.next = sequences(parts, "context", "pointer", "next")
 
     def successors(self, context: int) -> np.ndarray:
         """All successors of a context, by its two pointers."""
@@ -475,11 +629,11 @@ class PairLevels:
         a, b = self.pointer.get(np.array([rank, rank + 1]))
         return self.next.get(np.arange(a, b)) % max(1, self.next.universe // max(1, self.context.n))
 
-    def query(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray, words: int) -> np.ndarray:
-        """log10 of the probability of each word behind its context, ``lower`` being that of the word alone."""
-        out = lower.copy()
+    def query(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability of each word behind its context, ``lower`` being that of the word alone, and the bigram's place (-1 where absent)."""
+        out, places = lower.copy(), np.full(len(word), -1, np.int64)
         if not self.context.n:
-            return out
+            return out, places
         first = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, bool)
         rank = self.context.find(context[first])[np.cumsum(first) - 1]
         there = np.flatnonzero(rank >= 0)
@@ -489,41 +643,68 @@ class PairLevels:
             found = self.next.find(rank[ask] * words + word[ask])
             hit = found >= 0
             out[ask[hit]] = log_of(self.codes[found[hit]])
-        return out
+            places[ask] = found
+        return out, places
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.levels = model, {}
+        self.model, self.levels, self.thirds = model, {}, {}
 
     def level(self, i: int) -> PairLevels:
         if i not in self.levels:
             self.levels[i] = PairLevels(read_arrays(f"{self.model.folder}/pairs-{i}"))
         return self.levels[i]
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(tokens, known tokens, base score, score) of each text."""
+    def third(self, i: int) -> TripleLevels:
+        if i not in self.thirds:
+            self.thirds[i] = TripleLevels(read_arrays(f"{self.model.folder}/triples-{i}"), self.model.words)
+        return self.thirds[i]
+
+    def pairs(self, c: np.ndarray, w: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of the probabilities of words ``w`` behind the contexts ``c`` of counts ``n``, all in order; the bigrams' shards and places there."""
         m = self.model
-        ids, counts, sizes = vocabulary(m).encode(texts)
-        low = np.log10(m.single(counts))
-        context, total, has = pairs_of(ids, counts, sizes, m)
-        high = low.copy()
-        keys = (context.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
-        asked, at, back = np.unique(keys[has], return_index=True, return_inverse=True)
-        c, w, n = context[has][at], ids[has][at], total[has][at]
         hot = n > m.hot_from
         to = pair_shards(c, w, hot, m.shards)
-        lower, found = low[has][at], np.zeros(len(asked))
+        found, places = np.zeros(len(c)), np.full(len(c), -1, np.int64)
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(m.shards + 1))
         for s in np.unique(to).tolist():
             mine = order[cuts[s] : cuts[s + 1]]
-            found[mine] = self.level(s).query(c[mine], w[mine], lower[mine], m.words)
+            found[mine], places[mine] = self.level(s).query(c[mine], w[mine], lower[mine], m.words)
         # A hot context's weight is the same in every shard; one of which it has no successor cannot tell it.
         if hot.any():
             unseen = hot & (found == lower)
             found[unseen] += [-np.rint(-np.log10(min(m.discount * m.hot[x] / t, 1.0)) * STEPS) / STEPS if x in m.hot else 0.0 for x, t in zip(c[unseen].tolist(), n[unseen].tolist(), strict=True)]
+        return found, to, places
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(tokens, known tokens, base score, score) of each text."""
+        m = self.model
+        ids, counts, sizes = vocabulary(m).encode(texts)
+        low = np.log10(m.single(counts))
+        distinct, back = np.unique(ids, return_inverse=True)
+        high = log_of(vocabulary(m).single_codes(distinct))[back]
+        context, total, has = pairs_of(ids, counts, sizes, m)
+        keys = (context.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+        asked, at, back = np.unique(keys[has], return_index=True, return_inverse=True)
+        found, to, places = self.pairs(context[has][at], ids[has][at], total[has][at], high[has][at])
         high[has] = found[back]
+        if m.order > 2:
+            pair = np.full(len(ids), -1, np.int64)
+            pair[has] = np.where(places >= 0, np.arange(len(asked)), -1)[back]
+            before = np.roll(pair, 1)
+            before[np.cumsum(sizes) - sizes] = -1
+            held = np.flatnonzero(before >= 0)
+            triples, at, back = np.unique((before[held].astype(np.uint64) << np.uint64(32)) | ids[held].astype(np.uint64), return_index=True, return_inverse=True)
+            of, word, lower = before[held][at], ids[held][at], high[held][at]
+            found, shards = np.zeros(len(triples)), to[of]
+            order = np.argsort(shards, kind="stable")
+            cuts = np.searchsorted(shards[order], np.arange(m.shards + 1))
+            for s in np.unique(shards).tolist():
+                mine = order[cuts[s] : cuts[s + 1]]
+                found[mine] = self.third(s).query(places[of[mine]], word[mine], lower[mine])
+            high[held] = found[back]
         first = np.cumsum(sizes) - sizes
         total_of = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
         return sizes, total_of((counts > 0).astype(np.int64)), total_of(low), total_of(high)
@@ -551,6 +732,6 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
     return base.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def train_and_score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """Scores of all documents by the model of those for which ``training`` holds."""
-    return score_documents(docs, train(docs.filter(training), text_col=text_col), id_col=id_col, text_col=text_col)
+    return score_documents(docs, train(docs.filter(training), text_col=text_col, order=order), id_col=id_col, text_col=text_col)

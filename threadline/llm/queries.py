@@ -58,7 +58,7 @@ def op5_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = ngram_trie.train_and_score(docs, one_of_five() != 1)
+    scored = ngram_trie.train_and_score(docs, one_of_five() != 1, order=3)
     return scored.select("doc_id", (one_of_five() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -200,3 +200,19 @@ def test_negatives_equal_brute_force_on_odd_rows(spark, monkeypatch):
 def test_query_of_negatives(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op13_kronecker_negatives"](spark, sf_dir).collect())) == brute_negatives(rows, lambda i: i % 100 == 0)
+
+
+def test_phrases_are_counted_in_groups_of_hashes(spark):
+    texts = [("en", b"a b a b. c"), ("en", b"b a b"), ("de", b"a b"), ("en", b""), ("de", b",,")]
+    df = spark.createDataFrame(texts, "lang string, text binary").repartition(3)
+    want = {}
+    for lang, text in texts:
+        words = collocations.Words(lang, [text])
+        for k in (1, 2, 3):
+            for key in words.keys(k)[words.whole(k)].view(np.int64).tolist():
+                want[key] = want.get(key, 0) + 1
+    for groups in (1, 16, 1 << 12):
+        found = collocations.counted(df, None, first=True, longest=3, groups=groups)
+        assert {r["key"]: r["n"] for r in found.collect()} == want
+        assert {r["key"] for r in collocations.counted(df, None, first=True, longest=3, least=2, groups=groups).collect()} == {k for k, n in want.items() if n > 1}
+    assert [collocations.groups_of(n) for n in (0, collocations.GROUP_BYTES * 16, collocations.GROUP_BYTES * 17)] == [16, 16, 32]

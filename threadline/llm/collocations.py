@@ -7,7 +7,8 @@ word: all). A border phrase that proves frequent is a failure, as longer phrases
 pass then counts those phrases whose parts are known to be frequent and that no pass before has counted. Passes end when
 no frequent phrase is outside the sets that the passes went by; the exact result never depends on the sample.
 
-Passes count by 64-bit hashes of language and words. What they go by (the proposed or frequent phrases) is sent to the tasks as a
+Passes count by 64-bit hashes of language and words; a block's counts travel as arrays, one row for each group of hashes, and the
+number of groups grows with the texts. What they go by (the proposed or frequent phrases) is sent to the tasks as a
 Bloom filter of at most MAX_FILTER_BYTES: false positives make some needless phrases be counted, and as the filters alone
 decide what a pass counts, every phrase is counted whole in one pass. Colliding hashes only add up, so every frequent
 phrase is among the frequent hashes; a last pass counts these phrases by their text, which gives the exact counts.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import grown, map_texts, materialize, shrunk
 
 MIN_COUNT = 10
 MAX_WORDS = 3
@@ -37,6 +38,9 @@ SAMPLE_SHARE = 0.2
 SEED = 11
 #: Documents' bytes that are counted together before their counts go to Spark.
 BLOCK_BYTES = 12 << 20
+#: Bytes of text for each group of hashes whose counts are summed together; groups are a power of two.
+GROUP_BYTES = 4 << 20
+MIN_GROUPS = 16
 #: Largest filter; beyond it false positives grow, results stay the same.
 MAX_FILTER_BYTES = 32 << 20
 BITS_A_KEY = 16
@@ -144,15 +148,20 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[b
 # ---- passes --------------------------------------------------------------------------------------------------------
 
 
-def counted(texts: DataFrame, passes: list[Sent] | None, *, first: bool, longest: int) -> DataFrame:
-    """Counts (key, n) of hashed phrases of up to ``longest`` words. ``passes``: what this pass goes by, the last, and what those before went by; None: all phrases."""
+def groups_of(total_bytes: int) -> int:
+    return max(MIN_GROUPS, 1 << max(0, -(-total_bytes // GROUP_BYTES) - 1).bit_length())
+
+
+def counted(texts: DataFrame, passes: list[Sent] | None, *, first: bool, longest: int, least: int = 1, groups: int = MIN_GROUPS) -> DataFrame:
+    """Counts (key, n) of hashed phrases of up to ``longest`` words that occur ``least`` times or more. ``passes``: what this pass goes by, the last, and what those before went by; None: all phrases."""
+    shift = np.uint64(64 - (groups.bit_length() - 1)) if groups > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in by_language(batches):
             words = Words(lang, block)
+            found = []
             if first:
-                tally = np.bincount(words.codes, minlength=len(words.known))
-                yield out(words.word_hash & ~_LENGTH | np.uint64(1), tally)
+                found.append((words.word_hash & ~_LENGTH | np.uint64(1), np.bincount(words.codes, minlength=len(words.known))))
             for k in range(2, longest + 1):
                 taken = words.whole(k)
                 if passes is not None:
@@ -161,12 +170,33 @@ def counted(texts: DataFrame, passes: list[Sent] | None, *, first: bool, longest
                         has = filt.has(table.value, parts)
                         both = has[:-1] & has[1:]
                         taken = taken & (both if i == 0 else ~both)
-                yield out(*np.unique(words.keys(k)[taken], return_counts=True))
+                found.append(np.unique(words.keys(k)[taken], return_counts=True))
+            yield out(*map(np.concatenate, zip(*found, strict=True)))
 
     def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    return map_texts(texts, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order].astype("<u4")
+        group = (keys >> shift if shift is not None else np.zeros_like(keys)).astype(np.int32)
+        at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(keys))[: len(at)]
+        # Keys in order as the steps between them.
+        steps = keys.copy()
+        steps[1:] -= keys[:-1]
+        steps[at] = keys[at]
+        parts = [pa.array([shrunk(x[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary()) for x in (steps, n)]
+        return pa.RecordBatch.from_arrays([pa.array(group[at]), *parts], names=["group", "keys", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.cumsum(grown(x), dtype=np.uint64) for x in group.column("keys").to_pylist()])
+        n = np.concatenate([grown(x) for x in group.column("counts").to_pylist()]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, n = keys[at], np.add.reduceat(n, at)
+        enough = n >= least
+        return pa.table({"key": pa.array(keys[enough].view(np.int64)), "n": pa.array(n[enough])})
+
+    return map_texts(texts, run, "group int, keys binary, counts binary").groupBy("group").applyInArrow(add, "key long, n long")
 
 
 def spelled(texts: DataFrame, frequent: Sent, longest: int) -> DataFrame:
@@ -197,9 +227,10 @@ def frequent_phrases(docs: DataFrame, *, lang_col: str = "lang", text_col: str =
     """(lang, phrase, words, n): exact counts of all phrases of up to ``max_words`` words that occur ``min_count`` times or more; with words = 0 the words of a language."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     lowered = max(1, int(min_count * sample_share))
-    proposed = materialize(counted(texts.where(F.rand(SEED) < sample_share), None, first=True, longest=max_words - 1).where(F.col("n") >= lowered).select("key"), "proposed")
+    groups = groups_of(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    proposed = materialize(counted(texts.where(F.rand(SEED) < sample_share), None, first=True, longest=max_words - 1, least=lowered, groups=groups).select("key"), "proposed")
     passes = [sent_filter(proposed)]
-    found = materialize(counted(texts, passes, first=True, longest=max_words).where(F.col("n") >= min_count).select("key"), "frequent")
+    found = materialize(counted(texts, passes, first=True, longest=max_words, least=min_count, groups=groups).select("key"), "frequent")
     fresh = found
     while True:
         # A longer phrase is missing only if a frequent part of it is outside what the passes went by.
@@ -207,7 +238,7 @@ def frequent_phrases(docs: DataFrame, *, lang_col: str = "lang", text_col: str =
         if failed.isEmpty():
             break
         passes.append(sent_filter(found))
-        fresh = materialize(counted(texts, passes, first=False, longest=max_words).where(F.col("n") >= min_count).select("key"), "frequent")
+        fresh = materialize(counted(texts, passes, first=False, longest=max_words, least=min_count, groups=groups).select("key"), "frequent")
         found = found.union(fresh)
     return spelled(texts, sent_filter(found), max_words).where((F.col("n") >= min_count) | (F.col("words") == 0))
 

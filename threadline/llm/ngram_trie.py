@@ -38,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, worker_cache
+from .common import grown, materialize, shared_dir, shrunk, worker_cache
 
 END = b""
 #: Bytes of text for each shard; shards are a power of two.
@@ -189,20 +189,6 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     return out
 
 
-def shrunk(values: np.ndarray) -> bytes:
-    """Compressed: the first bytes of all values, then the second ones and so on, as most values are far below their type's largest."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
-    return values.dtype.str.encode().ljust(8) + len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
-
-
-def grown(data: bytes) -> np.ndarray:
-    kind, n = np.dtype(data[:8].decode().strip()), int.from_bytes(data[8:16], "little")
-    if not n:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(data[16:], n * kind.itemsize, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind)[:, 0]
-
-
 def write_shrunk(uri: str, arrays: dict[str, np.ndarray]) -> None:
     write_arrays(uri, {k: np.frombuffer(shrunk(v), np.uint8) for k, v in arrays.items()})
 

@@ -139,3 +139,13 @@ def test_question_rules_work_a_question_out_once(spark):
     own = F.array(F.lit("LO=2"), F.lit("BC=1"), F.lit("LO=3"))
     got = [r[0] for r in rows.select(plan_merge.merged_scopes(own, given)).collect()]
     assert got == [["BC=3", "LO=3"], ["BC=2", "LO=3"], ["BC=1", "LO=3"], ["BC=1", "LO=3"]]
+
+
+def test_questions_without_options_are_not_scored_for_options(spark, sf_dir, monkeypatch):
+    from threadline.plans import ranking_queries as rq
+
+    seen = []
+    score = rq.ranking.score
+    monkeypatch.setattr(rq.ranking, "score", lambda pairs: seen.append(pairs.filter("size(options) = 0").isEmpty()) or score(pairs))
+    rq.option_results(spark, sf_dir)
+    assert seen == [True]

@@ -32,9 +32,10 @@ def questions(rows: DataFrame) -> DataFrame:
     return q.select("query_id", "task", "question", "target", F.array_distinct(F.array("kw1", "kw2")).alias("keywords"), options.alias("options"), rules.temporal_operator(text, task).alias("operator"), rules.question_scopes(text, task).alias("scopes"), F.array_sort(rules.question_facets(text, task)).alias("facets"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, asked: str = "true") -> DataFrame:
+    """Statements against their subject's question, of the questions that meet ``asked``."""
     rows = statements(spark, sf_dir)
-    pairs = searchable(rows).select("subject_id", "state_id", "family", "status", "polarity", "seconds", "text", "searchable").join(ranking.with_parts(questions(rows)).withColumnRenamed("query_id", "subject_id"), "subject_id").withColumnRenamed("subject_id", "query_id")
+    pairs = searchable(rows).select("subject_id", "state_id", "family", "status", "polarity", "seconds", "text", "searchable").join(ranking.with_parts(questions(rows).filter(asked)).withColumnRenamed("query_id", "subject_id"), "subject_id").withColumnRenamed("subject_id", "query_id")
     return ranking.score(pairs)
 
 
@@ -71,9 +72,9 @@ def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("query_id", "state_id", "score", F.array_join("reasons", ",").alias("reasons"), F.array_join("matched_facets", ",").alias("facets"), F.array_join("option_ids", ",").alias("options"))
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, asked: str = "true") -> DataFrame:
     # Stored, as a filter on the reasons alone would have Spark work every score out twice.
-    return ranking.ordered(materialize(scored(spark, sf_dir).drop("searchable"), "scored").filter(F.size("reasons") > 0))
+    return ranking.ordered(materialize(scored(spark, sf_dir, asked).drop("searchable"), "scored").filter(F.size("reasons") > 0))
 
 
 LIMIT_SQL = "CASE task " + " ".join(f"WHEN '{t}' THEN {n}" for t, n in fx.CANDIDATE_LIMITS.items()) + " ELSE 12 END"
@@ -119,7 +120,7 @@ def coalesced_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rk AS (SELECT mc.query_id, mc.state_id, mc.place, tk.state_id IS NOT NULL AS by_quota, row_number() OVER (PARTITION BY mc.query_id ORDER BY tk.state_id IS NOT NULL DESC, place) AS rank FROM mc LEFT JOIN tk USING (query_id, state_id)) SELECT query_id, state_id, place, by_quota FROM rk WHERE rank <= 12""")
 def option_quota_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with options: the best of each option up to its share of twelve, then the best of the rest."""
-    rows = candidates(spark, sf_dir).filter("task = 'multiple_choice'").withColumn("n_options", F.size("options"))
+    rows = candidates(spark, sf_dir, "task = 'multiple_choice'").withColumn("n_options", F.size("options"))
     return ranking.quota_selection(rows, rules.candidate_limit(F.col("task"), F.col("n_options")))
 
 
@@ -155,7 +156,8 @@ def channel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {SCORED}, o AS (SELECT query_id, state_id, place, unnest(option_ids) AS option_id FROM od) SELECT query_id, option_id, count(*) AS n_qualified, string_agg(CAST(state_id AS VARCHAR), ',' ORDER BY place) FILTER (place <= 12) AS selected FROM o GROUP BY 1, 2""")
 def option_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per option of a question the candidates that match it, and those of them that are selected."""
-    rows = candidates(spark, sf_dir).select("query_id", "state_id", "place", F.explode("option_ids").alias("option_id"))
+    # A question without options has none to match.
+    rows = candidates(spark, sf_dir, "size(options) > 0").select("query_id", "state_id", "place", F.explode("option_ids").alias("option_id"))
     chosen = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 12, F.struct("place", "state_id")))), lambda x: x["state_id"].cast("string"))
     return rows.groupBy("query_id", "option_id").agg(F.count("*").alias("n_qualified"), chosen.alias("s")).select("query_id", "option_id", "n_qualified", F.when(F.size("s") > 0, F.array_join("s", ",")).alias("selected"))
 

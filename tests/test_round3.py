@@ -151,6 +151,16 @@ def test_questions_without_options_are_not_scored_for_options(spark, sf_dir, mon
     assert seen == [True]
 
 
+def test_channels_are_counted_without_an_order(spark, sf_dir, monkeypatch):
+    from threadline.plans import ranking_queries as rq
+
+    def ordered(candidates):
+        raise AssertionError("counts need no order")
+
+    monkeypatch.setattr(rq.ranking, "ordered", ordered)
+    assert rq.channel_counts(spark, sf_dir).count() > 0
+
+
 def test_terms_that_only_match_as_a_whole(spark):
     from threadline.operators import ranking
 

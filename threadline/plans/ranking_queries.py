@@ -150,7 +150,9 @@ CHANNELS = ("keyword_match", "target_match", "medical_alias_match", "semantic_co
 
 @register(f"WITH {SCORED} SELECT query_id, " + ", ".join(f"count(*) FILTER (list_contains(reasons, '{n}')) AS {n}" for n in CHANNELS) + " FROM od GROUP BY query_id")
 def channel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).groupBy("query_id").agg(*[F.count_if(F.array_contains("reasons", n)).alias(n) for n in CHANNELS])
+    # Counts need no order of the candidates; a question without any gives no row.
+    counts = scored(spark, sf_dir).groupBy("query_id").agg(F.count_if(F.size("reasons") > 0).alias("n"), *[F.count_if(F.array_contains("reasons", n)).alias(n) for n in CHANNELS])
+    return counts.filter("n > 0").drop("n")
 
 
 @register(f"""WITH {SCORED}, o AS (SELECT query_id, state_id, place, unnest(option_ids) AS option_id FROM od) SELECT query_id, option_id, count(*) AS n_qualified, string_agg(CAST(state_id AS VARCHAR), ',' ORDER BY place) FILTER (place <= 12) AS selected FROM o GROUP BY 1, 2""")

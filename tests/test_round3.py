@@ -169,3 +169,12 @@ def test_terms_that_only_match_as_a_whole(spark):
     got = rows.select("term", "doc", ranking.term_parts(F.col("term"))["whole"].alias("whole"), ranking.similarity(F.col("term"), F.lower("doc")).alias("like")).collect()
     assert {r["term"]: r["whole"] for r in got} == terms
     assert [r["like"] for r in got if r["doc"] == "x 12 y"] == [1.0]
+
+
+def test_shared_pairs_come_once_without_grouping(spark):
+    from threadline.plans.record_queries import shared_pairs
+
+    links = [(1, 1, 10), (1, 1, 11), (2, 1, 10), (2, 1, 11), (2, 1, 11), (3, 1, 11), (4, 2, 11)]  # a pair shares two, one link is there twice, a subject is another
+    pairs = shared_pairs(spark.createDataFrame(links, "state_id long, subject_id long, evidence_id long"))
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString()

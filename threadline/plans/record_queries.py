@@ -265,6 +265,15 @@ def related_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 REL = f"rel AS (SELECT {', '.join(f'{e} AS {n}' for n, e in RELATION.items())} FROM pairs WHERE from_id IS NOT NULL)"
 
 
+def shared_pairs(links: DataFrame) -> DataFrame:
+    """(from_id, to_id): each pair of a subject's states that share evidence, once: by the least evidence that both have, so
+    that no task has to remember pairs."""
+    own = W.partitionBy("state_id", "subject_id")
+    held = links.select("state_id", "subject_id", "evidence_id", F.lag("evidence_id").over(own.orderBy("evidence_id")).alias("last"), F.collect_set("evidence_id").over(own).alias("ids")).filter("last is null or last <> evidence_id")
+    side = lambda n: held.select("evidence_id", "subject_id", F.col("state_id").alias(f"{n}_id"), F.col("ids").alias(f"{n}_ids"))
+    return side("from").join(side("to"), ["evidence_id", "subject_id"]).filter((F.col("from_id") < F.col("to_id")) & (F.col("evidence_id") == F.array_min(F.array_intersect("from_ids", "to_ids")))).select("from_id", "to_id")
+
+
 @register(f"""WITH {LINKS}, {PAIRS}, {REL}, kept AS (SELECT from_id, to_id, 'updates' AS type, verified AND status = 'verified' AS ok, 0 AS rank FROM rel WHERE NOT causal), lin AS (SELECT state_id, lag(state_id) OVER {FOLLOWED} AS prior FROM st),
     late AS (SELECT prior AS from_id, state_id AS to_id, 'supersedes' AS type, true AS ok, 1 AS rank FROM lin WHERE prior IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kept k WHERE least(k.from_id, k.to_id) = least(prior, state_id) AND greatest(k.from_id, k.to_id) = greatest(prior, state_id))),
     shared AS (SELECT a.state_id, b.state_id AS other, 'informs' AS type, false AS ok, 2 AS rank FROM links a JOIN links b ON a.evidence_id = b.evidence_id AND a.subject_id = b.subject_id AND a.state_id < b.state_id JOIN evidence e ON e.evidence_id = a.evidence_id AND e.subject_id = a.subject_id),
@@ -279,9 +288,9 @@ def query_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lambda: F.struct(F.least("from_id", "to_id"), F.greatest("from_id", "to_id")).alias("pair")
     late = lineage.withColumn("pair", pair()).join(kept.select(pair()).distinct(), "pair", "left_anti").select("from_id", "to_id", F.lit("supersedes").alias("type"), F.lit(True).alias("ok"), F.lit(1).alias("rank"))
     links = st.links_of(rows).join(evidence_of(rows).select("evidence_id", "subject_id"), ["evidence_id", "subject_id"], "left_semi")
-    shared = links.select("evidence_id", "subject_id", F.col("state_id").alias("from_id")).join(links.select("evidence_id", "subject_id", F.col("state_id").alias("to_id")), ["evidence_id", "subject_id"]).filter("from_id < to_id")
-    shared = shared.select("from_id", "to_id", F.lit("informs").alias("type"), F.lit(False).alias("ok"), F.lit(2).alias("rank"))
-    whole = kept.union(late).union(shared).filter("from_id <> to_id").groupBy("from_id", "to_id", "type").agg(F.min_by("ok", "rank").alias("verified"), F.min("rank").alias("rank"))
+    shared = shared_pairs(links).select("from_id", "to_id", F.lit("informs").alias("type"), F.lit(False).alias("verified"), F.lit(2).alias("rank"))
+    # A type has one source, so what is shared meets no other relation and its pairs, the most, are not grouped.
+    whole = kept.union(late).filter("from_id <> to_id").groupBy("from_id", "to_id", "type").agg(F.min_by("ok", "rank").alias("verified"), F.min("rank").alias("rank")).unionByName(shared)
     return whole.select("from_id", "to_id", "type", "verified", F.element_at(F.array(F.lit("patient_graph"), F.lit("lineage"), F.lit("query_local_shared_evidence_candidate")), F.col("rank") + 1).alias("source"))
 
 

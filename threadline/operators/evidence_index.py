@@ -21,7 +21,7 @@ from threadline.functions import rules
 from threadline.functions.text import nfkc_lower
 from threadline.operators import ranking, selection
 from threadline.operators.retrieval import terms
-from threadline.operators.tables import materialize
+from threadline.operators.tables import by_key, materialize
 
 #: States of a block, on average.
 BLOCK_STATES = 16
@@ -61,7 +61,7 @@ def term_grams(term: Column) -> Column:
 def block_grams(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """(block, grams): the distinct texts of a block are read as one, with a mark between them that no term holds; large blocks in pieces."""
     piece = F.pmod(F.xxhash64("state_id"), F.ceil(F.col("n_states") / PIECE_STATES))
-    texts = rows.join(sizes.select(*BLOCK, "n_states"), BLOCK).groupBy(*BLOCK, "n_states", piece.alias("piece")).agg(F.collect_set("searchable").alias("texts"))
+    texts = by_key(rows).join(sizes.select(*BLOCK, "n_states"), BLOCK).groupBy(*BLOCK, "n_states", piece.alias("piece")).agg(F.collect_set("searchable").alias("texts"))
     read = texts.select(*BLOCK, "n_states", grams(F.array_join("texts", "\u0000")).alias("grams"))
     large = read.filter(F.col("n_states") > PIECE_STATES).select(*BLOCK, F.explode("grams").alias("gram")).groupBy(*BLOCK).agg(F.collect_set("gram").alias("grams"))
     return read.filter(F.col("n_states") <= PIECE_STATES).select(*BLOCK, "grams").unionByName(large)
@@ -90,7 +90,7 @@ def bounds(questions: DataFrame, index: Index) -> DataFrame:
         F.transform(ranking.query_terms(text), term_grams).alias("terms"), term_grams(nfkc_lower(c("target"))).alias("target"), F.transform("options", lambda o: F.transform(terms(o["text"]), term_grams)).alias("options"))
     # A question's few numbers go to its subject's blocks; the subject is the key. A block's many numbers are gone through once a question.
     asked = asked.withColumn("sought", F.array_distinct(F.concat(F.flatten("terms"), F.coalesce("target", F.array().cast("array<int>")), F.flatten(F.flatten("options")))))
-    rows = asked.join(index.blocks, "subject_id").withColumn("present", F.array_intersect("sought", F.coalesce("grams", F.array().cast("array<int>"))))
+    rows = by_key(asked).join(index.blocks, "subject_id").withColumn("present", F.array_intersect("sought", F.coalesce("grams", F.array().cast("array<int>"))))
     has = lambda x: F.size(F.array_except(x, "present")) == 0
     rows = rows.withColumns({"n_terms": F.size(F.filter("terms", has)), "n_options": F.size(F.filter("options", lambda o: F.exists(o, has))), "scope": F.exists("scopes", lambda s: F.substring(s, 1, 2) == c("family"))})
     active, other = F.array_contains("statuses", "active"), F.size(F.array_remove("statuses", "active")) > 0
@@ -104,7 +104,8 @@ def bounds(questions: DataFrame, index: Index) -> DataFrame:
 
 def read(questions: DataFrame, index: Index, blocks: DataFrame) -> DataFrame:
     """The gate's scores of the states of the given blocks (query_id and block)."""
-    pairs = blocks.select("query_id", *BLOCK).join(ranking.with_terms(questions.drop("subject_id")), "query_id").join(index.states, BLOCK)
+    # What is worked out of a question comes last, so that it is not shuffled with each of the blocks.
+    pairs = blocks.select("query_id", *BLOCK).join(by_key(index.states), BLOCK).join(by_key(ranking.with_terms(questions.drop("subject_id"))), "query_id")
     return ranking.index_score(pairs)
 
 
@@ -130,7 +131,7 @@ def gate_reads(questions: DataFrame, related: DataFrame, index: Index) -> DataFr
     unseen = known.join(scored.select("query_id", *BLOCK).distinct(), ["query_id", *BLOCK], "left_anti")
     open_blocks = unseen.filter("may_match").withColumn("facet", F.explode("facets")).join(sure, ["query_id", "facet"], "left_anti").join(spare, ["query_id", "facet"], "left").filter(c("to_beat").isNull() | (c("bound") >= c("to_beat"))).select("query_id", *BLOCK)
     kin = direct.filter("relevant").select("query_id", "state_id").join(related, "state_id").filter(c("nth") <= max(x[3] for x in selection.GATE_LIMITS.values()))
-    kin = kin.select("query_id", c("other_id").alias("state_id")).join(index.states.select("state_id", *BLOCK), "state_id").select("query_id", *BLOCK)
+    kin = kin.select("query_id", c("other_id").alias("state_id")).join(by_key(index.states.select("state_id", *BLOCK)), "state_id").select("query_id", *BLOCK)
     third = open_blocks.union(kin.join(unseen, ["query_id", *BLOCK], "left_semi")).distinct()
     return materialize(scored.unionByName(read(questions, index, third)), "reads")
 

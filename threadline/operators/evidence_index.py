@@ -196,14 +196,14 @@ def retrieve(questions: DataFrame, related: DataFrame, lineage: DataFrame, links
     equal content as one, and then the choice of the question's task: options by quota, complex questions by diversity, others
     from the front. ``evidence_ids``: of all members, in order.
     """
-    pairs = index.states.join(ranking.with_parts(questions), "subject_id")
+    pairs = index.states.join(by_key(ranking.with_parts(questions)), "subject_id")
     scored = materialize(ranking.score(pairs), "scored")
     qualified = materialize(united(scored, materialize(gate(questions, related, index), "gate")), "qualified")
     qualified = with_versions(qualified, scored, lineage)
     scheduled = materialize(ranking.provenance_schedule(ranking.ordered(qualified), links), "schedule")
     merged = ranking.coalesced(scheduled, links, extra=("option_ids", "matched_facets"))
     first = scheduled.select("query_id", "state_id", "family", "task", "facets", "scopes", F.size("options").alias("n_options"))
-    rows = merged.join(first, ["query_id", "state_id"]).withColumn("limit", rules.candidate_limit(F.col("task"), F.col("n_options")))
+    rows = merged.join(by_key(first), ["query_id", "state_id"]).withColumn("limit", rules.candidate_limit(F.col("task"), F.col("n_options")))
     rows = materialize(rows.withColumn("n_groups", F.count("*").over(W.partitionBy("query_id"))), "groups")
     options = (F.col("task") == "multiple_choice") & (F.col("n_options") > 0)
     complex_task = F.col("task").isin(*fx.COMPLEX_TASKS)
@@ -213,7 +213,7 @@ def retrieve(questions: DataFrame, related: DataFrame, lineage: DataFrame, links
     split = rows.filter(~small & complex_task).withColumn("reasons", F.split("reasons", ","))
     diverse = selection.diversified(split, max(v for k, v in fx.CANDIDATE_LIMITS.items() if k in fx.COMPLEX_TASKS), "schedule")
     diverse = diverse.join(rows.select("query_id", "state_id", "limit"), ["query_id", "state_id"]).filter("pick <= limit").select("query_id", "state_id", F.col("pick").alias("at"))
-    picked = materialize(chosen.union(by_option).union(diverse), "picked").join(rows.select("query_id", "state_id", "score", "reasons", "members"), ["query_id", "state_id"])
+    picked = materialize(chosen.union(by_option).union(diverse), "picked").join(by_key(rows.select("query_id", "state_id", "score", "reasons", "members")), ["query_id", "state_id"])
     found = picked.select("query_id", F.col("state_id").alias("first"), F.explode(F.split("members", ",").cast("array<long>")).alias("state_id")).join(links, "state_id").groupBy("query_id", F.col("first").alias("state_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("evidence_id")), lambda x: x.cast("string")), ",").alias("evidence_ids"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("at")).cast("long")
     return picked.withColumn("rank", rank).join(found, ["query_id", "state_id"], "left").select("query_id", "rank", "state_id", "score", "reasons", "members", "evidence_ids")

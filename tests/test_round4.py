@@ -10,7 +10,7 @@ class Seen(Exception):
     """The plans that a test looks at are there."""
 
 
-@pytest.mark.parametrize(("query", "labels"), [("index_gate", {"bounds", "first"}), ("retrieved_states", {"scored", "bounds", "first"})])
+@pytest.mark.parametrize(("query", "labels"), [("index_gate", {"bounds", "first"}), ("retrieved_states", {"scored", "bounds", "first"}), ("evidence_chain_nodes", {"bounds", "first"})])
 def test_what_is_worked_out_of_questions_meets_states_by_key(spark, sf_dir, monkeypatch, query, labels):
     plans, store = {}, ei.materialize
 

@@ -10,7 +10,7 @@ from threadline.functions import fixed as fx
 from threadline.operators import evidence_index as ei
 from threadline.operators import selection
 from threadline.operators import states as st
-from threadline.operators.tables import materialize
+from threadline.operators.tables import by_key, materialize
 from threadline.plans.base import register, statements
 from threadline.plans.outcome_queries import GATE, kin_of
 from threadline.plans.ranking_queries import DIVERSIFIED, INDEXED, LIMIT_SQL, SCHEDULE, SCORED, questions
@@ -36,7 +36,7 @@ def chosen_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     rows, asked, index = indexed_record(spark, sf_dir)
     related = materialize(kin_of(rows), "kin")
     read = ei.gate_reads(asked, related, index)
-    picked = selection.coverage_gate(read, related).join(read.select("query_id", "state_id", "task", "lexical_hits", "value_hits"), ["query_id", "state_id"])
+    picked = selection.coverage_gate(read, related).join(by_key(read.select("query_id", "state_id", "task", "lexical_hits", "value_hits")), ["query_id", "state_id"])
     return materialize(picked, "chosen"), st.links_of(rows), materialize(lineage_of(rows), "lineage")
 
 

@@ -30,7 +30,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def by_key(df: DataFrame) -> DataFrame:
     """``df`` for a join in which both sides are dealt by the key and sorted, whatever its size is taken for: that of a stored table is
-    taken from its compressed files, and that of columns of arrays from one element each, a hundredth of what a broadcast would hold."""
+    taken from its compressed files, and that of columns of arrays from one element each, far less than a broadcast would hold."""
     return df.hint("merge")
 
 
